@@ -10,11 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from logtide.operators import chartdata as C
+from logtide.operators import daily as D
 from logtide.operators import levels as L
 from logtide.operators import usage as U
 from logtide.plans import reports as R
-from logtide.sources.feeds import load_event_logs
+from logtide.sources.feeds import load_event_logs, load_trips
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,8 +65,45 @@ def usage_queries() -> dict[str, Query]:
     }
 
 
+# The second daily summary (orders per order date).
+ORDER_SPEC = (
+    ("num_orders", "count", None),
+    ("mean_totalprice", "avg", "o_totalprice"),
+    ("max_totalprice", "max", "o_totalprice"),
+    ("q95_totalprice", "q95", "o_totalprice"),
+    ("min_totalprice", "min", "o_totalprice"),
+)
+
+
+def _orders_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    daily = D.daily_summary(orders, ts="o_orderdate", spec=ORDER_SPEC)
+    # Means of non-integer values are reported to 6 decimals.
+    return daily.withColumn("mean_totalprice", F.round("mean_totalprice", 6))
+
+
+def daily_queries() -> dict[str, Query]:
+    return {
+        "daily_summary": lambda s, d: D.daily_summary(load_trips(s, d), year=1997),
+        "daily_overview": lambda s, d: D.daily_overview(D.daily_summary(load_trips(s, d), year=1997)),
+        "monthly_summary_exact": lambda s, d: D.daily_summary(load_trips(s, d), quantile="exact", grain="month"),
+        "orders_daily_summary": _orders_daily,
+    }
+
+
+def chart_queries() -> dict[str, Query]:
+    return {
+        "bar_data": lambda s, d: C.bar_data(U.cluster_summary(_timeline(s, d))),
+        "duration_histogram": lambda s, d: C.duration_histogram(_timeline(s, d), bins=50),
+        "duration_histogram_log": lambda s, d: C.duration_histogram(_timeline(s, d), bins=50, scale="log"),
+        "duration_density": lambda s, d: C.duration_density(_timeline(s, d), grid=200),
+    }
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(level_queries())
     out.update(usage_queries())
+    out.update(daily_queries())
+    out.update(chart_queries())
     return out

@@ -311,8 +311,79 @@ WINDOW w AS (PARTITION BY cluster_id ORDER BY start_time, application_id)""",
     }
 
 
+def _daily(src: str, ts: str, measures: str, where: str = "", parts: int = 3) -> str:
+    cols = [f"CAST(year({ts}) AS INTEGER) AS dt_year", f"CAST(month({ts}) AS INTEGER) AS dt_month",
+            f"CAST(day({ts}) AS INTEGER) AS dt_day"][:parts]
+    return f"SELECT {', '.join(cols)}, {measures} FROM {src} {where} GROUP BY ALL"
+
+
+TRIP_MEASURES = """count(*) AS num_trips, avg(l_quantity) AS mean_trip_distance, max(l_tax) AS max_mta_tax,
+  quantile_disc(l_extendedprice, 0.95) AS q95_fare_amount, min(l_discount) AS min_tip_amount,
+  CAST(ceil(avg(l_linenumber)) AS BIGINT) AS mean_passenger_count"""
+Y1997 = "WHERE l_shipdate >= TIMESTAMP '1997-01-01' AND l_shipdate < TIMESTAMP '1998-01-01'"
+
+
+def daily_queries() -> dict[str, str]:
+    daily = _daily("lineitem", "l_shipdate", TRIP_MEASURES, Y1997)
+    return {
+        "daily_summary": daily,
+        "daily_overview": f"""
+SELECT count(*) AS days, CAST(sum(num_trips) AS BIGINT) AS total_trips, avg(num_trips) AS mean_trips_per_day,
+       min(make_date(dt_year, dt_month, dt_day)) AS first_date, max(make_date(dt_year, dt_month, dt_day)) AS last_date
+FROM ({daily})""",
+        "monthly_summary_exact": _daily("lineitem", "l_shipdate", TRIP_MEASURES, parts=2),
+        "orders_daily_summary": _daily(
+            "orders",
+            "o_orderdate",
+            """count(*) AS num_orders, round(avg(o_totalprice), 6) AS mean_totalprice,
+  max(o_totalprice) AS max_totalprice, quantile_disc(o_totalprice, 0.95) AS q95_totalprice,
+  min(o_totalprice) AS min_totalprice""",
+        ),
+    }
+
+
+def chart_queries() -> dict[str, str]:
+    hist = """, x AS ({x}),
+st AS (SELECT min(x) AS lo, max(x) AS hi FROM x),
+c AS (SELECT CAST(CASE WHEN hi > lo THEN least(floor((x - lo) / (hi - lo) * 50) + 1, 50) ELSE 1 END AS INTEGER) AS bin,
+             count(*) AS n FROM x, st GROUP BY 1)
+SELECT CAST(b AS INTEGER) AS bin, round(lo + (hi - lo) * (b - 1) / 50, 9) AS bin_lo,
+       round(lo + (hi - lo) * b / 50, 9) AS bin_hi, CAST(coalesce(n, 0) AS BIGINT) AS count
+FROM range(1, 51) r(b) CROSS JOIN st LEFT JOIN c ON c.bin = b
+WHERE lo IS NOT NULL"""
+    return {
+        "bar_data": with_feed(
+            """
+SELECT cluster_id, num_applications,
+       CAST(row_number() OVER (ORDER BY num_applications DESC, cluster_id) AS INTEGER) AS bar
+FROM summary""",
+            timeline=True,
+        ),
+        "duration_histogram": with_feed(hist.format(x="SELECT duration_seconds AS x FROM top_apps"), timeline=True),
+        "duration_histogram_log": with_feed(
+            hist.format(x="SELECT ln(duration_seconds) AS x FROM top_apps WHERE duration_seconds > 0"), timeline=True
+        ),
+        "duration_density": with_feed(
+            """, x AS (SELECT duration_seconds AS x FROM top_apps),
+st AS (SELECT count(*) AS n, min(x) AS lo, max(x) AS hi, stddev_samp(x) AS sd FROM x),
+b AS (SELECT *, sd * pow(CAST(n AS DOUBLE), -0.2) AS bw FROM st),
+w AS (SELECT x, count(*) AS w FROM x GROUP BY x),
+pts AS (SELECT CAST(p AS INTEGER) AS point FROM range(0, 200) r(p)),
+k AS (SELECT point, sum(w * exp(-0.5 * pow(((lo + (hi - lo) * point / 199) - x) / bw, 2))) AS k
+      FROM pts, w, b GROUP BY point),
+d AS (SELECT point, lo + (hi - lo) * point / 199 AS g,
+             CASE WHEN bw > 0 THEN k / (n * bw * sqrt(2 * pi())) END AS dens, n, lo, hi FROM k, b)
+SELECT point, round(g, 6) AS x, round(dens * 1e6, 6) AS density, round(dens * n * (hi - lo) / 50, 6) AS count_scale
+FROM d""",
+            timeline=True,
+        ),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(level_queries())
     out.update(usage_queries())
+    out.update(daily_queries())
+    out.update(chart_queries())
     return out
