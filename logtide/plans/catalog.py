@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from logtide.operators import chartdata as C
 from logtide.operators import daily as D
+from logtide.operators import inventory as I
 from logtide.operators import levels as L
+from logtide.operators import messages as M
+from logtide.operators import tasks as T
 from logtide.operators import usage as U
 from logtide.plans import reports as R
 from logtide.sources.feeds import load_event_logs, load_trips
@@ -100,8 +103,60 @@ def chart_queries() -> dict[str, Query]:
     }
 
 
+def message_queries() -> dict[str, Query]:
+    return {
+        "executor_requests": lambda s, d: M.parse_executor_requests(_logs(s, d)),
+        "container_requests": lambda s, d: M.parse_container_requests(_logs(s, d)),
+        "task_events": lambda s, d: M.parse_task_events(_logs(s, d)),
+        "task_assigned": lambda s, d: M.parse_task_assigned(_logs(s, d)),
+        "input_splits": lambda s, d: M.parse_input_splits(_logs(s, d)),
+        "python_times": lambda s, d: M.parse_python_times(_logs(s, d)),
+        "memory_capacity": lambda s, d: M.parse_memory_capacity(_logs(s, d)),
+        "block_stored": lambda s, d: M.parse_block_stored(_logs(s, d)),
+        "block_added": lambda s, d: M.parse_block_added(_logs(s, d)),
+        "cache_lookups": lambda s, d: M.parse_cache_lookups(_logs(s, d)),
+        "broadcast_reads": lambda s, d: M.parse_broadcast_reads(_logs(s, d)),
+    }
+
+
+def _host_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Sums of fractional sizes are reported to 3 decimals.
+    return T.host_load(_logs(spark, sf_dir)).withColumn("added_bytes", F.round("added_bytes", 3))
+
+
+def task_queries() -> dict[str, Query]:
+    return {
+        "tasks": lambda s, d: T.tasks(_logs(s, d)),
+        "unfinished_tasks": lambda s, d: T.unfinished_tasks(_logs(s, d)),
+        "idle_containers": lambda s, d: T.idle_containers(_logs(s, d)),
+        "containers": lambda s, d: T.containers(_logs(s, d)),
+        "resource_requests": lambda s, d: T.resource_requests(_logs(s, d)),
+        "request_shapes": lambda s, d: T.request_shapes(_logs(s, d)),
+        "request_vs_seen": lambda s, d: T.request_vs_seen(_logs(s, d)),
+        "task_time_by_app": lambda s, d: T.task_time_by_app(T.tasks(_logs(s, d))),
+        "stage_skew": lambda s, d: T.stage_skew(T.tasks(_logs(s, d))),
+        "stage_timeline": lambda s, d: T.stage_timeline(T.tasks(_logs(s, d))),
+        "host_load": _host_load,
+        "memory_profile": lambda s, d: T.memory_profile(_logs(s, d)),
+        "cache_ratio": lambda s, d: T.cache_ratio(_logs(s, d)),
+        "python_times_by_app": lambda s, d: T.python_times(_logs(s, d)),
+        "input_bytes": lambda s, d: T.input_bytes(_logs(s, d)),
+    }
+
+
+def inventory_queries() -> dict[str, Query]:
+    return {
+        "inventory": lambda s, d: I.inventory(_logs(s, d)),
+        "app_file_stats": lambda s, d: I.app_file_stats(_logs(s, d)),
+        "top_apps_by_files": lambda s, d: I.top_apps_by_files(_logs(s, d), k=5),
+    }
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
+    out.update(message_queries())
+    out.update(task_queries())
+    out.update(inventory_queries())
     out.update(level_queries())
     out.update(usage_queries())
     out.update(daily_queries())

@@ -25,7 +25,8 @@ ev AS (
   FROM events),
 evp AS (
   SELECT *, printf('/logs/application_%d_%s/container_%d_%s_01_%06d.log', c, a, c, a, k) AS file_path,
-         printf('application_%d_%s', c, a) AS app_id
+         printf('application_%d_%s', c, a) AS app_id,
+         printf('container_%d_%s_01_%06d', c, a, k) AS cont
   FROM ev),
 feed AS (
   SELECT file_path, app_id, c, a, k, e, u, v, kind, 0 AS seq, t0 AS lts, 'INFO' AS lvl, 'INFO' AS wlvl,
@@ -380,8 +381,150 @@ FROM d""",
     }
 
 
+BASE = "app_id AS application_id, cont AS container_id"
+TASKS = r"""
+tasks AS (
+  SELECT app_id AS application_id, cont AS container_id, e % 7 AS stage, e % 13 AS task, e AS tid,
+         t0 AS started, CASE WHEN e % 10 <> 0 THEN t_fin END AS finished,
+         CASE WHEN e % 10 <> 0 THEN 1000 + v * 13 END AS result_bytes,
+         CASE WHEN e % 10 <> 0 THEN CAST(date_diff('second', t0, t_fin) AS DOUBLE) END AS duration_seconds
+  FROM evp WHERE kind = 'click'),
+conts AS (
+  SELECT DISTINCT app_id AS application_id, cont AS container_id,
+         CASE WHEN k = 1 THEN 'master' ELSE 'executor' END AS role FROM evp)"""
+
+
+def message_queries() -> dict[str, str]:
+    def q(body: str) -> str:
+        return with_feed(body)
+
+    return {
+        "executor_requests": q(f"""
+SELECT {BASE}, t0 AS ts, 1 + e % 16 AS executors, 1 + e % 5 AS cores, mem AS memory_mb,
+       CAST(384 AS BIGINT) AS overhead_mb
+FROM evp WHERE kind = 'signup'"""),
+        "container_requests": q(f"""
+SELECT {BASE}, t0 AS ts, mem AS memory_mb, 1 + e % 5 AS vcores FROM evp WHERE kind = 'signup'"""),
+        "task_events": q(f"""
+SELECT {BASE}, t0 AS ts, 'Running' AS event, e % 13 AS task, CAST(0 AS BIGINT) AS attempt, e % 7 AS stage,
+       CAST(0 AS BIGINT) AS stage_attempt, e AS tid, CAST(NULL AS BIGINT) AS result_bytes
+FROM evp WHERE kind = 'click'
+UNION ALL
+SELECT {BASE}, t_fin, 'Finished', e % 13, 0, e % 7, 0, e, 1000 + v * 13
+FROM evp WHERE kind = 'click' AND e % 10 <> 0"""),
+        "task_assigned": q(f"SELECT {BASE}, t0 AS ts, e AS tid FROM evp WHERE kind = 'click'"),
+        "input_splits": q(f"""
+SELECT {BASE}, t0 AS ts, printf('hdfs://10.10.34.11:9000/data/part-%d.txt', e % 5) AS input_file,
+       v * 1000 AS offset, 1000 + e % 997 AS length
+FROM evp WHERE kind = 'click'"""),
+        "python_times": q(f"""
+SELECT {BASE}, CASE WHEN e % 97 = 0 THEN NULL ELSE t0 END AS ts, v + 50 AS total_ms, e % 40 - 20 AS boot_ms,
+       e % 30 AS init_ms, v AS finish_ms
+FROM evp WHERE kind = 'purchase'"""),
+        "memory_capacity": q(f"""
+SELECT {BASE}, t0 AS ts, CAST(printf('%d.%d', v + 100, e % 10) AS DOUBLE) * 1048576.0 AS capacity_bytes
+FROM evp WHERE kind = 'signup'"""),
+        "block_stored": q(f"""
+SELECT {BASE}, t0 AS ts, printf('broadcast_%d', e % 50) AS block, 'values' AS stored_as,
+       CAST(size AS DOUBLE) * 1024.0 AS size_bytes,
+       CAST(printf('%d.%d', 100 + u % 400, e % 7) AS DOUBLE) * 1048576.0 AS free_bytes
+FROM evp WHERE kind = 'view'"""),
+        "block_added": q(f"""
+SELECT {BASE}, t0 AS ts, printf('broadcast_%d_piece0', e % 50) AS block, printf('host-%d', u % 9) AS host,
+       40000 + e % 1000 AS port, CAST(size AS DOUBLE) * 1024.0 AS size_bytes,
+       CAST(printf('%d.%d', u % 20, e % 10) AS DOUBLE) * 1073741824.0 AS free_bytes
+FROM evp WHERE kind = 'view'"""),
+        "cache_lookups": q(f"""
+SELECT {BASE}, t0 AS ts, rdd AS block, e % 3 <> 0 AS hit FROM evp WHERE kind = 'view'"""),
+        "broadcast_reads": q(f"SELECT {BASE}, t0 AS ts, e % 50 AS broadcast_id FROM evp WHERE kind = 'view'"),
+    }
+
+
+def task_queries() -> dict[str, str]:
+    def q(body: str) -> str:
+        return "WITH " + (FEED + "," + TASKS).strip() + "\n" + body
+
+    return {
+        "tasks": q("SELECT * FROM tasks"),
+        "unfinished_tasks": q("SELECT * FROM tasks WHERE finished IS NULL"),
+        "idle_containers": q("""
+SELECT * FROM conts c WHERE role = 'executor' AND NOT EXISTS (
+  SELECT 1 FROM tasks t WHERE t.application_id = c.application_id AND t.container_id = c.container_id)"""),
+        "resource_requests": q("""
+SELECT app_id AS application_id, count(*) AS requests, CAST(sum(1 + e % 16) AS BIGINT) AS executors,
+       CAST(sum((1 + e % 16) * (1 + e % 5)) AS BIGINT) AS cores, CAST(sum((1 + e % 16) * mem) AS BIGINT) AS memory_mb
+FROM evp WHERE kind = 'signup' GROUP BY app_id"""),
+        "request_shapes": q("""
+SELECT 1 + e % 5 AS cores, mem AS memory_mb, count(*) AS requests, CAST(sum(1 + e % 16) AS BIGINT) AS executors
+FROM evp WHERE kind = 'signup' GROUP BY ALL"""),
+        "request_vs_seen": q("""
+, req AS (SELECT app_id AS application_id, CAST(sum(1 + e % 16) AS BIGINT) AS requested
+          FROM evp WHERE kind = 'signup' GROUP BY app_id),
+seen AS (SELECT application_id, count(*) AS seen FROM conts WHERE role = 'executor' GROUP BY application_id)
+SELECT application_id, requested, CAST(coalesce(seen, 0) AS BIGINT) AS seen FROM req LEFT JOIN seen USING (application_id)"""),
+        "task_time_by_app": q("""
+SELECT application_id, count(*) AS tasks, count(finished) AS finished_tasks, avg(duration_seconds) AS mean_seconds
+FROM tasks GROUP BY application_id"""),
+        "stage_skew": q("""
+SELECT application_id, stage, count(*) AS tasks, quantile_disc(duration_seconds, 0.5) AS median_seconds,
+       max(duration_seconds) AS max_seconds,
+       CASE WHEN quantile_disc(duration_seconds, 0.5) > 0
+            THEN max(duration_seconds) / quantile_disc(duration_seconds, 0.5) END AS skew
+FROM tasks WHERE duration_seconds IS NOT NULL GROUP BY ALL"""),
+        "stage_timeline": q("""
+SELECT application_id, stage, count(*) AS tasks, min(started) AS first_start, max(finished) AS last_finish
+FROM tasks GROUP BY ALL"""),
+        "host_load": q("""
+SELECT printf('host-%d', u % 9) AS host, count(DISTINCT e % 50) AS blocks, count(DISTINCT 40000 + e % 1000) AS block_managers,
+       count(*) AS added, round(sum(CAST(size AS DOUBLE) * 1024.0), 3) AS added_bytes
+FROM evp WHERE kind = 'view' GROUP BY 1"""),
+        "memory_profile": q("""
+, cap AS (SELECT app_id, CAST(printf('%d.%d', v + 100, e % 10) AS DOUBLE) * 1048576.0 AS capacity_bytes,
+                 NULL::DOUBLE AS size_bytes, NULL::DOUBLE AS free_bytes FROM evp WHERE kind = 'signup'
+          UNION ALL
+          SELECT app_id, NULL, CAST(size AS DOUBLE) * 1024.0,
+                 CAST(printf('%d.%d', 100 + u % 400, e % 7) AS DOUBLE) * 1048576.0 FROM evp WHERE kind = 'view')
+SELECT app_id AS application_id, max(capacity_bytes) AS capacity_bytes, count(size_bytes) AS blocks_stored,
+       max(size_bytes) AS peak_block_bytes, min(free_bytes) AS min_free_bytes
+FROM cap GROUP BY app_id"""),
+        "cache_ratio": q("""
+SELECT app_id AS application_id, count(*) AS lookups, count_if(e % 3 <> 0) AS hits,
+       avg(CASE WHEN e % 3 <> 0 THEN 1.0 ELSE 0.0 END) AS hit_ratio
+FROM evp WHERE kind = 'view' GROUP BY app_id"""),
+        "python_times_by_app": q("""
+SELECT app_id AS application_id, count(*) AS runs, CAST(sum(v + 50) AS BIGINT) AS total_ms,
+       CAST(sum(e % 40 - 20) AS BIGINT) AS boot_ms, CAST(sum(e % 30) AS BIGINT) AS init_ms,
+       CAST(sum(v) AS BIGINT) AS finish_ms, avg(v + 50) AS mean_total_ms
+FROM evp WHERE kind = 'purchase' GROUP BY app_id"""),
+        "input_bytes": q("""
+SELECT printf('hdfs://10.10.34.11:9000/data/part-%d.txt', e % 5) AS input_file, count(*) AS splits,
+       CAST(sum(1000 + e % 997) AS BIGINT) AS bytes
+FROM evp WHERE kind = 'click' GROUP BY 1"""),
+        "containers": q("SELECT * FROM conts"),
+    }
+
+
+def inventory_queries() -> dict[str, str]:
+    return {
+        "inventory": with_feed("""
+SELECT count(*) AS entries, count(DISTINCT file_path) AS files, count(DISTINCT printf('container_%d_%s_01_%06d', c, a, k)) AS containers,
+       count(DISTINCT app_id) AS applications FROM feed"""),
+        "app_file_stats": with_feed("""
+SELECT app_id AS application_id, count(DISTINCT file_path) AS files, count(*) AS lines,
+       CAST(sum(strlen(value) + 1) AS BIGINT) AS bytes
+FROM feed GROUP BY app_id"""),
+        "top_apps_by_files": with_feed("""
+SELECT app_id AS application_id, count(DISTINCT file_path) AS files, count(*) AS lines,
+       CAST(sum(strlen(value) + 1) AS BIGINT) AS bytes
+FROM feed GROUP BY app_id ORDER BY files DESC, application_id LIMIT 5"""),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
+    out.update(message_queries())
+    out.update(task_queries())
+    out.update(inventory_queries())
     out.update(level_queries())
     out.update(usage_queries())
     out.update(daily_queries())
