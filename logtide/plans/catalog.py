@@ -17,6 +17,7 @@ from logtide.operators import daily as D
 from logtide.operators import inventory as I
 from logtide.operators import levels as L
 from logtide.operators import messages as M
+from logtide.operators import records as RC
 from logtide.operators import tasks as T
 from logtide.operators import usage as U
 from logtide.plans import reports as R
@@ -152,8 +153,16 @@ def inventory_queries() -> dict[str, Query]:
     }
 
 
+def record_queries() -> dict[str, Query]:
+    return {
+        "records": lambda s, d: RC.assemble_records(_logs(s, d)),
+        "multiline_records": lambda s, d: RC.multiline_records(_logs(s, d)),
+    }
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
+    out.update(record_queries())
     out.update(message_queries())
     out.update(task_queries())
     out.update(inventory_queries())

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 FEED = r"""
 ev AS (
-  SELECT event_id AS e, user_id AS u, CAST(floor(value) AS BIGINT) AS v, event_type AS kind,
+  SELECT event_id AS e, user_id AS u, CAST(floor(value) AS BIGINT) AS v, event_type AS kind, ts,
          strftime(ts, '%y/%m/%d %H:%M:%S') AS tt,
          strftime(ts + to_seconds(CAST(floor(value) AS BIGINT)), '%y/%m/%d %H:%M:%S') AS tt_fin,
          date_trunc('second', ts) AS t0,
@@ -29,87 +29,87 @@ evp AS (
          printf('container_%d_%s_01_%06d', c, a, k) AS cont
   FROM ev),
 feed AS (
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, 0 AS seq, t0 AS lts, 'INFO' AS lvl, 'INFO' AS wlvl,
+  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 0 AS seq, t0 AS lts, 'INFO' AS lvl, 'INFO' AS wlvl,
          'executor.CoarseGrainedExecutorBackend' AS comp,
          printf('%s INFO executor.CoarseGrainedExecutorBackend: Got assigned task %d', tt, e) AS value
   FROM evp WHERE kind = 'click'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, 1, t0, 'INFO', 'INFO', 'executor.Executor',
+  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 1, t0, 'INFO', 'INFO', 'executor.Executor',
          printf('%s INFO executor.Executor: Running task %s', tt, task)
   FROM evp WHERE kind = 'click'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, 2, t0, 'INFO', 'INFO', 'rdd.HadoopRDD',
+  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 2, t0, 'INFO', 'INFO', 'rdd.HadoopRDD',
          printf('%s INFO rdd.HadoopRDD: Input split: hdfs://10.10.34.11:9000/data/part-%d.txt:%d+%d',
                 tt, e % 5, v * 1000, 1000 + e % 997)
   FROM evp WHERE kind = 'click'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, 3, t_fin, 'INFO', 'INFO', 'executor.Executor',
+  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 3, t_fin, 'INFO', 'INFO', 'executor.Executor',
          printf('%s INFO executor.Executor: Finished task %s. %d bytes result sent to driver',
                 tt_fin, task, 1000 + v * 13)
   FROM evp WHERE kind = 'click' AND e % 10 <> 0
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, 0, CASE WHEN e % 97 = 0 THEN NULL ELSE t0 END,
+  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 0, CASE WHEN e % 97 = 0 THEN NULL ELSE t0 END,
          'INFO', 'INFO', 'python.PythonRunner',
          printf('%s INFO python.PythonRunner: Times: total = %d, boot = %d, init = %d, finish = %d',
                 CASE WHEN e % 97 = 0 THEN '24/13/40 25:61:61' ELSE tt END, v + 50, e % 40 - 20, e % 30, v)
   FROM evp WHERE kind = 'purchase'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, 0, t0, 'INFO', 'INFO', 'yarn.YarnAllocator',
+  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 0, t0, 'INFO', 'INFO', 'yarn.YarnAllocator',
          printf('%s INFO yarn.YarnAllocator: Will request %d executor containers, each with %d cores and %d MB memory including 384 MB overhead',
                 tt, 1 + e % 16, cores, mem)
   FROM evp WHERE kind = 'signup'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, 1, t0, 'INFO', 'INFO', 'yarn.YarnAllocator',
+  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 1, t0, 'INFO', 'INFO', 'yarn.YarnAllocator',
          printf('%s INFO yarn.YarnAllocator: Submitted container request (host: Any, capability: <memory:%d, vCores:%d>)',
                 tt, mem, cores)
   FROM evp WHERE kind = 'signup'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, 2, t0, 'INFO', 'INFO', 'storage.MemoryStore',
+  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 2, t0, 'INFO', 'INFO', 'storage.MemoryStore',
          printf('%s INFO storage.MemoryStore: MemoryStore started with capacity %d.%d MB', tt, v + 100, e % 10)
   FROM evp WHERE kind = 'signup'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, 3, t0, 'WARN', 'WARN', 'scheduler.TaskSetManager',
+  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 3, t0, 'WARN', 'WARN', 'scheduler.TaskSetManager',
          printf('%s WARN scheduler.TaskSetManager: Lost task %d.0 in stage %d.0 (TID %d, host-%d): ExecutorLostFailure%s',
                 tt, e % 13, e % 7, e, u % 9, CASE WHEN e % 4 = 0 THEN ' (ERROR exit code 143)' ELSE '' END)
   FROM evp WHERE kind = 'signup'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, 0, t0, 'INFO', 'INFO', 'storage.MemoryStore',
+  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 0, t0, 'INFO', 'INFO', 'storage.MemoryStore',
          printf('%s INFO storage.MemoryStore: Block broadcast_%d stored as values in memory (estimated size %s KB, free %d.%d MB)',
                 tt, e % 50, size, 100 + u % 400, e % 7)
   FROM evp WHERE kind = 'view'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, 1, t0, 'INFO', 'INFO', 'storage.BlockManagerInfo',
+  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 1, t0, 'INFO', 'INFO', 'storage.BlockManagerInfo',
          printf('%s INFO storage.BlockManagerInfo: Added broadcast_%d_piece0 in memory on host-%d:%d (size: %s KB, free: %d.%d GB)',
                 tt, e % 50, u % 9, 40000 + e % 1000, size, u % 20, e % 10)
   FROM evp WHERE kind = 'view'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, 2, t0, 'INFO', 'INFO',
+  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 2, t0, 'INFO', 'INFO',
          CASE WHEN e % 3 = 0 THEN 'spark.CacheManager' ELSE 'storage.BlockManager' END,
          CASE WHEN e % 3 = 0 THEN printf('%s INFO spark.CacheManager: Partition %s not found, computing it', tt, rdd)
               ELSE printf('%s INFO storage.BlockManager: Found block %s locally', tt, rdd) END
   FROM evp WHERE kind = 'view'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, 3, t0, 'INFO', 'INFO', 'broadcast.TorrentBroadcast',
+  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 3, t0, 'INFO', 'INFO', 'broadcast.TorrentBroadcast',
          printf('%s INFO broadcast.TorrentBroadcast: Started reading broadcast variable %d', tt, e % 50)
   FROM evp WHERE kind = 'view'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, 4, t0, 'INFO', '', '',
+  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 4, t0, 'INFO', '', '',
          printf('%s storage.BlockManager: INFORMATIONAL usage report for %s', tt, rdd)
   FROM evp WHERE kind = 'view'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, 0, t0, 'ERROR', 'ERROR', 'executor.Executor',
+  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 0, t0, 'ERROR', 'ERROR', 'executor.Executor',
          printf('%s ERROR executor.Executor: Exception in task %s', tt, task)
   FROM evp WHERE kind = 'error'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, 1, NULL, '', '', '',
+  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 1, NULL, '', '', '',
          printf('java.io.IOException: Disk %d unavailable', e % 4)
   FROM evp WHERE kind = 'error'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, 2, NULL, '', '', '',
+  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 2, NULL, '', '', '',
          printf(chr(9) || 'at org.apache.spark.storage.DiskStore.put(DiskStore.scala:%d)', 40 + e % 60)
   FROM evp WHERE kind = 'error'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, 3, NULL, '', '', '', ''
+  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 3, NULL, '', '', '', ''
   FROM evp WHERE kind = 'error' AND e % 3 = 0
 )"""
 
@@ -520,8 +520,32 @@ FROM feed GROUP BY app_id ORDER BY files DESC, application_id LIMIT 5"""),
     }
 
 
+RECORDS = r"""
+, o AS (
+  SELECT file_path, value, e, seq, lts, lvl,
+         CASE WHEN kind = 'click' AND seq = 3 THEN ts + to_seconds(v) ELSE ts END AS ot,
+         CASE WHEN lts IS NOT NULL OR value LIKE '24/13/40 %' THEN 1 ELSE 0 END AS is_head
+  FROM feed),
+n AS (
+  SELECT *, sum(is_head) OVER (PARTITION BY file_path ORDER BY ot, e, seq ROWS UNBOUNDED PRECEDING) AS record_no
+  FROM o),
+r AS (
+  SELECT file_path, CAST(record_no AS BIGINT) AS record_no, list(lts ORDER BY ot, e, seq)[1] AS ts,
+         list(lvl ORDER BY ot, e, seq)[1] AS log_level, count(*) AS lines,
+         string_agg(value, chr(10) ORDER BY ot, e, seq) AS text
+  FROM n GROUP BY file_path, record_no)"""
+
+
+def record_queries() -> dict[str, str]:
+    return {
+        "records": with_feed(RECORDS + "\nSELECT * FROM r"),
+        "multiline_records": with_feed(RECORDS + "\nSELECT * FROM r WHERE lines > 1"),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
+    out.update(record_queries())
     out.update(message_queries())
     out.update(task_queries())
     out.update(inventory_queries())
