@@ -32,7 +32,11 @@ def _share(n: Column, valid: Column) -> Column:
 
 
 def level_counts(
-    logs: DataFrame, mode: str = "substring", zero_fill: bool = True, order: str = "fixed"
+    logs: DataFrame | None = None,
+    mode: str = "substring",
+    zero_fill: bool = True,
+    order: str = "fixed",
+    histogram: DataFrame | None = None,
 ) -> DataFrame:
     """``log_level, count, pct, rank``.
 
@@ -40,13 +44,15 @@ def level_counts(
     DEBUG, with a 0 row for an absent level (the cluster report).
     ``zero_fill=False, order="count"``: only levels seen, most frequent first
     (the local report). ``pct`` is the share of lines that have a level.
+    A ``histogram`` from ``level_histogram`` may be passed instead of ``logs``.
     """
-    hist = level_histogram(logs, mode).filter(F.col("log_level") != "")
+    hist = histogram if histogram is not None else level_histogram(logs, mode)
+    hist = hist.filter(F.col("log_level") != "")
     if zero_fill:
         # The 4-row dimension of levels is the preserved side. ``hist`` holds at
         # most four rows (the regex has four alternatives), so broadcasting it
         # has a proven size bound.
-        dim = logs.sparkSession.createDataFrame(
+        dim = hist.sparkSession.createDataFrame(
             [(lvl, i) for i, lvl in enumerate(P.LEVELS, start=1)], "log_level string, fixed_rank int"
         )
         counts = dim.join(F.broadcast(hist), "log_level", "left").select(
@@ -69,13 +75,15 @@ def level_counts(
     ).orderBy("rank")
 
 
-def level_summary(logs: DataFrame, mode: str = "substring") -> DataFrame:
+def level_summary(
+    logs: DataFrame | None = None, mode: str = "substring", histogram: DataFrame | None = None
+) -> DataFrame:
     """One row: ``total_lines, valid_lines, unique_levels``.
 
     A line without level still counts in ``total_lines``. One scan; the
     final step aggregates the five-row histogram.
     """
-    h = level_histogram(logs, mode)
+    h = histogram if histogram is not None else level_histogram(logs, mode)
     has = F.col("log_level") != ""
     return h.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_lines"),

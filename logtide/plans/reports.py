@@ -25,17 +25,24 @@ USAGE_HEADER = (
 USAGE_LINE = "  Cluster %s: %d applications"
 
 
-def level_report(logs: DataFrame, style: str = "cluster", mode: str = "substring") -> DataFrame:
+def level_report(
+    logs: DataFrame | None = None,
+    style: str = "cluster",
+    mode: str = "substring",
+    histogram: DataFrame | None = None,
+) -> DataFrame:
     """Summary text of the level distribution.
 
     ``style="cluster"``: plain totals, the four levels in fixed order with
     zero rows. ``style="local"``: totals with thousands separators, seen
-    levels by count, wider columns.
+    levels by count, wider columns. Pass ``histogram`` (from
+    ``level_histogram``) to reuse an already computed one.
     """
     if style not in LEVEL_LINE:
         raise ValueError(f"style must be one of {sorted(LEVEL_LINE)}")
     total_fmt = "%,d" if style == "local" else "%d"
-    summary = L.level_summary(logs, mode)
+    hist = histogram if histogram is not None else L.level_histogram(logs, mode)
+    summary = L.level_summary(histogram=hist)
     header = summary.select(
         F.inline(
             F.array(
@@ -48,9 +55,9 @@ def level_report(logs: DataFrame, style: str = "cluster", mode: str = "substring
         )
     )
     if style == "cluster":
-        counts = L.level_counts(logs, mode, zero_fill=True, order="fixed")
+        counts = L.level_counts(histogram=hist, zero_fill=True, order="fixed")
     else:
-        counts = L.level_counts(logs, mode, zero_fill=False, order="count")
+        counts = L.level_counts(histogram=hist, zero_fill=False, order="count")
     body = counts.select(
         (F.col("rank") + 5).cast("int").alias("line_no"),
         F.format_string(LEVEL_LINE[style], "log_level", "count", "pct").alias("line"),

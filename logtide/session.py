@@ -1,0 +1,28 @@
+"""Session settings the library reads (it never builds a session itself)."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import SparkSession
+
+CHECKPOINT_CONF = "spark.checkpoint.dir"
+
+
+def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
+    """The shared checkpoint folder of the cluster (``spark.checkpoint.dir``).
+
+    Only when the session names none (local runs, tests) a folder is set:
+    ``fallback`` or a new temporary directory. On a cluster that setting must
+    point at shared storage; a machine-local folder would not survive the loss
+    of an executor.
+    """
+    current = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+    if current:
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(current)
+        return current
+    path = fallback or tempfile.mkdtemp(prefix="logtide-ckpt-")
+    spark.conf.set(CHECKPOINT_CONF, path)
+    spark.sparkContext.setCheckpointDir(path)
+    return path

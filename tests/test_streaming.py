@@ -1,0 +1,26 @@
+"""Incremental level counts and timeline over a growing folder."""
+
+import os
+
+from logtide.streaming import logs as S
+from logtree import TREE, write_tree
+
+
+def test_stream_levels_and_spans(spark, tmp):
+    src = os.path.join(tmp, "in")
+    write_tree(src)
+    seen = {}
+
+    def keep(name):
+        def f(batch, epoch):
+            seen[name] = sorted(tuple(r) for r in batch.collect())
+        return f
+
+    logs = S.stream_logs(spark, src)
+    q1 = S.start(S.level_counts_stream(logs), "levels_test", on_batch=keep("levels"), trigger_once=True)
+    q2 = S.start(S.app_spans_stream(logs), "spans_test", on_batch=keep("spans"), trigger_once=True)
+    q1.awaitTermination(120)
+    q2.awaitTermination(120)
+    assert dict(seen["levels"]) == {"INFO": 11, "WARN": 1, "ERROR": 1, "DEBUG": 1}
+    assert len(seen["spans"]) == 3
+    assert len(TREE) == 5
