@@ -5,9 +5,8 @@ row) and, where the file matters, ``file_path``; ``read_logs`` and the test
 feed both give that shape.
 
 Plan shape: every count here is one scan with map-side partial aggregation.
-``level_histogram`` groups by the level *including* the empty level, so a map
-task ships at most five rows whatever the input size; counts, summary and
-report are then derived from those few rows.
+``level_totals`` is a single global aggregate (one partial row per map task);
+counts, summary and report are projections of its one row.
 """
 
 from __future__ import annotations
@@ -21,11 +20,38 @@ from logtide.functions import parse as P
 def level_histogram(logs: DataFrame, mode: str = "substring") -> DataFrame:
     """``log_level, n``: lines per level, ``""`` for lines without a level.
 
-    At most five rows; the basis of the counts, the summary and the report.
+    At most five rows (a grouping by level).
     """
     return logs.groupBy(P.log_level("value", mode).alias("log_level")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def level_totals(logs: DataFrame, mode: str = "substring") -> DataFrame:
+    """One row: ``total_lines`` and one count column per level (``n_INFO`` ...).
+
+    A single global aggregate: the level is extracted once per line and
+    counted conditionally, map tasks ship one partial row each. Counts,
+    summary and report are all projections of this row, so one scan serves
+    them and absent levels are zero by construction.
+    """
+    lvl = F.col("log_level")
+    return logs.select(P.log_level("value", mode).alias("log_level")).agg(
+        F.count(F.lit(1)).alias("total_lines"),
+        *[F.count_if(lvl == name).alias(f"n_{name}") for name in P.LEVELS],
+    )
+
+
+def _level_rows(totals: DataFrame) -> DataFrame:
+    """The totals row unpivoted: ``log_level, count, fixed_rank, total_lines, valid_lines``."""
+    valid = sum((F.col(f"n_{name}") for name in P.LEVELS), F.lit(0))
+    rows = F.array(
+        *[
+            F.struct(F.lit(name).alias("log_level"), F.col(f"n_{name}").alias("count"), F.lit(i).alias("fixed_rank"))
+            for i, name in enumerate(P.LEVELS, start=1)
+        ]
+    )
+    return totals.select("total_lines", valid.alias("valid_lines"), F.inline(rows))
+
+
 def _share(n: Column, valid: Column) -> Column:
     # Percent of lines *with* a level; 0 when there is none.
     return F.when(valid > 0, n / valid * 100.0).otherwise(F.lit(0.0))
@@ -36,59 +62,48 @@ def level_counts(
     mode: str = "substring",
     zero_fill: bool = True,
     order: str = "fixed",
-    histogram: DataFrame | None = None,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """``log_level, count, pct, rank``.
 
     ``zero_fill=True``: all four levels in the fixed order INFO, WARN, ERROR,
     DEBUG, with a 0 row for an absent level (the cluster report).
-    ``zero_fill=False, order="count"``: only levels seen, most frequent first
-    (the local report). ``pct`` is the share of lines that have a level.
-    A ``histogram`` from ``level_histogram`` may be passed instead of ``logs``.
+    ``zero_fill=False, order="count"``: only levels seen, most frequent first,
+    ties by name (the local report). ``pct`` is the share of lines that have
+    a level. ``totals`` (from ``level_totals``) may be passed instead of ``logs``.
     """
-    hist = histogram if histogram is not None else level_histogram(logs, mode)
-    hist = hist.filter(F.col("log_level") != "")
-    if zero_fill:
-        # The 4-row dimension of levels is the preserved side. ``hist`` holds at
-        # most four rows (the regex has four alternatives), so broadcasting it
-        # has a proven size bound.
-        dim = hist.sparkSession.createDataFrame(
-            [(lvl, i) for i, lvl in enumerate(P.LEVELS, start=1)], "log_level string, fixed_rank int"
-        )
-        counts = dim.join(F.broadcast(hist), "log_level", "left").select(
-            "log_level", F.coalesce("n", F.lit(0)).cast("bigint").alias("count"), "fixed_rank"
-        )
-    else:
-        counts = hist.select("log_level", F.col("n").alias("count"), F.lit(0).alias("fixed_rank"))
-    # Window over the whole result: at most four rows, one partition is fine.
-    everything = Window.partitionBy()
-    valid = F.sum("count").over(everything)
-    if order == "fixed" and zero_fill:
+    t = totals if totals is not None else level_totals(logs, mode)
+    rows = _level_rows(t)
+    if not zero_fill:
+        rows = rows.filter(F.col("count") > 0)
+    if order == "fixed":
         rank = F.col("fixed_rank")
-    else:
+    elif order == "count":
+        # At most four rows: a window without partition is one tiny task.
         rank = F.row_number().over(Window.orderBy(F.desc("count"), "log_level"))
-    return counts.select(
+    else:
+        raise ValueError(f"order must be 'fixed' or 'count', not {order!r}")
+    return rows.select(
         "log_level",
-        "count",
-        _share(F.col("count"), valid).alias("pct"),
+        F.col("count").cast("bigint").alias("count"),
+        _share(F.col("count"), F.col("valid_lines")).alias("pct"),
         rank.cast("int").alias("rank"),
     ).orderBy("rank")
 
 
 def level_summary(
-    logs: DataFrame | None = None, mode: str = "substring", histogram: DataFrame | None = None
+    logs: DataFrame | None = None, mode: str = "substring", totals: DataFrame | None = None
 ) -> DataFrame:
     """One row: ``total_lines, valid_lines, unique_levels``.
 
-    A line without level still counts in ``total_lines``. One scan; the
-    final step aggregates the five-row histogram.
+    A line without level still counts in ``total_lines``.
     """
-    h = histogram if histogram is not None else level_histogram(logs, mode)
-    has = F.col("log_level") != ""
-    return h.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_lines"),
-        F.coalesce(F.sum(F.when(has, F.col("n"))), F.lit(0)).cast("bigint").alias("valid_lines"),
-        F.count_if(has).cast("bigint").alias("unique_levels"),
+    t = totals if totals is not None else level_totals(logs, mode)
+    counts = [F.col(f"n_{name}") for name in P.LEVELS]
+    return t.select(
+        F.col("total_lines").cast("bigint").alias("total_lines"),
+        sum(counts, F.lit(0)).cast("bigint").alias("valid_lines"),
+        sum((F.when(c > 0, 1).otherwise(0) for c in counts), F.lit(0)).cast("bigint").alias("unique_levels"),
     )
 
 

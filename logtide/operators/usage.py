@@ -205,8 +205,15 @@ def concurrency(timeline: DataFrame) -> DataFrame:
     Running means ``start <= t < end``. ``peak_time`` is the first instant
     that reaches the peak.
     """
-    ev = timeline.select("cluster_id", F.col("start_time").alias("t"), F.lit(1).alias("d")).unionByName(
-        timeline.select("cluster_id", F.col("end_time").alias("t"), F.lit(-1).alias("d"))
+    # Each application is one +1 event at its start and one -1 at its end (one pass).
+    ev = timeline.select(
+        "cluster_id",
+        F.inline(
+            F.array(
+                F.struct(F.col("start_time").alias("t"), F.lit(1).alias("d")),
+                F.struct(F.col("end_time").alias("t"), F.lit(-1).alias("d")),
+            )
+        ),
     )
     net = ev.groupBy("cluster_id", "t").agg(F.sum("d").alias("net")).withColumn("day", F.to_date("t"))
     per_day = net.groupBy("cluster_id", "day").agg(F.sum("net").alias("day_net"))

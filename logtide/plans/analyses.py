@@ -48,21 +48,21 @@ def level_distribution(
 ) -> dict[str, str]:
     """Writes ``level_counts.csv``, ``level_sample.csv`` and ``level_summary.txt``.
 
-    One scan builds the five-row level histogram (kept in memory: it is five
-    rows); counts and summary text come from it. The sample is a second scan
-    with a top-k.
+    One scan builds the one-row level totals (kept in memory: it is one
+    row); counts and summary text are projections of it. The sample is a
+    second scan with a top-k.
     """
     logs = read_logs(spark, input_path, glob=glob)
-    hist = L.level_histogram(logs, mode).cache()
+    totals = L.level_totals(logs, mode).cache()
     try:
         zero_fill = style == "cluster"
-        counts = L.level_counts(histogram=hist, zero_fill=zero_fill, order="fixed" if zero_fill else "count")
+        counts = L.level_counts(totals=totals, zero_fill=zero_fill, order="fixed" if zero_fill else "count")
         out = {
             "counts": sinks.write_small_csv(counts.select("log_level", "count"), _out(outdir, "level_counts.csv")),
-            "summary": sinks.write_text(R.level_report(histogram=hist, style=style), _out(outdir, "level_summary.txt")),
+            "summary": sinks.write_text(R.level_report(totals=totals, style=style), _out(outdir, "level_summary.txt")),
         }
     finally:
-        hist.unpersist()
+        totals.unpersist()
     sample = L.level_sample(logs, n=sample_size, seed=seed, method=sample_method, mode=mode)
     out["sample"] = sinks.write_small_csv(sample, _out(outdir, "level_sample.csv"))
     return out
