@@ -13,6 +13,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Line breaks as the text source treats them: \r\n, \r or \n.
+LINE_BREAK = r"\r\n|\r|\n"
+SMALL_FILE_BYTES = 8 * 1024 * 1024
+
+
+def _reader(spark: SparkSession, fmt: str, recursive: bool, glob: str | None):
+    r = spark.read.format(fmt)
+    if recursive:
+        r = r.option("recursiveFileLookup", "true")
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    return r
+
+
+def _split_lines(text):
+    """Lines of a whole file's text, as the text source would give them."""
+    body = F.regexp_replace(text, r"(\r\n|\r|\n)\z", "")
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(body, LINE_BREAK, -1))
+
+
 def read_logs(
     spark: SparkSession,
     path: str | list[str],
@@ -21,6 +41,7 @@ def read_logs(
     with_path: bool = True,
     with_size: bool = False,
     with_order: bool = False,
+    small_file_bytes: int | None = SMALL_FILE_BYTES,
 ) -> DataFrame:
     """Lines of all files under ``path`` whose name matches ``glob``.
 
@@ -28,26 +49,46 @@ def read_logs(
     the file) and ``line_order`` / ``line_split`` (file order of the lines,
     for ``records.assemble_records``). ``glob`` keeps archives such as a
     ``.tar.gz`` next to the logs out of the scan; ``None`` reads every file.
+
+    Container logs are often many small files, where opening a file costs
+    more than reading it. Files under ``small_file_bytes`` are therefore read
+    whole (``binaryFile`` source, one row per file) and split into lines in
+    the JVM; larger files use the splittable text source, so no task ever
+    holds more than ``small_file_bytes`` of one file. The size filters are
+    applied when files are listed, so every file is read exactly once.
+    ``small_file_bytes=None`` reads everything with the text source.
     """
-    reader = spark.read.format("text")
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
     paths = [path] if isinstance(path, str) else list(path)
-    df = reader.load(paths)
+    text = _reader(spark, "text", recursive, glob).load(paths)
+    size = F.col("_metadata.file_size")
+    start = F.col("_metadata.file_block_start")
     cols = [F.col("value")]
     if with_path:
         cols.append(F.col("_metadata.file_path").alias("file_path"))
     if with_size:
-        cols.append(F.col("_metadata.file_size").alias("file_size"))
+        cols.append(size.alias("file_size"))
     if with_order:
         # Inside one split the id grows in read order; splits of one file are
         # ordered by their start offset.
-        start = F.col("_metadata.file_block_start")
         cols.append(F.struct(start.alias("block"), F.monotonically_increasing_id().alias("pos")).alias("line_order"))
         cols.append(start.alias("line_split"))
-    return df.select(*cols)
+    if small_file_bytes is None:
+        return text.select(*cols)
+    large = text.filter(size >= small_file_bytes).select(*cols)
+
+    whole = _reader(spark, "binaryFile", recursive, glob).load(paths).filter(F.col("length") < small_file_bytes)
+    exploded = whole.select(
+        F.col("path"), F.col("length"), F.posexplode(_split_lines(F.col("content").cast("string"))).alias("pos", "value")
+    )
+    small_cols = [F.col("value")]
+    if with_path:
+        small_cols.append(F.col("path").alias("file_path"))
+    if with_size:
+        small_cols.append(F.col("length").alias("file_size"))
+    if with_order:
+        small_cols.append(F.struct(F.lit(0).cast("bigint").alias("block"), F.col("pos").cast("bigint").alias("pos")).alias("line_order"))
+        small_cols.append(F.lit(0).cast("bigint").alias("line_split"))
+    return exploded.select(*small_cols).unionByName(large)
 
 
 def with_file_path(df: DataFrame) -> DataFrame:

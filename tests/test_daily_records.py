@@ -88,12 +88,14 @@ def test_records_across_splits(spark, tmp):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
     try:
-        logs = read_logs(spark, tmp, with_order=True)
+        logs = read_logs(spark, tmp, with_order=True, small_file_bytes=None)
         assert logs.rdd.getNumPartitions() > 5  # the file is really split
         recs = RC.assemble_records(logs).orderBy("record_no").collect()
+        whole = RC.assemble_records(read_logs(spark, tmp, with_order=True)).orderBy("record_no").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     exp = expected_records(lines)
     assert [r.text for r in recs] == exp
+    assert [r.text for r in whole] == exp  # file read whole: same records
     assert recs[0].record_no == 0 and recs[0].ts is None
     assert [r.lines for r in recs[1:6]] == [1, 1, 1, 1, 1] and recs[1].log_level == "ERROR"

@@ -25,6 +25,29 @@ def test_read_logs_recursive_glob_and_path(spark, tmp):
     assert "file_path" in plan
 
 
+def test_whole_file_and_text_reads_agree(spark, tmp):
+    files = {
+        "a.log": "l1\nl2\n",
+        "b.log": "no newline at end",
+        "c.log": "",
+        "d.log": "x\r\ny\rz\n\n",
+        "e.log": "\n",
+        "f.log": "tab\there\nü unicode\n",
+    }
+    for name, body in files.items():
+        with open(os.path.join(tmp, name), "w", newline="") as f:
+            f.write(body)
+    def rows(**kw):
+        df = read_logs(spark, tmp, with_order=True, **kw)
+        return sorted((os.path.basename(r.file_path), r.value) for r in df.collect())
+    text_only = rows(small_file_bytes=None)
+    assert rows() == text_only
+    assert rows(small_file_bytes=10) == text_only  # mixed: some files whole, some as text
+    assert ("d.log", "y") in text_only and ("e.log", "") in text_only and len([r for r in text_only if r[0] == "c.log"]) == 0
+    order = read_logs(spark, tmp, with_order=True).filter("file_path like '%d.log'").orderBy("line_order").collect()
+    assert [r.value for r in order] == ["x", "y", "z", ""]
+
+
 def test_read_logs_size_and_listing(spark, tmp):
     root = write_tree(tmp)
     sizes = {r.file_path: r.file_size for r in read_logs(spark, root, with_size=True).select("file_path", "file_size").distinct().collect()}
