@@ -34,11 +34,20 @@ def _timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.app_spans(_logs(spark, sf_dir)).select(*U.TIMELINE_COLUMNS)
 
 
+def _sql_view_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line count through a temporary view and Spark SQL."""
+    _logs(spark, sf_dir).createOrReplaceTempView("logtide_log_lines")
+    return spark.sql("SELECT COUNT(*) AS total FROM logtide_log_lines")
+
+
 def level_queries() -> dict[str, Query]:
     return {
         "level_counts": lambda s, d: L.level_counts(_logs(s, d)),
         "level_counts_word": lambda s, d: L.level_counts(_logs(s, d), mode="word", zero_fill=False, order="count"),
         "level_summary": lambda s, d: L.level_summary(_logs(s, d)),
+        "level_histogram": lambda s, d: L.level_histogram(_logs(s, d)),
+        "level_report_local": lambda s, d: R.level_report(_logs(s, d), style="local"),
+        "sql_view_count": _sql_view_count,
         "level_report": lambda s, d: R.level_report(_logs(s, d)),
         "level_sample": lambda s, d: L.level_sample(_logs(s, d), n=10, seed=42, method="hash"),
         "level_sample_random": lambda s, d: L.level_sample(_logs(s, d), n=10, seed=42, method="rand"),
@@ -52,6 +61,7 @@ def level_queries() -> dict[str, Query]:
 def usage_queries() -> dict[str, Query]:
     return {
         "app_timeline": lambda s, d: U.app_timeline(_logs(s, d)),
+        "file_spans": lambda s, d: U.file_spans(_logs(s, d)),
         "cluster_summary": lambda s, d: U.cluster_summary(_timeline(s, d)),
         "usage_stats": lambda s, d: U.usage_stats(U.cluster_summary(_timeline(s, d))),
         "usage_report": lambda s, d: R.usage_report(U.cluster_summary(_timeline(s, d))),

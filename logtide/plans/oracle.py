@@ -155,6 +155,21 @@ SELECT log_level, n AS count, n / sum(n) OVER () * 100.0 AS pct,
        CAST(row_number() OVER (ORDER BY n DESC, log_level) AS INTEGER) AS rank
 FROM hist"""
         ),
+        "level_histogram": with_feed("SELECT lvl AS log_level, count(*) AS n FROM feed GROUP BY lvl"),
+        "level_report_local": with_feed(
+            """, s AS (SELECT count(*) AS total, count_if(lvl <> '') AS valid, count(DISTINCT nullif(lvl, '')) AS uniq FROM feed),
+lv AS (SELECT lvl AS log_level, count(*) AS n FROM feed WHERE lvl <> '' GROUP BY lvl)
+SELECT 1 AS line_no, printf('Total log lines processed: %,d', total) AS line FROM s
+UNION ALL SELECT 2, printf('Total lines with log levels: %,d', valid) FROM s
+UNION ALL SELECT 3, printf('Unique log levels found: %d', uniq) FROM s
+UNION ALL SELECT 4, ''
+UNION ALL SELECT 5, 'Log level distribution:'
+UNION ALL
+SELECT CAST(5 + row_number() OVER (ORDER BY n DESC, log_level) AS INTEGER),
+       printf('  %-6s: %,10d (%6.2f%%)', log_level, n, CASE WHEN valid > 0 THEN n / valid * 100.0 ELSE 0.0 END)
+FROM lv, s"""
+        ),
+        "sql_view_count": with_feed("SELECT count(*) AS total FROM feed"),
         "level_summary": with_feed(
             """
 SELECT count(*) AS total_lines, count_if(lvl <> '') AS valid_lines,
@@ -214,6 +229,11 @@ SELECT file_path, value FROM feed WHERE contains(value, 'ERROR')"""
 def usage_queries() -> dict[str, str]:
     return {
         "app_timeline": with_feed("SELECT * FROM timeline", timeline=True),
+        "file_spans": with_feed(
+            """
+SELECT file_path, min(lts) AS first_ts, max(lts) AS last_ts, count(*) AS lines
+FROM feed WHERE lts IS NOT NULL GROUP BY file_path"""
+        ),
         "cluster_summary": with_feed("SELECT * FROM summary", timeline=True),
         "usage_stats": with_feed(
             """
