@@ -67,18 +67,21 @@ class Message:
     def matches(self, value: Column) -> Column:
         return value.contains(self.marker) & value.rlike(self.pattern)
 
-    def columns(self, value: Column) -> list[Column]:
-        out = []
-        for name, kind, idx in self.fields:
-            if kind == "text":
-                out.append(group(value, self.pattern, idx).alias(name))
-            elif kind == "long":
-                out.append(group_long(value, self.pattern, idx).alias(name))
-            elif kind == "bytes":
-                out.append(group_bytes(value, self.pattern, idx).alias(name))
-            else:
+    def field(self, value: Column, name: str) -> Column:
+        """The typed value of one field (unnamed)."""
+        for fname, kind, idx in self.fields:
+            if fname == name:
+                if kind == "text":
+                    return group(value, self.pattern, idx)
+                if kind == "long":
+                    return group_long(value, self.pattern, idx)
+                if kind == "bytes":
+                    return group_bytes(value, self.pattern, idx)
                 raise ValueError(kind)
-        return out
+        raise KeyError(name)
+
+    def columns(self, value: Column) -> list[Column]:
+        return [self.field(value, name).alias(name) for name, _, _ in self.fields]
 
 
 MESSAGES = {

@@ -27,6 +27,9 @@ def number_records(logs: DataFrame, order: str = "line_order", split: str | None
     df = df.withColumn("_split", split_col)
     local = Window.partitionBy("file_path", "_split").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_local", F.sum("is_head").over(local))
+    # Heads per split: a second read of the input, but a map-side partial
+    # aggregate that ships one row per (file, split); cheaper than sharing the
+    # windowed rows, which would shuffle and sort every line again.
     per_split = df.groupBy("file_path", "_split").agg(F.sum("is_head").alias("_heads"))
     earlier = Window.partitionBy("file_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_split.select(

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logtide.functions import parse as P
+from logtide.functions.messages import MESSAGES
 from logtide.operators import messages as M
 
 TASK_KEY = ["application_id", "container_id", "stage", "task", "tid"]
@@ -60,13 +61,26 @@ def containers(logs: DataFrame) -> DataFrame:
 
 
 def idle_containers(logs: DataFrame) -> DataFrame:
-    """Executor containers that logged no task at all (left anti join on container)."""
-    busy = M.parse_task_events(logs).select("application_id", "container_id").distinct()
-    return (
-        containers(logs)
-        .filter(F.col("role") == "executor")
-        .join(busy, ["application_id", "container_id"], "left_anti")
+    """Executor containers that logged no task at all.
+
+    One pass instead of an anti join of two reads: task lines are counted
+    per file (map-side partial aggregate), then per container; containers
+    with zero task lines remain.
+    """
+    task_line = MESSAGES["task_event"].matches(F.col("value"))
+    files = logs.groupBy("file_path").agg(F.count_if(task_line).alias("task_lines"))
+    per = (
+        files.select(
+            P.application_id("file_path").alias("application_id"),
+            P.container_id("file_path").alias("container_id"),
+            P.container_role("file_path").alias("role"),
+            "task_lines",
+        )
+        .filter((F.col("application_id") != "") & (F.col("container_id") != ""))
+        .groupBy("application_id", "container_id", "role")
+        .agg(F.sum("task_lines").alias("task_lines"))
     )
+    return per.filter((F.col("role") == "executor") & (F.col("task_lines") == 0)).drop("task_lines")
 
 
 def resource_requests(logs: DataFrame) -> DataFrame:
@@ -89,16 +103,35 @@ def request_shapes(logs: DataFrame) -> DataFrame:
 
 
 def request_vs_seen(logs: DataFrame) -> DataFrame:
-    """Per application: executors requested and executor containers that left a log."""
-    requested = resource_requests(logs).select("application_id", F.col("executors").alias("requested"))
-    seen = (
-        containers(logs)
-        .filter(F.col("role") == "executor")
-        .groupBy("application_id")
-        .agg(F.count(F.lit(1)).alias("seen"))
-    )
-    return requested.join(seen, "application_id", "left").select(
-        "application_id", "requested", F.coalesce("seen", F.lit(0)).cast("bigint").alias("seen")
+    """Per application with requests: executors requested and executor containers seen.
+
+    One pass: requested executors are summed per file (map-side partial
+    aggregate), then per application together with the count of distinct
+    executor containers that left a log file.
+    """
+    msg = MESSAGES["executor_request"]
+    v = F.col("value")
+    is_req = msg.matches(v)
+    files = logs.groupBy("file_path").agg(
+        F.sum(F.when(is_req, msg.field(v, "executors"))).alias("requested"),
+        F.count_if(is_req).alias("requests"),
+    )
+    role = P.container_role("file_path")
+    per = files.select(
+        P.application_id("file_path").alias("application_id"),
+        F.when(role == "executor", P.container_id("file_path")).alias("executor"),
+        "requested",
+        "requests",
+    ).filter(F.col("application_id") != "")
+    return (
+        per.groupBy("application_id")
+        .agg(
+            F.sum("requested").alias("requested"),
+            F.sum("requests").alias("requests"),
+            F.count_distinct("executor").alias("seen"),
+        )
+        .filter(F.col("requests") > 0)
+        .select("application_id", "requested", F.col("seen").cast("bigint").alias("seen"))
     )
 
 
@@ -148,12 +181,19 @@ def host_load(logs: DataFrame) -> DataFrame:
 def memory_profile(logs: DataFrame) -> DataFrame:
     """Per application: ``capacity_bytes, blocks_stored, peak_block_bytes, min_free_bytes``.
 
-    The two message tables are unioned and grouped once (one shuffle).
+    One pass: lines of either message are kept, each message's fields are
+    taken only on its own lines, and one ``groupBy`` folds them.
     """
-    cap = M.parse_memory_capacity(logs).select("application_id", "capacity_bytes")
-    st = M.parse_block_stored(logs).select("application_id", "size_bytes", "free_bytes")
-    both = cap.unionByName(st, allowMissingColumns=True)
-    return both.groupBy("application_id").agg(
+    v = F.col("value")
+    cap_msg, blk_msg = MESSAGES["memory_capacity"], MESSAGES["block_stored"]
+    is_cap, is_blk = cap_msg.matches(v), blk_msg.matches(v)
+    rows = logs.filter(is_cap | is_blk).select(
+        P.application_id("file_path").alias("application_id"),
+        F.when(is_cap, cap_msg.field(v, "capacity_bytes")).alias("capacity_bytes"),
+        F.when(is_blk, blk_msg.field(v, "size_bytes")).alias("size_bytes"),
+        F.when(is_blk, blk_msg.field(v, "free_bytes")).alias("free_bytes"),
+    )
+    return rows.groupBy("application_id").agg(
         F.max("capacity_bytes").alias("capacity_bytes"),
         F.count("size_bytes").alias("blocks_stored"),
         F.max("size_bytes").alias("peak_block_bytes"),
