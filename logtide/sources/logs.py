@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 # Line breaks as the text source treats them: \r\n, \r or \n.
 LINE_BREAK = r"\r\n|\r|\n"
 SMALL_FILE_BYTES = 8 * 1024 * 1024
+# Compressed files are always read by the text source, which decompresses them.
+COMPRESSED = r"(?i)\.(gz|bz2|deflate|zst|lz4|snappy|br)$"
 
 
 def _reader(spark: SparkSession, fmt: str, recursive: bool, glob: str | None):
@@ -53,8 +55,9 @@ def read_logs(
     Container logs are often many small files, where opening a file costs
     more than reading it. Files under ``small_file_bytes`` are therefore read
     whole (``binaryFile`` source, one row per file) and split into lines in
-    the JVM; larger files use the splittable text source, so no task ever
-    holds more than ``small_file_bytes`` of one file. The size filters are
+    the JVM; larger and compressed files use the text source (splittable,
+    decompressing), so no task ever holds more than ``small_file_bytes`` of
+    one uncompressed file. The size filters are
     applied when files are listed, so every file is read exactly once.
     ``small_file_bytes=None`` reads everything with the text source.
     """
@@ -74,9 +77,14 @@ def read_logs(
         cols.append(start.alias("line_split"))
     if small_file_bytes is None:
         return text.select(*cols)
-    large = text.filter(size >= small_file_bytes).select(*cols)
+    compressed = F.col("_metadata.file_path").rlike(COMPRESSED)
+    large = text.filter((size >= small_file_bytes) | compressed).select(*cols)
 
-    whole = _reader(spark, "binaryFile", recursive, glob).load(paths).filter(F.col("length") < small_file_bytes)
+    whole = (
+        _reader(spark, "binaryFile", recursive, glob)
+        .load(paths)
+        .filter((F.col("length") < small_file_bytes) & ~F.col("path").rlike(COMPRESSED))
+    )
     exploded = whole.select(
         F.col("path"), F.col("length"), F.posexplode(_split_lines(F.col("content").cast("string"))).alias("pos", "value")
     )
