@@ -14,10 +14,15 @@ processed by as many tasks as it has splits. Record numbers are exact.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logtide.functions import parse as P
+from logtide.sources import logs as S
+
+RECORDS_COLUMNS = ["file_path", "record_no", "ts", "log_level", "lines", "text"]
+# A record starts at a line break followed by a time stamp.
+RECORD_BREAK = r"(?:\r\n|\r|\n)(?=\d{2}/\d{2}/\d{2} \d{2}:\d{2}:\d{2})"
 
 
 def number_records(logs: DataFrame, order: str = "line_order", split: str | None = "line_split") -> DataFrame:
@@ -59,7 +64,7 @@ def assemble_records(logs: DataFrame, order: str = "line_order", split: str | No
         "record_no",
         P.line_ts(head).alias("ts"),
         P.log_level(head).alias("log_level"),
-        "lines",
+        F.col("lines").cast("bigint").alias("lines"),
         F.array_join(F.transform("ls", lambda x: x["v"]), "\n").alias("text"),
     )
 
@@ -67,3 +72,57 @@ def assemble_records(logs: DataFrame, order: str = "line_order", split: str | No
 def multiline_records(logs: DataFrame, order: str = "line_order", split: str | None = "line_split") -> DataFrame:
     """Only records that have continuation lines (e.g. exceptions with a stack trace)."""
     return assemble_records(logs, order, split).filter(F.col("lines") > 1)
+
+
+def read_records(
+    spark: SparkSession,
+    path: str | list[str],
+    glob: str | None = "*.log",
+    recursive: bool = True,
+    small_file_bytes: int = S.SMALL_FILE_BYTES,
+) -> DataFrame:
+    """Records of a log tree, read straight from the files (same rows as
+    ``assemble_records(read_logs(..., with_order=True))``).
+
+    A small file is read whole and its text is cut at every line break that
+    is followed by a time stamp: each piece is one record, so there is no
+    shuffle and no window. Large and compressed files go through the
+    line-based ``assemble_records`` (split-local windows).
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    whole = (
+        S._reader(spark, "binaryFile", recursive, glob)
+        .load(paths)
+        .filter((F.col("length") < small_file_bytes) & ~F.col("path").rlike(S.COMPRESSED))
+    )
+    text = F.col("content").cast("string")
+    body = F.regexp_replace(text, r"(\r\n|\r|\n)\z", "")
+    pieces = F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(body, RECORD_BREAK, -1))
+    split = whole.select(F.col("path").alias("file_path"), pieces.alias("pieces"))
+    first_is_head = (P.ts_text(F.col("pieces")[0]) != "").cast("bigint")
+    recs = split.select(
+        "file_path", first_is_head.alias("offset"), F.posexplode("pieces").alias("pos", "piece")
+    )
+    lines = F.split(F.col("piece"), S.LINE_BREAK, -1)
+    head = lines[0]
+    small = recs.select(
+        "file_path",
+        (F.col("pos") + F.col("offset")).cast("bigint").alias("record_no"),
+        P.line_ts(head).alias("ts"),
+        P.log_level(head).alias("log_level"),
+        F.size(lines).cast("bigint").alias("lines"),
+        F.array_join(lines, "\n").alias("text"),
+    )
+    big_logs = S._reader(spark, "text", recursive, glob).load(paths)
+    big_logs = big_logs.filter(
+        (F.col("_metadata.file_size") >= small_file_bytes) | F.col("_metadata.file_path").rlike(S.COMPRESSED)
+    ).select(
+        "value",
+        F.col("_metadata.file_path").alias("file_path"),
+        F.struct(
+            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos")
+        ).alias("line_order"),
+        F.col("_metadata.file_block_start").alias("line_split"),
+    )
+    big = assemble_records(big_logs).select(*RECORDS_COLUMNS)
+    return small.unionByName(big)

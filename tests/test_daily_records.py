@@ -97,5 +97,31 @@ def test_records_across_splits(spark, tmp):
     exp = expected_records(lines)
     assert [r.text for r in recs] == exp
     assert [r.text for r in whole] == exp  # file read whole: same records
+    direct = RC.read_records(spark, tmp).orderBy("record_no").collect()
+    assert [tuple(r) for r in direct] == [tuple(r) for r in recs]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        mixed = RC.read_records(spark, tmp, small_file_bytes=1000).orderBy("record_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [tuple(r) for r in mixed] == [tuple(r) for r in recs]
     assert recs[0].record_no == 0 and recs[0].ts is None
     assert [r.lines for r in recs[1:6]] == [1, 1, 1, 1, 1] and recs[1].log_level == "ERROR"
+
+
+def test_read_records_edge_cases(spark, tmp):
+    files = {
+        "a.log": "17/01/01 00:00:00 INFO a: b\r\n\tat x\r\n17/01/01 00:00:01 WARN c: d\r\n",
+        "b.log": "orphan\n\n17/01/01 00:00:00 ERROR e: f\nmore",
+        "c.log": "",
+        "d.log": "\n",
+        "e.log": "17/13/40 10:00:00 INFO bad: stamp\ncont\n",
+    }
+    for name, body in files.items():
+        with open(os.path.join(tmp, name), "w", newline="") as f:
+            f.write(body)
+    lines = read_logs(spark, tmp, with_order=True, small_file_bytes=None)
+    exp = sorted(tuple(r) for r in RC.assemble_records(lines).collect())
+    got = sorted(tuple(r) for r in RC.read_records(spark, tmp).collect())
+    assert got == exp
+    assert len(got) == 2 + 2 + 1 + 1
