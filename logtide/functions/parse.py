@@ -132,11 +132,20 @@ def size_bytes(number: Column | str, unit: Column | str) -> Column:
     return num * factor
 
 
+def seconds_between(start: Column | str, end: Column | str) -> Column:
+    """Seconds from ``start`` to ``end`` as double (negative if ``end`` is earlier).
+
+    Computed from the interval ``end - start``, which for TIMESTAMP_NTZ
+    involves no time zone: a value inside a daylight-saving gap of the
+    session zone is not moved (``timestamp_diff`` would move it).
+    """
+    interval = (_c(end) - _c(start)).cast("interval second")
+    return interval.cast("decimal(18,6)").cast("double")
+
+
 def elapsed_seconds(start: Column | str, end: Column | str) -> Column:
     """Seconds from ``start`` to ``end`` as double, clipped below at 0."""
-    return F.greatest(
-        F.timestamp_diff("SECOND", _c(start), _c(end)).cast("double"), F.lit(0.0)
-    )
+    return F.greatest(seconds_between(start, end), F.lit(0.0))
 
 
 def parse_line(value: Column | str = "value", mode: str = "substring") -> list[Column]:

@@ -32,9 +32,7 @@ def tasks(logs: DataFrame) -> DataFrame:
         F.max(F.when(finished, F.col("ts"))).alias("finished"),
         F.max("result_bytes").alias("result_bytes"),
     )
-    return out.withColumn(
-        "duration_seconds", F.timestamp_diff("SECOND", F.col("started"), F.col("finished")).cast("double")
-    )
+    return out.withColumn("duration_seconds", P.seconds_between("started", "finished"))
 
 
 def unfinished_tasks(logs: DataFrame) -> DataFrame:

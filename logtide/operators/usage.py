@@ -254,5 +254,5 @@ def start_gaps(timeline: DataFrame) -> DataFrame:
         "application_id",
         "start_time",
         prev_app.alias("prev_application_id"),
-        F.timestamp_diff("SECOND", prev_start, F.col("start_time")).cast("double").alias("gap_seconds"),
+        P.seconds_between(prev_start, F.col("start_time")).alias("gap_seconds"),
     )

@@ -89,6 +89,18 @@ def test_elapsed_seconds(spark):
     assert r.d == 100.0 and r.neg == 0.0
 
 
+def test_elapsed_seconds_ignore_session_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        ts = [P.parse_ts(F.lit(t)) for t in ("17/03/12 02:30:00", "17/03/12 03:30:00", "17/03/12 01:00:00")]
+        r = one(spark.range(1).select(P.elapsed_seconds(ts[0], ts[1]).alias("gap"), P.elapsed_seconds(ts[2], ts[1]).alias("span"),
+                                      P.seconds_between(ts[1], ts[2]).alias("neg")))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert (r.gap, r.span, r.neg) == (3600.0, 9000.0, -9000.0)
+
+
 def test_message_parsers(spark):
     logs = logs_of(spark, LINES)
     r = one(M.parse_executor_requests(logs))
