@@ -172,7 +172,7 @@ FROM lv, s"""
         "sql_view_count": with_feed("SELECT count(*) AS total FROM feed"),
         "level_summary": with_feed(
             """
-SELECT count(*) AS total_lines, count_if(lvl <> '') AS valid_lines,
+SELECT count(*) AS total_lines, CAST(count_if(lvl <> '') AS BIGINT) AS valid_lines,
        CAST(count(DISTINCT nullif(lvl, '')) AS BIGINT) AS unique_levels
 FROM feed"""
         ),
@@ -213,10 +213,10 @@ GROUP BY comp ORDER BY entries DESC, component LIMIT 20"""
         "parse_quality": with_feed(
             """
 SELECT count(*) AS total_lines,
-       count_if(lts IS NULL AND value NOT LIKE '24/13/40 %') AS no_timestamp,
-       count_if(lvl = '') AS no_level,
-       count_if(comp = '') AS no_component,
-       count_if(trim(value) = '') AS blank_lines
+       CAST(count_if(lts IS NULL AND value NOT LIKE '24/13/40 %') AS BIGINT) AS no_timestamp,
+       CAST(count_if(lvl = '') AS BIGINT) AS no_level,
+       CAST(count_if(comp = '') AS BIGINT) AS no_component,
+       CAST(count_if(trim(value) = '') AS BIGINT) AS blank_lines
 FROM feed"""
         ),
         "error_lines": with_feed(
@@ -508,7 +508,7 @@ SELECT app_id AS application_id, max(capacity_bytes) AS capacity_bytes, count(si
        max(size_bytes) AS peak_block_bytes, min(free_bytes) AS min_free_bytes
 FROM cap GROUP BY app_id"""),
         "cache_ratio": q("""
-SELECT app_id AS application_id, count(*) AS lookups, count_if(e % 3 <> 0) AS hits,
+SELECT app_id AS application_id, count(*) AS lookups, CAST(count_if(e % 3 <> 0) AS BIGINT) AS hits,
        avg(CASE WHEN e % 3 <> 0 THEN 1.0 ELSE 0.0 END) AS hit_ratio
 FROM evp WHERE kind = 'view' GROUP BY app_id"""),
         "python_times_by_app": q("""

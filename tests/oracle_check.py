@@ -50,6 +50,23 @@ def rows_of(cols, rows):
     return [cols[i] for i in order], sorted(out, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
+SPARK_TO_DUCK = {
+    "string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE", "date": "DATE", "float": "FLOAT",
+    "smallint": "SMALLINT", "tinyint": "TINYINT",
+}
+
+
+def type_mismatches(sdf, res) -> list:
+    duck = {d[0]: str(d[1]).upper() for d in res.description}
+    out = []
+    for f in sdf.schema.fields:
+        want = SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString().upper())
+        if duck.get(f.name) != want:
+            out.append((f.name, f.dataType.simpleString(), duck.get(f.name)))
+    return out
+
+
 def compare(spark, name, fn, sql, con, sf_dir):
     t0 = time.time()
     sdf = fn(spark, sf_dir)
@@ -59,6 +76,7 @@ def compare(spark, name, fn, sql, con, sf_dir):
     if sql is None:
         return dict(name=name, ok=None, rows=len(srows), spark_s=round(t1 - t0, 2), note="rows-only")
     res = con.execute(sql)
+    types = type_mismatches(sdf, res)
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     sc, sr = rows_of(scols, srows)
@@ -69,6 +87,8 @@ def compare(spark, name, fn, sql, con, sf_dir):
     if len(sr) != len(dr):
         return dict(info, ok=False, note="row count")
     exact = sr == dr
+    if exact and types:
+        return dict(info, ok=False, note=f"types differ: {types}")
     if exact:
         return dict(info, ok=True)
     bad = [(a, b) for a, b in zip(sr, dr) if a != b]
