@@ -35,7 +35,7 @@ from logtide.operators import tasks as T  # noqa: E402
 from logtide.operators import usage as U  # noqa: E402
 from logtide.plans import reports as R  # noqa: E402
 from logtide.sources.feeds import load_event_logs, load_trips  # noqa: E402
-from logtide.sources.logs import read_logs  # noqa: E402
+from logtide.sources.logs import LogFiles  # noqa: E402
 
 
 def write_tree(spark: SparkSession, sf_dir: str, out: str) -> int:
@@ -113,8 +113,9 @@ def main() -> int:
 
     # The tree is listed once per DataFrame, as a user would do it.
     t0 = time.perf_counter()
-    plain = read_logs(spark, tree)
-    records = RC.read_records(spark, tree)
+    files = LogFiles(spark, tree)
+    plain = files.lines()
+    records = RC.records_of(files)
     list_sec = round(time.perf_counter() - t0, 3)
     n_files = plain.select("file_path").distinct().count()
 

@@ -74,35 +74,25 @@ def multiline_records(logs: DataFrame, order: str = "line_order", split: str | N
     return assemble_records(logs, order, split).filter(F.col("lines") > 1)
 
 
-def read_records(
-    spark: SparkSession,
-    path: str | list[str],
-    glob: str | None = "*.log",
-    recursive: bool = True,
-    small_file_bytes: int = S.SMALL_FILE_BYTES,
-) -> DataFrame:
-    """Records of a log tree, read straight from the files (same rows as
-    ``assemble_records(read_logs(..., with_order=True))``).
+def records_of(files: S.LogFiles) -> DataFrame:
+    """Records of a listed log tree (same rows as ``assemble_records`` of its
+    ordered lines).
 
     A small file is read whole and its text is cut at every line break that
     is followed by a time stamp: each piece is one record, so there is no
     shuffle and no window. Large and compressed files go through the
     line-based ``assemble_records`` (split-local windows).
     """
-    paths = [path] if isinstance(path, str) else list(path)
-    whole = (
-        S._reader(spark, "binaryFile", recursive, glob)
-        .load(paths)
-        .filter((F.col("length") < small_file_bytes) & ~F.col("path").rlike(S.COMPRESSED))
-    )
-    text = F.col("content").cast("string")
+    big = assemble_records(files.large_lines(with_order=True)).select(*RECORDS_COLUMNS)
+    small_files = files.small_files()
+    if small_files is None:
+        return big
+    text = F.col("text")
     body = F.regexp_replace(text, r"(\r\n|\r|\n)\z", "")
     pieces = F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(body, RECORD_BREAK, -1))
-    split = whole.select(F.col("path").alias("file_path"), pieces.alias("pieces"))
+    split = small_files.select("file_path", pieces.alias("pieces"))
     first_is_head = (P.ts_text(F.col("pieces")[0]) != "").cast("bigint")
-    recs = split.select(
-        "file_path", first_is_head.alias("offset"), F.posexplode("pieces").alias("pos", "piece")
-    )
+    recs = split.select("file_path", first_is_head.alias("offset"), F.posexplode("pieces").alias("pos", "piece"))
     lines = F.split(F.col("piece"), S.LINE_BREAK, -1)
     head = lines[0]
     small = recs.select(
@@ -113,16 +103,15 @@ def read_records(
         F.size(lines).cast("bigint").alias("lines"),
         F.array_join(lines, "\n").alias("text"),
     )
-    big_logs = S._reader(spark, "text", recursive, glob).load(paths)
-    big_logs = big_logs.filter(
-        (F.col("_metadata.file_size") >= small_file_bytes) | F.col("_metadata.file_path").rlike(S.COMPRESSED)
-    ).select(
-        "value",
-        F.col("_metadata.file_path").alias("file_path"),
-        F.struct(
-            F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos")
-        ).alias("line_order"),
-        F.col("_metadata.file_block_start").alias("line_split"),
-    )
-    big = assemble_records(big_logs).select(*RECORDS_COLUMNS)
     return small.unionByName(big)
+
+
+def read_records(
+    spark: SparkSession,
+    path: str | list[str],
+    glob: str | None = "*.log",
+    recursive: bool = True,
+    small_file_bytes: int | None = S.SMALL_FILE_BYTES,
+) -> DataFrame:
+    """Records of the log files under ``path`` (see ``records_of``)."""
+    return records_of(S.LogFiles(spark, path, glob, recursive, small_file_bytes))

@@ -1,8 +1,8 @@
 """Reading a tree of text log files.
 
-``read_logs`` is the one entry point: a recursive text scan whose rows carry
-the line (``value``) and, from the scan's hidden ``_metadata`` column, the
-file it came from. ``_metadata.file_path`` is used rather than
+``read_logs`` (or ``LogFiles`` to list a tree once and derive several
+DataFrames) gives one row per line (``value``) with, from the scan's hidden
+``_metadata`` column, the file it came from. ``_metadata.file_path`` is used rather than
 ``input_file_name()``: with it a predicate on the path still reaches the
 scan (``DataFilters``), and file size and split start come for free.
 """
@@ -35,6 +35,84 @@ def _split_lines(text):
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(body, LINE_BREAK, -1))
 
 
+class LogFiles:
+    """A log tree, listed once; lines (and records) are derived from it.
+
+    Container logs are often many small files, where opening a file costs
+    more than reading it. Files under ``small_file_bytes`` are read whole
+    (``binaryFile`` source, one row per file) and split into lines in the JVM;
+    larger and compressed files use the text source (splittable,
+    decompressing), so no task holds more than ``small_file_bytes`` of one
+    uncompressed file. The size filters are applied when files are listed,
+    so every file is read exactly once. ``small_file_bytes=None`` reads
+    everything with the text source.
+
+    Each source lists the tree when this object is made; every DataFrame
+    derived from the object reuses that listing.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str | list[str],
+        glob: str | None = "*.log",
+        recursive: bool = True,
+        small_file_bytes: int | None = SMALL_FILE_BYTES,
+    ):
+        paths = [path] if isinstance(path, str) else list(path)
+        self.small_file_bytes = small_file_bytes
+        self._text = _reader(spark, "text", recursive, glob).load(paths)
+        self._whole = None
+        if small_file_bytes is not None:
+            self._whole = _reader(spark, "binaryFile", recursive, glob).load(paths)
+
+    def large_lines(self, with_path: bool = True, with_size: bool = False, with_order: bool = False) -> DataFrame:
+        """Lines of the files read by the text source."""
+        size = F.col("_metadata.file_size")
+        start = F.col("_metadata.file_block_start")
+        cols = [F.col("value")]
+        if with_path:
+            cols.append(F.col("_metadata.file_path").alias("file_path"))
+        if with_size:
+            cols.append(size.alias("file_size"))
+        if with_order:
+            # Inside one split the id grows in read order; splits of one file
+            # are ordered by their start offset.
+            cols.append(F.struct(start.alias("block"), F.monotonically_increasing_id().alias("pos")).alias("line_order"))
+            cols.append(start.alias("line_split"))
+        text = self._text
+        if self.small_file_bytes is not None:
+            compressed = F.col("_metadata.file_path").rlike(COMPRESSED)
+            text = text.filter((size >= self.small_file_bytes) | compressed)
+        return text.select(*cols)
+
+    def small_files(self) -> DataFrame | None:
+        """``file_path, file_size, text``: the files read whole (None when disabled)."""
+        if self._whole is None:
+            return None
+        small = (F.col("length") < self.small_file_bytes) & ~F.col("path").rlike(COMPRESSED)
+        return self._whole.filter(small).select(
+            F.col("path").alias("file_path"), F.col("length").alias("file_size"), F.col("content").cast("string").alias("text")
+        )
+
+    def lines(self, with_path: bool = True, with_size: bool = False, with_order: bool = False) -> DataFrame:
+        """``value`` plus, as asked, ``file_path``, ``file_size``, ``line_order`` and ``line_split``."""
+        large = self.large_lines(with_path, with_size, with_order)
+        files = self.small_files()
+        if files is None:
+            return large
+        exploded = files.select("file_path", "file_size", F.posexplode(_split_lines(F.col("text"))).alias("pos", "value"))
+        cols = [F.col("value")]
+        if with_path:
+            cols.append(F.col("file_path"))
+        if with_size:
+            cols.append(F.col("file_size"))
+        if with_order:
+            cols.append(F.struct(F.lit(0).cast("bigint").alias("block"), F.col("pos").cast("bigint").alias("pos")).alias("line_order"))
+            cols.append(F.lit(0).cast("bigint").alias("line_split"))
+        return exploded.select(*cols).unionByName(large)
+
+
 def read_logs(
     spark: SparkSession,
     path: str | list[str],
@@ -51,52 +129,9 @@ def read_logs(
     the file) and ``line_order`` / ``line_split`` (file order of the lines,
     for ``records.assemble_records``). ``glob`` keeps archives such as a
     ``.tar.gz`` next to the logs out of the scan; ``None`` reads every file.
-
-    Container logs are often many small files, where opening a file costs
-    more than reading it. Files under ``small_file_bytes`` are therefore read
-    whole (``binaryFile`` source, one row per file) and split into lines in
-    the JVM; larger and compressed files use the text source (splittable,
-    decompressing), so no task ever holds more than ``small_file_bytes`` of
-    one uncompressed file. The size filters are
-    applied when files are listed, so every file is read exactly once.
-    ``small_file_bytes=None`` reads everything with the text source.
+    Small files are read whole, large ones as split text (see ``LogFiles``).
     """
-    paths = [path] if isinstance(path, str) else list(path)
-    text = _reader(spark, "text", recursive, glob).load(paths)
-    size = F.col("_metadata.file_size")
-    start = F.col("_metadata.file_block_start")
-    cols = [F.col("value")]
-    if with_path:
-        cols.append(F.col("_metadata.file_path").alias("file_path"))
-    if with_size:
-        cols.append(size.alias("file_size"))
-    if with_order:
-        # Inside one split the id grows in read order; splits of one file are
-        # ordered by their start offset.
-        cols.append(F.struct(start.alias("block"), F.monotonically_increasing_id().alias("pos")).alias("line_order"))
-        cols.append(start.alias("line_split"))
-    if small_file_bytes is None:
-        return text.select(*cols)
-    compressed = F.col("_metadata.file_path").rlike(COMPRESSED)
-    large = text.filter((size >= small_file_bytes) | compressed).select(*cols)
-
-    whole = (
-        _reader(spark, "binaryFile", recursive, glob)
-        .load(paths)
-        .filter((F.col("length") < small_file_bytes) & ~F.col("path").rlike(COMPRESSED))
-    )
-    exploded = whole.select(
-        F.col("path"), F.col("length"), F.posexplode(_split_lines(F.col("content").cast("string"))).alias("pos", "value")
-    )
-    small_cols = [F.col("value")]
-    if with_path:
-        small_cols.append(F.col("path").alias("file_path"))
-    if with_size:
-        small_cols.append(F.col("length").alias("file_size"))
-    if with_order:
-        small_cols.append(F.struct(F.lit(0).cast("bigint").alias("block"), F.col("pos").cast("bigint").alias("pos")).alias("line_order"))
-        small_cols.append(F.lit(0).cast("bigint").alias("line_split"))
-    return exploded.select(*small_cols).unionByName(large)
+    return LogFiles(spark, path, glob, recursive, small_file_bytes).lines(with_path, with_size, with_order)
 
 
 def with_file_path(df: DataFrame) -> DataFrame:
