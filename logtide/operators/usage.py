@@ -194,16 +194,26 @@ def cluster_distribution(timeline: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Window operators. A cluster may hold most applications (181 of 194 in the
 # reference data), so no window is partitioned by cluster alone: each works
-# per (cluster, day) and carries the state of earlier days from a small
-# per-bucket table. Results are exact.
+# per (cluster, time bucket) and carries the state of earlier buckets from a
+# small per-bucket table (one row per cluster and bucket). Results are exact
+# for any bucket width; a narrower bucket spreads a busier cluster over more
+# tasks.
 # ---------------------------------------------------------------------------
+EPOCH = "1970-01-01 00:00:00"
 
 
-def concurrency(timeline: DataFrame) -> DataFrame:
+def time_bucket(t, bucket_seconds: int):
+    """Whole ``bucket_seconds`` since 1970 of a TIMESTAMP_NTZ (no time zone involved)."""
+    since = P.seconds_between(F.lit(EPOCH).cast("timestamp_ntz"), t)
+    return F.floor(since / bucket_seconds).cast("bigint")
+
+
+def concurrency(timeline: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
     """``cluster_id, peak_concurrent, peak_time``: most applications running at once.
 
     Running means ``start <= t < end``. ``peak_time`` is the first instant
-    that reaches the peak.
+    that reaches the peak. ``bucket_seconds`` is the width of the time
+    buckets that split a cluster's events over tasks.
     """
     # Each application is one +1 event at its start and one -1 at its end (one pass).
     ev = timeline.select(
@@ -215,12 +225,15 @@ def concurrency(timeline: DataFrame) -> DataFrame:
             )
         ),
     )
-    net = ev.groupBy("cluster_id", "t").agg(F.sum("d").alias("net")).withColumn("day", F.to_date("t"))
-    per_day = net.groupBy("cluster_id", "day").agg(F.sum("net").alias("day_net"))
-    before = Window.partitionBy("cluster_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_day.select("cluster_id", "day", F.coalesce(F.sum("day_net").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("cluster_id", "day").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    running = net.withColumn("local", F.sum("net").over(within)).join(offsets, ["cluster_id", "day"])
+    net = ev.groupBy("cluster_id", "t").agg(F.sum("d").alias("net"))
+    net = net.withColumn("bucket", time_bucket(F.col("t"), bucket_seconds))
+    per_bucket = net.groupBy("cluster_id", "bucket").agg(F.sum("net").alias("bucket_net"))
+    before = Window.partitionBy("cluster_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.select(
+        "cluster_id", "bucket", F.coalesce(F.sum("bucket_net").over(before), F.lit(0)).alias("offset")
+    )
+    within = Window.partitionBy("cluster_id", "bucket").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    running = net.withColumn("local", F.sum("net").over(within)).join(offsets, ["cluster_id", "bucket"])
     running = running.withColumn("active", F.col("offset") + F.col("local"))
     return running.groupBy("cluster_id").agg(
         F.max("active").cast("bigint").alias("peak_concurrent"),
@@ -228,25 +241,28 @@ def concurrency(timeline: DataFrame) -> DataFrame:
     )
 
 
-def start_gaps(timeline: DataFrame) -> DataFrame:
+def start_gaps(timeline: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
     """Per application: previous application of its cluster and seconds since its start.
 
     ``cluster_id, application_id, start_time, prev_application_id, gap_seconds``;
     order within a cluster is (start_time, application_id); the first
-    application of a cluster has nulls.
+    application of a cluster has nulls. ``bucket_seconds`` as in
+    ``concurrency``.
     """
-    apps = timeline.select("cluster_id", "application_id", "start_time").withColumn("day", F.to_date("start_time"))
+    apps = timeline.select("cluster_id", "application_id", "start_time").withColumn(
+        "bucket", time_bucket(F.col("start_time"), bucket_seconds)
+    )
     order = F.struct("start_time", "application_id")
-    w = Window.partitionBy("cluster_id", "day").orderBy("start_time", "application_id")
+    w = Window.partitionBy("cluster_id", "bucket").orderBy("start_time", "application_id")
     local = apps.select(
         "*",
         F.lag("application_id").over(w).alias("lag_app"),
         F.lag("start_time").over(w).alias("lag_start"),
     )
-    last = apps.groupBy("cluster_id", "day").agg(F.max(order).alias("last"))
-    prev_w = Window.partitionBy("cluster_id").orderBy("day")
-    carry = last.select("cluster_id", "day", F.lag("last").over(prev_w).alias("carry"))
-    out = local.join(carry, ["cluster_id", "day"])
+    last = apps.groupBy("cluster_id", "bucket").agg(F.max(order).alias("last"))
+    prev_w = Window.partitionBy("cluster_id").orderBy("bucket")
+    carry = last.select("cluster_id", "bucket", F.lag("last").over(prev_w).alias("carry"))
+    out = local.join(carry, ["cluster_id", "bucket"])
     prev_app = F.coalesce("lag_app", F.col("carry.application_id"))
     prev_start = F.coalesce("lag_start", F.col("carry.start_time"))
     return out.select(

@@ -2,6 +2,8 @@
 
 import math
 import random
+
+import pytest
 from datetime import datetime, timedelta
 
 from logtide.operators import chartdata as C
@@ -72,9 +74,10 @@ def random_timeline(spark, n=300, seed=7):
     return rows, spark.createDataFrame(rows, TIMELINE_SCHEMA)
 
 
-def test_concurrency_matches_brute_force(spark):
+@pytest.mark.parametrize("bucket", [86400, 3600, 600])
+def test_concurrency_matches_brute_force(spark, bucket):
     rows, tl = random_timeline(spark)
-    got = {r.cluster_id: (r.peak_concurrent, r.peak_time) for r in U.concurrency(tl).collect()}
+    got = {r.cluster_id: (r.peak_concurrent, r.peak_time) for r in U.concurrency(tl, bucket_seconds=bucket).collect()}
     for c in {r[0] for r in rows}:
         apps = [r for r in rows if r[0] == c]
         times = sorted({r[3] for r in apps} | {r[4] for r in apps})
@@ -86,9 +89,11 @@ def test_concurrency_matches_brute_force(spark):
         assert got[c] == (best, best_t), c
 
 
-def test_start_gaps_matches_brute_force(spark):
+@pytest.mark.parametrize("bucket", [86400, 3600, 60])
+def test_start_gaps_matches_brute_force(spark, bucket):
     rows, tl = random_timeline(spark)
-    got = {r.application_id: (r.prev_application_id, r.gap_seconds) for r in U.start_gaps(tl).collect()}
+    got = {r.application_id: (r.prev_application_id, r.gap_seconds)
+           for r in U.start_gaps(tl, bucket_seconds=bucket).collect()}
     for c in {r[0] for r in rows}:
         apps = sorted((r for r in rows if r[0] == c), key=lambda r: (r[3], r[1]))
         prev = None
