@@ -91,8 +91,15 @@ def main() -> int:
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     scratch = tempfile.mkdtemp(prefix="logtide-bench-")
+    builder = SparkSession.builder
+    if os.environ.get("BENCH_EVENT_LOG"):
+        # Stage and task times for later reading, without the web UI.
+        os.makedirs(os.path.join(scratch, "events"))
+        builder = builder.config("spark.eventLog.enabled", "true").config(
+            "spark.eventLog.dir", "file://" + os.path.join(scratch, "events")
+        )
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName("logtide-bench")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", str(max(8, 2 * int(cpus))))
@@ -157,6 +164,8 @@ def main() -> int:
         "app_timeline_lines_per_sec": round(n_lines / times["app_timeline"]),
         "cpus": int(cpus),
     }
+    if os.environ.get("BENCH_EVENT_LOG"):
+        result["event_log_dir"] = os.path.join(scratch, "events")
     print(json.dumps(result))
     spark.stop()
     return 0

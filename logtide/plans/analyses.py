@@ -94,9 +94,11 @@ def cluster_usage(
     summary = TB.read_cluster_summary(spark, summary_csv)
     out["stats"] = sinks.write_text(R.usage_report(summary), _out(outdir, "usage_stats.txt"))
     out["bars"] = sinks.write_small_csv(C.bar_data(summary), _out(outdir, "bar_data.csv"))
-    out["histogram"] = sinks.write_small_csv(C.duration_histogram(timeline, bins=bins), _out(outdir, "duration_histogram.csv"))
+    out["histogram"] = sinks.write_small_csv(
+        C.duration_histogram(timeline, bins=bins), _out(outdir, "duration_histogram.csv"), order_by="bin"
+    )
     out["density"] = sinks.write_small_csv(
-        C.duration_density(timeline, grid=grid, bins=bins), _out(outdir, "duration_density.csv")
+        C.duration_density(timeline, grid=grid, bins=bins), _out(outdir, "duration_density.csv"), order_by="point"
     )
     return out
 

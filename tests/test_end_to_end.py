@@ -46,6 +46,16 @@ def test_daily_run(spark, tmp):
     assert overview.collect()[0].days == 1
 
 
+def test_command_line(spark, tmp):
+    root = write_tree(os.path.join(tmp, "logs"))
+    out = os.path.join(tmp, "cli")
+    assert A.main(["levels", "--input", root, "--out", out, "--style", "local"]) == 0
+    assert read(os.path.join(out, "level_summary.txt")).splitlines()[0] == "Total log lines processed: 17"
+    assert A.main(["usage", "--input", root, "--out", out]) == 0
+    assert A.main(["usage", "--out", out, "--skip-spark"]) == 0
+    assert read(os.path.join(out, "usage_stats.txt")).startswith("Total unique clusters: 2")
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as E
 

@@ -107,13 +107,13 @@ def test_histogram_and_density_vs_brute_force(spark):
     rows, tl = random_timeline(spark)
     top = "1"
     xs = [r[5] for r in rows if r[0] == top]
-    h = C.duration_histogram(tl, bins=50).collect()
+    h = C.duration_histogram(tl, bins=50).orderBy("bin").collect()
     lo, hi = min(xs), max(xs)
     exp = [0] * 50
     for x in xs:
         exp[min(int(math.floor((x - lo) / (hi - lo) * 50)) + 1, 50) - 1] += 1
     assert [r["count"] for r in h] == exp and h[0].bin_lo == lo and h[-1].bin_hi == hi
-    d = C.duration_density(tl, grid=200).collect()
+    d = C.duration_density(tl, grid=200).orderBy("point").collect()
     n = len(xs)
     mean = sum(xs) / n
     sd = math.sqrt(sum((x - mean) ** 2 for x in xs) / (n - 1))
