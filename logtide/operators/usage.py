@@ -61,20 +61,18 @@ def app_timeline(logs: DataFrame) -> DataFrame:
     return app_spans(logs).select(*TIMELINE_COLUMNS).orderBy("cluster_id", "start_time", "application_id")
 
 
-def cluster_summary(timeline: DataFrame) -> DataFrame:
+def cluster_summary(timeline: DataFrame, ordered: bool = True) -> DataFrame:
     """``cluster_id, num_applications, cluster_first_app, cluster_last_app``.
 
-    Most used cluster first; ties by ascending cluster id.
+    Most used cluster first; ties by ascending cluster id. ``ordered=False``
+    skips the sort when a later step orders or aggregates anyway.
     """
-    return (
-        timeline.groupBy("cluster_id")
-        .agg(
-            F.count(F.lit(1)).alias("num_applications"),
-            F.min("start_time").alias("cluster_first_app"),
-            F.max("end_time").alias("cluster_last_app"),
-        )
-        .orderBy(F.desc("num_applications"), "cluster_id")
+    out = timeline.groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("num_applications"),
+        F.min("start_time").alias("cluster_first_app"),
+        F.max("end_time").alias("cluster_last_app"),
     )
+    return out.orderBy(F.desc("num_applications"), "cluster_id") if ordered else out
 
 
 def usage_stats(summary: DataFrame) -> DataFrame:

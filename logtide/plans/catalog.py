@@ -63,13 +63,13 @@ def usage_queries() -> dict[str, Query]:
         "app_timeline": lambda s, d: U.app_timeline(_logs(s, d)),
         "file_spans": lambda s, d: U.file_spans(_logs(s, d)),
         "cluster_summary": lambda s, d: U.cluster_summary(_timeline(s, d)),
-        "usage_stats": lambda s, d: U.usage_stats(U.cluster_summary(_timeline(s, d))),
-        "usage_report": lambda s, d: R.usage_report(U.cluster_summary(_timeline(s, d))),
+        "usage_stats": lambda s, d: U.usage_stats(U.cluster_summary(_timeline(s, d), ordered=False)),
+        "usage_report": lambda s, d: R.usage_report(U.cluster_summary(_timeline(s, d), ordered=False)),
         "top_cluster": lambda s, d: U.top_cluster(_timeline(s, d)),
         "top_cluster_apps": lambda s, d: U.top_cluster_apps(_timeline(s, d)),
         "longest_application": lambda s, d: U.longest_applications(_timeline(s, d), k=1),
-        "cluster_activity": lambda s, d: U.cluster_activity(U.cluster_summary(_timeline(s, d))),
-        "cluster_share": lambda s, d: U.cluster_share(U.cluster_summary(_timeline(s, d))),
+        "cluster_activity": lambda s, d: U.cluster_activity(U.cluster_summary(_timeline(s, d), ordered=False)),
+        "cluster_share": lambda s, d: U.cluster_share(U.cluster_summary(_timeline(s, d), ordered=False)),
         "cluster_work": lambda s, d: U.cluster_work(_timeline(s, d)),
         "monthly_starts": lambda s, d: U.monthly_starts(_timeline(s, d)),
         "duration_profile": lambda s, d: U.duration_profile(_timeline(s, d)),
@@ -107,7 +107,7 @@ def daily_queries() -> dict[str, Query]:
 
 def chart_queries() -> dict[str, Query]:
     return {
-        "bar_data": lambda s, d: C.bar_data(U.cluster_summary(_timeline(s, d))),
+        "bar_data": lambda s, d: C.bar_data(U.cluster_summary(_timeline(s, d), ordered=False)),
         "duration_histogram": lambda s, d: C.duration_histogram(_timeline(s, d), bins=50),
         "duration_histogram_log": lambda s, d: C.duration_histogram(_timeline(s, d), bins=50, scale="log"),
         "duration_density": lambda s, d: C.duration_density(_timeline(s, d), grid=200),

@@ -1,6 +1,7 @@
 """Text reports as DataFrames of numbered lines (``line_no INT, line STRING``).
 
-The reports are built from small aggregates (the one-row level totals,
+Rows come unsorted (``write_text`` writes them in ``line_no`` order; sorting
+here would only add jobs). The reports are built from small aggregates (the one-row level totals,
 the cluster summary) with ``format_string``, so they come out of the same
 plan as the numbers they print; ``sinks.write_text`` writes them.
 """
@@ -83,7 +84,6 @@ def level_report(
     return (
         t.select("total_lines", valid.alias("valid"), *counts)
         .select(F.inline(F.concat(header, body)))
-        .orderBy("line_no")
     )
 
 
@@ -107,4 +107,4 @@ def usage_report(summary: DataFrame) -> DataFrame:
         (rank + 5).cast("int").alias("line_no"),
         F.format_string(USAGE_LINE, "cluster_id", "num_applications").alias("line"),
     )
-    return header.unionByName(body).orderBy("line_no")
+    return header.unionByName(body)

@@ -49,7 +49,7 @@ def test_timeline_from_files(spark, tmp):
 
 def test_usage_report_golden(spark):
     summary = spark.createDataFrame(SUMMARY, CLUSTER_SUMMARY_SCHEMA)
-    assert "\n".join(r.line for r in R.usage_report(summary).collect()) == STATS
+    assert "\n".join(r.line for r in R.usage_report(summary).orderBy("line_no").collect()) == STATS
     st = U.usage_stats(summary).collect()[0]
     assert (st.num_clusters, st.num_applications) == (6, 194) and abs(st.avg_apps_per_cluster - 194 / 6) < 1e-12
     empty = U.usage_stats(spark.createDataFrame([], CLUSTER_SUMMARY_SCHEMA)).collect()[0]
