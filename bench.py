@@ -118,12 +118,22 @@ def main() -> int:
     tree = os.path.join(scratch, "logs")
     n_lines = write_tree(spark, sf_dir, tree)
 
-    # The tree is listed once per DataFrame, as a user would do it.
-    t0 = time.perf_counter()
-    files = LogFiles(spark, tree)
+    # Warm-up: JVM, code generation, the OS file cache.
+    warm = LogFiles(spark, tree).lines()
+    L.level_counts(warm).collect()
+    D.daily_summary(load_trips(spark, sf_dir), year=1997).collect()
+
+    # The tree is listed once (per file source) and every query reuses that
+    # listing, as a user would do it; timed like the queries (best of runs).
+    list_sec = None
+    for _ in range(repeat):
+        t0 = time.perf_counter()
+        files = LogFiles(spark, tree)
+        dt = time.perf_counter() - t0
+        list_sec = dt if list_sec is None else min(list_sec, dt)
+    list_sec = round(list_sec, 3)
     plain = files.lines()
     records = RC.records_of(files)
-    list_sec = round(time.perf_counter() - t0, 3)
     n_files = plain.select("file_path").distinct().count()
 
     def logs():
@@ -145,10 +155,6 @@ def main() -> int:
         "daily_summary": lambda: D.daily_summary(trips(), year=1997).collect(),
         "monthly_summary_exact": lambda: D.daily_summary(trips(), quantile="exact", grain="month").collect(),
     }
-    # Warm-up: JVM, code generation, file listing cache of the OS.
-    L.level_counts(logs()).collect()
-    D.daily_summary(trips(), year=1997).collect()
-
     times = {"list_files": list_sec}
     times.update({name: timed(fn, repeat) for name, fn in headline.items()})
     total = round(sum(times.values()), 3)
