@@ -77,20 +77,24 @@ def cluster_usage(
     grid: int = 200,
     glob: str | None = "*.log",
 ) -> dict[str, str]:
-    """Writes the timeline, cluster summary, statistics text and chart data.
+    """Writes the timeline (a CSV directory, parts in sort order), the cluster
+    summary, the statistics text and the chart data (single files: one row
+    per cluster, bin or grid point).
 
     ``skip_spark=True`` skips the log scan and starts from the timeline and
     summary already in ``outdir`` (read under declared schemas).
     """
-    timeline_csv = _out(outdir, "timeline.csv")
+    timeline_dir = _out(outdir, "timeline")
     summary_csv = _out(outdir, "cluster_summary.csv")
     out: dict[str, str] = {}
     if not skip_spark:
         logs = read_logs(spark, input_path, glob=glob)
-        out["timeline"] = sinks.write_small_csv(U.app_timeline(logs), timeline_csv)
-        timeline = TB.read_timeline(spark, timeline_csv)
+        # One row per application grows with the data: a directory of CSV
+        # parts, range-partitioned by the sort, not one file through one task.
+        out["timeline"] = sinks.write_table(U.app_timeline(logs), timeline_dir, fmt="csv")
+        timeline = TB.read_timeline(spark, timeline_dir)
         out["summary"] = sinks.write_small_csv(U.cluster_summary(timeline), summary_csv)
-    timeline = TB.read_timeline(spark, timeline_csv)
+    timeline = TB.read_timeline(spark, timeline_dir)
     summary = TB.read_cluster_summary(spark, summary_csv)
     out["stats"] = sinks.write_text(R.usage_report(summary), _out(outdir, "usage_stats.txt"))
     out["bars"] = sinks.write_small_csv(C.bar_data(summary), _out(outdir, "bar_data.csv"))

@@ -25,7 +25,11 @@ def test_cluster_usage_run_and_restart(spark, tmp):
     root = write_tree(os.path.join(tmp, "logs"))
     outdir = os.path.join(tmp, "out")
     out = A.cluster_usage(spark, root, outdir, bins=5, grid=7)
-    assert len(read(out["timeline"]).splitlines()) == 4
+    parts = sorted(p for p in os.listdir(out["timeline"]) if p.startswith("part-"))
+    rows = [line for p in parts for line in read(os.path.join(out["timeline"], p)).splitlines()[1:]]
+    assert [r.split(",")[1] for r in rows] == [
+        "application_1440487435730_0039", "application_1485248649253_0001", "application_1485248649253_0002"
+    ]
     stats = read(out["stats"])
     assert stats.startswith("Total unique clusters: 2\nTotal applications: 3\n")
     again = A.cluster_usage(spark, None, outdir, skip_spark=True, bins=5, grid=7)
