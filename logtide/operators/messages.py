@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from logtide.functions import parse as P
 from logtide.functions.messages import MESSAGES
 
-BASE = ("application_id", "container_id", "ts")
-
 
 def parse_message(logs: DataFrame, name: str, *extra: str) -> DataFrame:
     """Lines of message ``name`` with its typed fields (and those of ``extra``

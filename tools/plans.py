@@ -16,7 +16,6 @@ sys.path.insert(0, ROOT)
 from pyspark.sql import SparkSession  # noqa: E402
 
 from logtide.operators import daily as D  # noqa: E402
-from logtide.operators import levels as L  # noqa: E402
 from logtide.operators import records as RC  # noqa: E402
 from logtide.operators import tasks as T  # noqa: E402
 from logtide.operators import usage as U  # noqa: E402
