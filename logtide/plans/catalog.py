@@ -53,6 +53,7 @@ def level_queries() -> dict[str, Query]:
         "level_sample_random": lambda s, d: L.level_sample(_logs(s, d), n=10, seed=42, method="rand"),
         "level_occurrences": lambda s, d: L.level_occurrences(_logs(s, d)),
         "component_counts": lambda s, d: L.component_counts(_logs(s, d), top=20),
+        "component_counts_all": lambda s, d: L.component_counts(_logs(s, d), top=None),
         "parse_quality": lambda s, d: L.parse_quality(_logs(s, d)),
         "error_lines": lambda s, d: L.lines_containing(_logs(s, d), "ERROR"),
     }
@@ -76,6 +77,8 @@ def usage_queries() -> dict[str, Query]:
         "cluster_distribution": lambda s, d: U.cluster_distribution(_timeline(s, d)),
         "concurrency": lambda s, d: U.concurrency(_timeline(s, d)),
         "start_gaps": lambda s, d: U.start_gaps(_timeline(s, d)),
+        "concurrency_hourly": lambda s, d: U.concurrency(_timeline(s, d), bucket_seconds=3600),
+        "start_gaps_hourly": lambda s, d: U.start_gaps(_timeline(s, d), bucket_seconds=3600),
     }
 
 

@@ -563,8 +563,22 @@ def record_queries() -> dict[str, str]:
     }
 
 
+def variant_queries() -> dict[str, str]:
+    """Parameter variants whose result must equal the base query's."""
+    u = usage_queries()
+    return {
+        "concurrency_hourly": u["concurrency"],
+        "start_gaps_hourly": u["start_gaps"],
+        "component_counts_all": with_feed(
+            """
+SELECT comp AS component, count(*) AS entries FROM feed WHERE comp <> '' GROUP BY comp"""
+        ),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
+    out.update(variant_queries())
     out.update(record_queries())
     out.update(message_queries())
     out.update(task_queries())
