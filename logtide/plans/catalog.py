@@ -94,6 +94,7 @@ ORDER_SPEC = (
 
 def _orders_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = orders.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
     daily = D.daily_summary(orders, ts="o_orderdate", spec=ORDER_SPEC)
     # Means of non-integer values are reported to 6 decimals.
     return daily.withColumn("mean_totalprice", F.round("mean_totalprice", 6))

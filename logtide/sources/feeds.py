@@ -60,7 +60,8 @@ def event_log_lines(events: DataFrame) -> DataFrame:
     e = F.col("event_id")
     u = F.col("user_id")
     v = F.floor("value").cast("bigint")
-    t = F.col("ts")
+    # Wall-clock time stamps (a no-op when Parquet is read as TIMESTAMP_NTZ).
+    t = F.col("ts").cast("timestamp_ntz")
     t_fin = F.timestamp_add("SECOND", v, t)
     tt = F.date_format(t, "yy/MM/dd HH:mm:ss")
     tt_fin = F.date_format(t_fin, "yy/MM/dd HH:mm:ss")
@@ -206,7 +207,7 @@ def event_log_lines(events: DataFrame) -> DataFrame:
 def trips_from_lineitem(lineitem: DataFrame) -> DataFrame:
     """``lineitem`` under the trip-table names used by the daily summary."""
     return lineitem.select(
-        F.col("l_shipdate").alias("tpep_pickup_datetime"),
+        F.col("l_shipdate").cast("timestamp_ntz").alias("tpep_pickup_datetime"),
         F.col("l_quantity").alias("trip_distance"),
         F.col("l_tax").alias("mta_tax"),
         F.col("l_extendedprice").alias("fare_amount"),

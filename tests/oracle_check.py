@@ -102,8 +102,13 @@ def main(argv):
     names = argv[2:]
     import __spark_entry__ as E
 
-    spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
-             .config("spark.sql.shuffle.partitions", "8").config("spark.ui.showConsoleProgress", "false").getOrCreate())
+    b = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+         .config("spark.sql.shuffle.partitions", "8").config("spark.ui.showConsoleProgress", "false"))
+    # Extra session settings, e.g. ORACLE_CONF="spark.sql.session.timeZone=America/New_York,spark.sql.adaptive.enabled=false"
+    for kv in filter(None, os.environ.get("ORACLE_CONF", "").split(",")):
+        k, v = kv.split("=", 1)
+        b = b.config(k, v)
+    spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     qs, ors = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
