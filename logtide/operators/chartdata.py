@@ -78,6 +78,8 @@ def duration_histogram(
     (a sort of ``bins`` rows would cost two more jobs); order by ``bin``
     when drawing or writing.
     """
+    if bins < 1:
+        raise ValueError("bins must be at least 1")
     values, chosen = _chart_values(timeline, cluster, scale)
     lo, hi = F.col("lo"), F.col("hi")
     binned = F.when(hi > lo, F.least(F.floor((F.col("x") - lo) / (hi - lo) * bins) + 1, F.lit(bins))).otherwise(1)
@@ -110,6 +112,8 @@ def duration_density(
     multiplicity as weight; sums per point are partial aggregates. Rows are
     not sorted; order by ``point`` when drawing or writing.
     """
+    if grid < 2 or bins < 1:
+        raise ValueError("grid must be at least 2 and bins at least 1")
     values, _ = _chart_values(timeline, cluster, "linear")
     n, lo, hi, bw = (F.col(c) for c in ("n", "lo", "hi", "bw"))
     g = lo + (hi - lo) * F.col("point") / (grid - 1)

@@ -127,6 +127,16 @@ def test_histogram_and_density_vs_brute_force(spark):
     assert sum(r["count"] for r in hl) == sum(1 for x in xs if x > 0)
 
 
+def test_chart_parameters_checked(spark):
+    _, tl = random_timeline(spark, n=10)
+    with pytest.raises(ValueError):
+        C.duration_density(tl, grid=1)
+    with pytest.raises(ValueError):
+        C.duration_histogram(tl, bins=0)
+    with pytest.raises(ValueError):
+        C.duration_histogram(tl, scale="sqrt")
+
+
 def test_profile_and_longest(spark):
     rows, tl = random_timeline(spark)
     prof = {r.cluster_id: r for r in U.duration_profile(tl).collect()}
