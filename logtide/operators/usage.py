@@ -205,6 +205,8 @@ EPOCH = "1970-01-01 00:00:00"
 
 def time_bucket(t, bucket_seconds: int):
     """Whole ``bucket_seconds`` since 1970 of a TIMESTAMP_NTZ (no time zone involved)."""
+    if bucket_seconds <= 0:
+        raise ValueError("bucket_seconds must be positive")
     since = P.seconds_between(F.lit(EPOCH).cast("timestamp_ntz"), t)
     return F.floor(since / bucket_seconds).cast("bigint")
 
