@@ -39,7 +39,11 @@ def level_counts_stream(logs: DataFrame, mode: str = "substring") -> DataFrame:
 
 
 def app_spans_stream(logs: DataFrame) -> DataFrame:
-    """Running ``cluster_id, application_id, app_number, start_time, end_time``."""
+    """Running ``cluster_id, application_id, app_number, start_time, end_time``.
+
+    Start it with ``output_mode="update"``: each trigger then emits only the
+    applications whose span changed, not the whole table.
+    """
     lines = logs.select(*P.path_ids("file_path"), P.line_ts("value").alias("ts")).filter(
         (F.col("application_id") != "") & F.col("ts").isNotNull()
     )

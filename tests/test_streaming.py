@@ -18,7 +18,7 @@ def test_stream_levels_and_spans(spark, tmp):
 
     logs = S.stream_logs(spark, src)
     q1 = S.start(S.level_counts_stream(logs), "levels_test", on_batch=keep("levels"), trigger_once=True)
-    q2 = S.start(S.app_spans_stream(logs), "spans_test", on_batch=keep("spans"), trigger_once=True)
+    q2 = S.start(S.app_spans_stream(logs), "spans_test", on_batch=keep("spans"), output_mode="update", trigger_once=True)
     q1.awaitTermination(120)
     q2.awaitTermination(120)
     assert dict(seen["levels"]) == {"INFO": 11, "WARN": 1, "ERROR": 1, "DEBUG": 1}
