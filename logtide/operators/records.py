@@ -83,10 +83,9 @@ def records_of(files: S.LogFiles) -> DataFrame:
     shuffle and no window. Large and compressed files go through the
     line-based ``assemble_records`` (split-local windows).
     """
-    big = assemble_records(files.large_lines(with_order=True)).select(*RECORDS_COLUMNS)
     small_files = files.small_files()
     if small_files is None:
-        return big
+        return assemble_records(files.large_lines(with_order=True)).select(*RECORDS_COLUMNS)
     text = F.col("text")
     body = F.regexp_replace(text, r"(\r\n|\r|\n)\z", "")
     pieces = F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(body, RECORD_BREAK, -1))
@@ -103,6 +102,9 @@ def records_of(files: S.LogFiles) -> DataFrame:
         F.size(lines).cast("bigint").alias("lines"),
         F.array_join(lines, "\n").alias("text"),
     )
+    if not files.has_large_files:
+        return small  # no window, join or shuffle stage for an empty branch
+    big = assemble_records(files.large_lines(with_order=True)).select(*RECORDS_COLUMNS)
     return small.unionByName(big)
 
 

@@ -63,9 +63,24 @@ class LogFiles:
         self.small_file_bytes = small_file_bytes
         self._text = _reader(spark, "text", recursive, glob).load(paths)
         self._whole = None
+        self._has_large = None
         if small_file_bytes is not None:
             self._whole = _reader(spark, "binaryFile", recursive, glob).load(paths)
 
+    @property
+    def has_large_files(self) -> bool:
+        """Whether any file goes through the text source (large or compressed).
+
+        Decided from the listing: the size / name filter prunes files when
+        the scan is planned, so this runs no job.
+        """
+        if self._has_large is None:
+            if self.small_file_bytes is None:
+                self._has_large = True
+            else:
+                self._has_large = self.large_lines(with_path=False).rdd.getNumPartitions() > 0
+        return self._has_large
+
     def large_lines(self, with_path: bool = True, with_size: bool = False, with_order: bool = False) -> DataFrame:
         """Lines of the files read by the text source."""
         size = F.col("_metadata.file_size")
@@ -110,7 +125,9 @@ class LogFiles:
         if with_order:
             cols.append(F.struct(F.lit(0).cast("bigint").alias("block"), F.col("pos").cast("bigint").alias("pos")).alias("line_order"))
             cols.append(F.lit(0).cast("bigint").alias("line_split"))
-        return exploded.select(*cols).unionByName(large)
+        small = exploded.select(*cols)
+        # Skip an empty text branch (its stages would still be scheduled).
+        return small.unionByName(large) if self.has_large_files else small
 
 
 def read_logs(
