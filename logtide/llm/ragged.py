@@ -1,0 +1,122 @@
+"""Texts turned into token ids by way of their distinct words.
+
+Byte-level BPE splits a text by a pattern and encodes each match (piece) by
+itself. A space that follows a character which is no white space, or stands
+before one, always begins a piece. So a text can be cut before every space
+(unless white space stands on both sides of one, or before a last one), and the
+ids of the whole are those of the parts in a row. Most parts occur many times:
+each distinct one is split once, each distinct piece encoded once, and both are
+kept in caches of bounded size.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
+
+CACHE_WORDS = 250_000  # parts of texts; then the cache starts anew
+CACHE_PIECES = 400_000
+GROUP_CHARS = 1 << 20  # texts worked on at once; a longer one is a group of its own
+_UNSAFE = re.compile(r"\s (?:\s|\Z)")
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs flat[starts[i] : starts[i] + lengths[i]], one after the other."""
+    ends = np.cumsum(lengths)
+    if not len(ends) or not ends[-1]:
+        return flat[:0]
+    at = np.repeat(starts - (ends - lengths), lengths)
+    at += np.arange(ends[-1])
+    return flat[at]
+
+
+class _Numbers(dict):
+    """word -> number, new words in order of first sight."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
+class _Runs:
+    """Runs of ids by number: flat ids, where each run starts, its length."""
+
+    def __init__(self):
+        self.numbers = _Numbers()
+        self.flat = np.zeros(0, np.uint32)
+        self.starts = np.zeros(0, np.int64)
+        self.lengths = np.zeros(0, np.int64)
+
+    def add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(lengths) - lengths)
+        self.lengths = np.append(self.lengths, lengths)
+        self.flat = np.append(self.flat, flat)
+        self.numbers.new = []
+
+    def of(self, keys: list[str]) -> np.ndarray:
+        """Numbers of the keys; unknown ones get the next numbers and wait in ``numbers.new``."""
+        return np.fromiter(map(self.numbers.__getitem__, keys), np.int64, len(keys))
+
+
+class WordEncoder:
+    """Ids of whole texts.
+
+    ``split`` gives the pieces of one string, ``encode_pieces`` the ids of a
+    list of distinct pieces as (flat ids, lengths).
+    """
+
+    def __init__(self, split: Callable[[str], list[str]], encode_pieces: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.split, self.encode_pieces = split, encode_pieces
+        self.words, self.pieces = _Runs(), _Runs()
+
+    def _learn(self) -> None:
+        """Ids of the words not seen before. A word that begins with NUL stands for the text after it, others for a space and themselves."""
+        rows = [self.split(w[1:] if w[:1] == "\0" else " " + w) for w in self.words.numbers.new]
+        pieces = self.pieces.of([p for row in rows for p in row])
+        if self.pieces.numbers.new:
+            self.pieces.add(*self.encode_pieces(self.pieces.numbers.new))
+        lengths = self.pieces.lengths[pieces]
+        ends = np.append(0, np.cumsum(lengths))[np.cumsum([0] + [len(row) for row in rows])]
+        self.words.add(gather(self.pieces.flat, self.pieces.starts[pieces], lengths), np.diff(ends))
+
+    def _group(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.words.numbers) > CACHE_WORDS:
+            self.words = _Runs()
+        if len(self.pieces.numbers) > CACHE_PIECES:
+            self.pieces = _Runs()
+        words: list[str] = []
+        counts = np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            before = len(words)
+            if "\0" in text or _UNSAFE.search(text):
+                words.append("\0" + text)
+            elif text:
+                words += text.split(" ")
+                words[before] = "\0" + words[before]
+            counts[i] = len(words) - before
+        numbers = self.words.of(words)
+        if self.words.numbers.new:
+            self._learn()
+        lengths = self.words.lengths[numbers]
+        ids = gather(self.words.flat, self.words.starts[numbers], lengths)
+        ends = np.append(0, np.cumsum(lengths))[np.cumsum(counts)]
+        return ids, np.diff(np.append(0, ends))
+
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, number of ids of each text) for groups of texts, in order; null is empty."""
+        group: list[str] = []
+        size = 0
+        for text in texts:
+            group.append(text or "")
+            size += len(group[-1])
+            if size >= GROUP_CHARS:
+                yield self._group(group)
+                group, size = [], 0
+        if group:
+            yield self._group(group)

@@ -7,8 +7,11 @@ tasks it was running, not the whole history.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,3 +58,17 @@ def drop(*tables: DataFrame) -> None:
             jvm, spark = t.sparkSession._jvm, t.sparkSession
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once a session, unless the driver's PYTHONPATH names its folder."""
+    package = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    if str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_llm_shipped", False):
+        return
+    path = Path(tempfile.mkdtemp(prefix="logtide-package-")) / "logtide.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(path))
+    context._llm_shipped = True
