@@ -23,8 +23,11 @@ EXECUTOR_REQUEST = (
     r"and (\d+) MB memory including (\d+) MB overhead"
 )
 CONTAINER_REQUEST = r"capability: <memory:(\d+), vCores:(\d+)>"
-TASK_EVENT = r"(Running|Finished) task (\d+)\.(\d+) in stage (\d+)\.(\d+) \(TID (\d+)\)"
-RESULT_BYTES = r"\)\. (\d+) bytes result sent to driver"
+TASK_EVENT = (
+    r"(Running|Finished) task (\d+)\.(\d+) in stage (\d+)\.(\d+) \(TID (\d+)\)"
+    r"(?:\. (\d+) bytes result sent to driver)?"
+)
+EXECUTOR_START = r"Starting executor ID (\d+) on host (\S+)"
 TASK_ASSIGNED = r"Got assigned task (\d+)"
 INPUT_SPLIT = r"Input split: (\S+):(\d+)\+(\d+)$"
 PYTHON_TIMES = r"Times: total = (-?\d+), boot = (-?\d+), init = (-?\d+), finish = (-?\d+)"
@@ -42,18 +45,7 @@ CACHE_MISS = r"Partition (rdd_\d+_\d+) not found, computing it"
 BROADCAST_READ = r"Started reading broadcast variable (\d+)"
 
 
-def group(value: Column, pattern: str, idx: int) -> Column:
-    """Text of group ``idx`` of ``pattern`` in ``value`` ("" when absent)."""
-    return F.regexp_extract(value, pattern, idx)
-
-
-def group_long(value: Column, pattern: str, idx: int) -> Column:
-    return F.nullif(group(value, pattern, idx), F.lit("")).try_cast("bigint")
-
-
-def group_bytes(value: Column, pattern: str, num_idx: int) -> Column:
-    """Size in bytes from a ``<number> <unit>`` pair at groups ``num_idx``, ``num_idx+1``."""
-    return size_bytes(group(value, pattern, num_idx), group(value, pattern, num_idx + 1))
+SEPARATOR = "\u0001"
 
 
 @dataclass(frozen=True)
@@ -67,21 +59,33 @@ class Message:
     def matches(self, value: Column) -> Column:
         return value.contains(self.marker) & value.rlike(self.pattern)
 
-    def field(self, value: Column, name: str) -> Column:
-        """The typed value of one field (unnamed)."""
+    def found(self, value: Column) -> Column:
+        """Array with one element where ``value`` holds the message, else empty; the element is the array of its groups.
+
+        One regex a line: it rewrites the line to its groups, which are then
+        split. A group that takes no part is "".
+        """
+        n = max(idx + (kind == "bytes") for _, kind, idx in self.fields)
+        groups = "".join(f"{SEPARATOR}${i}" for i in range(1, n + 1))
+        line = F.when(value.contains(self.marker), F.translate(value, SEPARATOR, " "))
+        parts = F.split(F.regexp_replace(line, f"(?s)^.*?{self.pattern}.*$", groups), SEPARATOR)
+        return F.filter(F.array(parts), lambda p: (F.size(p) == n + 1) & (p[0] == ""))
+
+    def field(self, parts: Column, name: str) -> Column:
+        """The typed value of one field from the groups (null where there are none)."""
         for fname, kind, idx in self.fields:
             if fname == name:
                 if kind == "text":
-                    return group(value, self.pattern, idx)
+                    return parts[idx]
                 if kind == "long":
-                    return group_long(value, self.pattern, idx)
+                    return F.nullif(parts[idx], F.lit("")).try_cast("bigint")
                 if kind == "bytes":
-                    return group_bytes(value, self.pattern, idx)
+                    return size_bytes(parts[idx], parts[idx + 1])
                 raise ValueError(kind)
         raise KeyError(name)
 
-    def columns(self, value: Column) -> list[Column]:
-        return [self.field(value, name).alias(name) for name, _, _ in self.fields]
+    def columns(self, parts: Column) -> list[Column]:
+        return [self.field(parts, name).alias(name) for name, _, _ in self.fields]
 
 
 MESSAGES = {
@@ -103,9 +107,10 @@ MESSAGES = {
             ("stage", "long", 4),
             ("stage_attempt", "long", 5),
             ("tid", "long", 6),
+            ("result_bytes", "long", 7),
         ),
     ),
-    "result_bytes": Message("bytes result sent to driver", RESULT_BYTES, (("result_bytes", "long", 1),)),
+    "executor_start": Message("Starting executor ID", EXECUTOR_START, (("executor", "long", 1), ("host", "text", 2))),
     "task_assigned": Message("Got assigned task", TASK_ASSIGNED, (("tid", "long", 1),)),
     "input_split": Message(
         "Input split: ", INPUT_SPLIT, (("input_file", "text", 1), ("offset", "long", 2), ("length", "long", 3))

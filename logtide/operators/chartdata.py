@@ -14,16 +14,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logtide.operators.ranking import place_by_count
 
 
 def bar_data(summary: DataFrame) -> DataFrame:
-    """``cluster_id, num_applications, bar``: bars most used first (ties by id)."""
-    # One row per cluster; the ordering window sees only that small table.
-    order = F.row_number().over(Window.orderBy(F.desc("num_applications"), "cluster_id"))
-    return summary.select("cluster_id", "num_applications", order.cast("int").alias("bar"))
+    """``cluster_id, num_applications, bar``: bar 1 is the most used cluster (ties by id); rows are not sorted."""
+    return place_by_count(summary.select("cluster_id", "num_applications"), "num_applications", "cluster_id", "bar")
 
 
 def _chart_values(timeline: DataFrame, cluster: str | None, scale: str) -> tuple[DataFrame, DataFrame]:

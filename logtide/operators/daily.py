@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logtide.operators.quantiles import quantiles_of_counts, value_counts
+
 # The trip summary of the reference (output name, measure, column).
 TRIP_SPEC = (
     ("num_trips", "count", None),
@@ -39,7 +41,12 @@ def year_range(df: DataFrame, ts: str, year: int) -> Column:
     return (F.col(ts) >= lo) & (F.col(ts) < hi)
 
 
-def _measure(name: str, kind: str, col: str | None, quantile: str) -> Column:
+def _share(kind: str) -> float | None:
+    """0.95 for ``q95``, None for other measures."""
+    return int(kind[1:]) / 100.0 if kind[:1] == "q" and kind[1:].isdigit() else None
+
+
+def _measure(name: str, kind: str, col: str | None) -> Column:
     if kind == "count":
         return F.count(F.lit(1)).alias(name)
     c = F.col(col)
@@ -53,13 +60,8 @@ def _measure(name: str, kind: str, col: str | None, quantile: str) -> Column:
         return F.sum(c).alias(name)
     if kind == "ceil_avg":
         return F.ceil(F.avg(c)).alias(name)
-    if kind.startswith("q"):
-        p = int(kind[1:]) / 100.0
-        if quantile == "approx":
-            return F.percentile_approx(c, p).alias(name)
-        if quantile == "exact":
-            return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{col}`)").alias(name)
-        raise ValueError(f"quantile must be 'approx' or 'exact', not {quantile!r}")
+    if _share(kind) is not None:
+        return F.percentile_approx(c, _share(kind)).alias(name)
     raise ValueError(f"unknown measure {kind!r}")
 
 
@@ -76,14 +78,26 @@ def daily_summary(
     ``spec`` is a sequence of ``(name, measure, column)`` with measure one of
     ``count, avg, sum, max, min, ceil_avg, qNN`` (NN-th percentile).
     ``quantile="approx"`` uses ``percentile_approx`` (default accuracy);
-    ``"exact"`` uses ``percentile_disc``. Newest first.
+    ``"exact"`` counts values and ranks them (see ``quantiles``; no group's
+    values are held in memory). Newest first.
     """
+    if quantile not in ("approx", "exact"):
+        raise ValueError(f"quantile must be 'approx' or 'exact', not {quantile!r}")
     keys = GRAINS[grain]
     if year is not None:
         df = df.filter(year_range(df, ts, year))
     parts = with_date_parts(df, ts)
-    out = parts.groupBy(*keys).agg(*[_measure(n, k, c, quantile) for n, k, c in spec])
-    return out.orderBy(*[F.desc(k) for k in keys])
+    ranked = [m for m in spec if quantile == "exact" and _share(m[1]) is not None]
+    out = parts.groupBy(*keys).agg(*[_measure(n, k, c) for n, k, c in spec if (n, k, c) not in ranked])
+    for col in dict.fromkeys(c for _, _, c in ranked):
+        shares = {n: _share(k) for n, k, c in ranked if c == col}
+        found = quantiles_of_counts(value_counts(parts, list(keys), col), list(keys), col, shares)
+        found = found.select(*[F.col(k).alias(f"_{k}") for k in keys], *shares)
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+        out = out.join(found, same, "left")
+    return out.select(*keys, *[n for n, _, _ in spec]).orderBy(*[F.desc(k) for k in keys])
 
 
 def daily_overview(daily: DataFrame, count_col: str = "num_trips") -> DataFrame:

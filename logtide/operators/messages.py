@@ -14,18 +14,15 @@ from logtide.functions import parse as P
 from logtide.functions.messages import MESSAGES
 
 
-def parse_message(logs: DataFrame, name: str, *extra: str) -> DataFrame:
-    """Lines of message ``name`` with its typed fields (and those of ``extra``
-    messages found on the same line, null when absent)."""
+def parse_message(logs: DataFrame, name: str) -> DataFrame:
+    """Lines of message ``name`` with its typed fields; the message's regex runs once on each line with its marker."""
     msg = MESSAGES[name]
-    v = F.col("value")
-    path = F.col("file_path")
-    fields = [c for m in (name, *extra) for c in MESSAGES[m].columns(v)]
-    return logs.filter(msg.matches(v)).select(
-        P.application_id(path).alias("application_id"),
-        P.container_id(path).alias("container_id"),
-        P.line_ts(v).alias("ts"),
-        *fields,
+    found = logs.filter(F.col("value").contains(msg.marker)).withColumn("_parts", F.explode(msg.found(F.col("value"))))
+    return found.select(
+        P.application_id("file_path").alias("application_id"),
+        P.container_id("file_path").alias("container_id"),
+        P.line_ts("value").alias("ts"),
+        *msg.columns(F.col("_parts")),
     )
 
 
@@ -39,7 +36,12 @@ def parse_container_requests(logs: DataFrame) -> DataFrame:
 
 def parse_task_events(logs: DataFrame) -> DataFrame:
     """Running / Finished task lines; Finished lines also carry ``result_bytes``."""
-    return parse_message(logs, "task_event", "result_bytes")
+    return parse_message(logs, "task_event")
+
+
+def parse_executor_starts(logs: DataFrame) -> DataFrame:
+    """The host each executor container started on: ``executor, host``."""
+    return parse_message(logs, "executor_start")
 
 
 def parse_task_assigned(logs: DataFrame) -> DataFrame:
@@ -70,13 +72,17 @@ def parse_cache_lookups(logs: DataFrame) -> DataFrame:
     """Cache lookups of RDD blocks: ``block, hit`` (true = found locally)."""
     hit, miss = MESSAGES["cache_hit"], MESSAGES["cache_miss"]
     v = F.col("value")
-    is_hit = hit.matches(v)
-    return logs.filter(is_hit | miss.matches(v)).select(
+    both = F.concat(
+        F.transform(hit.found(v), lambda p: F.struct(hit.field(p, "block").alias("block"), F.lit(True).alias("hit"))),
+        F.transform(miss.found(v), lambda p: F.struct(miss.field(p, "block").alias("block"), F.lit(False).alias("hit"))),
+    )
+    rows = logs.filter(v.contains(hit.marker) | v.contains(miss.marker)).withColumn("_l", F.explode(F.slice(both, 1, 1)))
+    return rows.select(
         P.application_id("file_path").alias("application_id"),
         P.container_id("file_path").alias("container_id"),
         P.line_ts(v).alias("ts"),
-        F.when(is_hit, F.regexp_extract(v, hit.pattern, 1)).otherwise(F.regexp_extract(v, miss.pattern, 1)).alias("block"),
-        is_hit.alias("hit"),
+        F.col("_l.block").alias("block"),
+        F.col("_l.hit").alias("hit"),
     )
 
 

@@ -2,14 +2,17 @@
 
 A *head* line starts with a time stamp; every other line (stack frames,
 wrapped messages, blank lines) belongs to the nearest head above it in the
-same file. Lines before the first head of a file form record 0.
+same file. Lines before the first head of a file belong to no record: they
+have record number 0 and stay single rows.
 
 Line order must be known: ``read_logs(with_order=True)`` supplies
 ``line_order`` (file split start, position) and ``line_split`` (the split);
-the event feed supplies its own. No window spans a whole file: heads are
-numbered inside each (file, split), and the count of heads in earlier splits
-comes from a per-split table (one row per split) -- so a very large file is
-processed by as many tasks as it has splits. Record numbers are exact.
+the event feed supplies its own. No window spans a whole file: lines and heads
+are counted inside each (file, split), and what earlier splits hold comes from
+a per-split table (one row per split), so a very large file is processed by as
+many tasks as it has splits. Both uses of the counted lines read the same
+columns, so the plan has one scan and one exchange of the lines. Record numbers
+are exact.
 """
 
 from __future__ import annotations
@@ -20,100 +23,102 @@ from pyspark.sql import functions as F
 from logtide.functions import parse as P
 from logtide.sources import logs as S
 
-RECORDS_COLUMNS = ["file_path", "record_no", "ts", "log_level", "lines", "text"]
-# A record starts at a line break followed by a time stamp.
-RECORD_BREAK = r"(?:\r\n|\r|\n)(?=\d{2}/\d{2}/\d{2} \d{2}:\d{2}:\d{2})"
+RECORDS_COLUMNS = ["file_path", "record_no", "part", "ts", "log_level", "lines", "text"]
+MAX_LINES = 10_000
 
 
 def number_records(logs: DataFrame, order: str = "line_order", split: str | None = "line_split") -> DataFrame:
-    """Adds ``record_no`` (0 for lines above the first head) and ``is_head``."""
-    df = logs.withColumn("is_head", (P.ts_text("value") != "").cast("int"))
-    split_col = F.col(split) if split else F.lit(0)
-    df = df.withColumn("_split", split_col)
+    """Adds ``record_no`` (0 above the first head), ``line_no`` (from 1 in the file) and ``line_in_record``.
+
+    ``line_in_record`` is 0 for a head; above the first head it is the place
+    in the file (from 0).
+    """
+    names = logs.columns
+    df = logs.withColumn("_split", F.col(split) if split else F.lit(0))
+    df = df.withColumn("_head", (P.ts_text("value") != "").cast("bigint"))
     local = Window.partitionBy("file_path", "_split").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_local", F.sum("is_head").over(local))
-    # Heads per split: a second read of the input, but a map-side partial
-    # aggregate that ships one row per (file, split); cheaper than sharing the
-    # windowed rows, which would shuffle and sort every line again.
-    per_split = df.groupBy("file_path", "_split").agg(F.sum("is_head").alias("_heads"))
+    df = df.withColumn("_line", F.count(F.lit(1)).over(local)).withColumn("_heads", F.sum("_head").over(local))
+    df = df.withColumn("_last", F.max(F.when(F.col("_head") == 1, F.col("_line"))).over(local))
+    # ``_any`` makes this branch read all columns, so that it shares the exchange of the lines.
+    splits = df.groupBy("file_path", "_split").agg(
+        F.max("_line").alias("_lines"),
+        F.max("_heads").alias("_all_heads"),
+        F.max("_last").alias("_last_head"),
+        F.max(F.hash(*[F.col(c) for c in names if c != split])).alias("_any"),
+    )
     earlier = Window.partitionBy("file_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_split.select(
-        "file_path", "_split", F.coalesce(F.sum("_heads").over(earlier), F.lit(0)).alias("_offset")
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)))
+    splits = splits.select(
+        F.col("file_path").alias("_file"),
+        F.col("_split").alias("_part"),
+        "_before",
+        F.coalesce(F.sum("_all_heads").over(earlier), F.lit(0)).alias("_heads_before"),
+        F.max(F.col("_before") + F.col("_last_head")).over(earlier).alias("_head_before"),
+        "_any",
     )
-    return (
-        df.join(offsets, ["file_path", "_split"])
-        .withColumn("record_no", (F.col("_offset") + F.col("_local")).cast("bigint"))
-        .drop("_split", "_local", "_offset")
+    same = (F.col("file_path") == F.col("_file")) & F.col("_split").eqNullSafe(F.col("_part")) & F.col("_any").isNotNull()
+    df = df.join(splits, same)
+    line = F.col("_before") + F.col("_line")
+    head = F.coalesce(F.col("_before") + F.col("_last"), F.col("_head_before"))
+    return df.select(
+        *names,
+        F.col("_head").alias("is_head"),
+        (F.col("_heads_before") + F.col("_heads")).alias("record_no"),
+        line.alias("line_no"),
+        (line - F.coalesce(head, F.lit(1))).alias("line_in_record"),
     )
 
 
-def assemble_records(logs: DataFrame, order: str = "line_order", split: str | None = "line_split") -> DataFrame:
-    """One row per record: ``file_path, record_no, ts, log_level, lines, text``.
+def assemble_records(
+    logs: DataFrame, order: str = "line_order", split: str | None = "line_split", max_lines: int = MAX_LINES
+) -> DataFrame:
+    """``file_path, record_no, part, ts, log_level, lines, text``, one row per record.
 
     ``text`` is the head line and its continuation lines joined by newlines,
-    in file order.
+    in file order. A record of more than ``max_lines`` lines comes in parts (0,
+    1, ...) of that many lines; ``ts`` and ``log_level`` are those of the part's
+    first line. Lines above the first head of a file are single rows: record
+    0, ``part`` their place in the file. So no row grows with a file.
     """
-    n = number_records(logs, order, split)
-    recs = n.groupBy("file_path", "record_no").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("value").alias("v")))).alias("ls"),
-        F.count(F.lit(1)).alias("lines"),
+    if max_lines < 1:
+        raise ValueError("max_lines must be at least 1")
+    n = number_records(logs.select("file_path", "value", order, *[split] * bool(split)), order, split)
+    part = F.when(F.col("record_no") > 0, F.floor(F.col("line_in_record") / max_lines)).otherwise(F.col("line_in_record"))
+    recs = (
+        n.withColumn("part", part.cast("bigint"))
+        .groupBy("file_path", "record_no", "part")
+        .agg(
+            F.array_sort(F.collect_list(F.struct(F.col("line_no").alias("o"), F.col("value").alias("v")))).alias("ls"),
+            F.count(F.lit(1)).alias("lines"),
+        )
     )
-    head = F.col("ls")[0]["v"]
+    first = F.col("ls")[0]["v"]
     return recs.select(
         "file_path",
         "record_no",
-        P.line_ts(head).alias("ts"),
-        P.log_level(head).alias("log_level"),
-        F.col("lines").cast("bigint").alias("lines"),
+        "part",
+        P.line_ts(first).alias("ts"),
+        P.log_level(first).alias("log_level"),
+        "lines",
         F.array_join(F.transform("ls", lambda x: x["v"]), "\n").alias("text"),
     )
 
 
-def multiline_records(logs: DataFrame, order: str = "line_order", split: str | None = "line_split") -> DataFrame:
+def multiline_records(
+    logs: DataFrame, order: str = "line_order", split: str | None = "line_split", max_lines: int = MAX_LINES
+) -> DataFrame:
     """Only records that have continuation lines (e.g. exceptions with a stack trace)."""
-    return assemble_records(logs, order, split).filter(F.col("lines") > 1)
+    recs = assemble_records(logs, order, split, max_lines)
+    return recs.filter((F.col("record_no") > 0) & ((F.col("lines") > 1) | (F.col("part") > 0)))
 
 
-def records_of(files: S.LogFiles) -> DataFrame:
-    """Records of a listed log tree (same rows as ``assemble_records`` of its
-    ordered lines).
-
-    A small file is read whole and its text is cut at every line break that
-    is followed by a time stamp: each piece is one record, so there is no
-    shuffle and no window. Large and compressed files go through the
-    line-based ``assemble_records`` (split-local windows).
-    """
-    small_files = files.small_files()
-    if small_files is None:
-        return assemble_records(files.large_lines(with_order=True)).select(*RECORDS_COLUMNS)
-    text = F.col("text")
-    body = F.regexp_replace(text, r"(\r\n|\r|\n)\z", "")
-    pieces = F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.split(body, RECORD_BREAK, -1))
-    split = small_files.select("file_path", pieces.alias("pieces"))
-    first_is_head = (P.ts_text(F.col("pieces")[0]) != "").cast("bigint")
-    recs = split.select("file_path", first_is_head.alias("offset"), F.posexplode("pieces").alias("pos", "piece"))
-    lines = F.split(F.col("piece"), S.LINE_BREAK, -1)
-    head = lines[0]
-    small = recs.select(
-        "file_path",
-        (F.col("pos") + F.col("offset")).cast("bigint").alias("record_no"),
-        P.line_ts(head).alias("ts"),
-        P.log_level(head).alias("log_level"),
-        F.size(lines).cast("bigint").alias("lines"),
-        F.array_join(lines, "\n").alias("text"),
-    )
-    if not files.has_large_files:
-        return small  # no window, join or shuffle stage for an empty branch
-    big = assemble_records(files.large_lines(with_order=True)).select(*RECORDS_COLUMNS)
-    return small.unionByName(big)
+def records_of(files: S.LogFiles, max_lines: int = MAX_LINES) -> DataFrame:
+    """Records of a listed log tree."""
+    return assemble_records(files.lines(with_order=True), max_lines=max_lines)
 
 
 def read_records(
-    spark: SparkSession,
-    path: str | list[str],
-    glob: str | None = "*.log",
-    recursive: bool = True,
-    small_file_bytes: int | None = S.SMALL_FILE_BYTES,
+    spark: SparkSession, path: str | list[str], glob: str | None = "*.log", recursive: bool = True, max_lines: int = MAX_LINES
 ) -> DataFrame:
-    """Records of the log files under ``path`` (see ``records_of``)."""
-    return records_of(S.LogFiles(spark, path, glob, recursive, small_file_bytes))
+    """Records of the log files under ``path`` (see ``assemble_records``)."""
+    return records_of(S.LogFiles(spark, path, glob, recursive), max_lines)

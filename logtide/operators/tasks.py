@@ -1,7 +1,7 @@
 """Tasks, stages, resources, memory and cache measures from parsed messages.
 
 Task pairing needs no join: Running and Finished lines of one task share the
-key (application, container, stage, task, TID), so one ``groupBy`` with
+key (application, container, stage and its attempt, task and its attempt, TID), so one ``groupBy`` with
 conditional min/max pairs them in a single shuffle. A key holds two lines at
 most, so no key can be hot. Per-application and per-stage measures then work
 on one row per task.
@@ -16,7 +16,8 @@ from logtide.functions import parse as P
 from logtide.functions.messages import MESSAGES
 from logtide.operators import messages as M
 
-TASK_KEY = ["application_id", "container_id", "stage", "task", "tid"]
+TASK_KEY = ["application_id", "container_id", "stage", "stage_attempt", "task", "attempt", "tid"]
+STAGE_KEY = ["application_id", "stage", "stage_attempt"]
 
 
 def tasks(logs: DataFrame) -> DataFrame:
@@ -41,7 +42,7 @@ def unfinished_tasks(logs: DataFrame) -> DataFrame:
 
 
 def containers(logs: DataFrame) -> DataFrame:
-    """``application_id, container_id, role``: containers seen in the file paths.
+    """``application_id, container_id, role, app_attempt, container_no``: containers seen in the file paths.
 
     Lines are reduced per file first (partial aggregate), so the path regexes
     run once per file.
@@ -52,6 +53,8 @@ def containers(logs: DataFrame) -> DataFrame:
             P.application_id("file_path").alias("application_id"),
             P.container_id("file_path").alias("container_id"),
             P.container_role("file_path").alias("role"),
+            P.container_attempt("file_path").alias("app_attempt"),
+            P.container_number("file_path").alias("container_no"),
         )
         .filter((F.col("application_id") != "") & (F.col("container_id") != ""))
         .distinct()
@@ -108,11 +111,10 @@ def request_vs_seen(logs: DataFrame) -> DataFrame:
     executor containers that left a log file.
     """
     msg = MESSAGES["executor_request"]
-    v = F.col("value")
-    is_req = msg.matches(v)
-    files = logs.groupBy("file_path").agg(
-        F.sum(F.when(is_req, msg.field(v, "executors"))).alias("requested"),
-        F.count_if(is_req).alias("requests"),
+    asked = F.get(msg.found(F.col("value")), F.lit(0))
+    files = logs.select("file_path", asked.alias("_asked")).groupBy("file_path").agg(
+        F.sum(msg.field(F.col("_asked"), "executors")).alias("requested"),
+        F.count("_asked").alias("requests"),
     )
     role = P.container_role("file_path")
     per = files.select(
@@ -143,10 +145,14 @@ def task_time_by_app(task_table: DataFrame) -> DataFrame:
 
 
 def stage_skew(task_table: DataFrame) -> DataFrame:
-    """Per (application, stage): ``tasks, median_seconds, max_seconds, skew`` (max / median)."""
+    """Per (application, stage, stage attempt): ``tasks, median_seconds, max_seconds, skew`` (max / median).
+
+    The median's buffer holds the distinct durations of one stage attempt,
+    whole seconds: at most as many as the stage ran seconds.
+    """
     done = task_table.filter(F.col("duration_seconds").isNotNull())
     med = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY duration_seconds)")
-    out = done.groupBy("application_id", "stage").agg(
+    out = done.groupBy(*STAGE_KEY).agg(
         F.count(F.lit(1)).alias("tasks"),
         med.alias("median_seconds"),
         F.max("duration_seconds").alias("max_seconds"),
@@ -157,21 +163,40 @@ def stage_skew(task_table: DataFrame) -> DataFrame:
 
 
 def stage_timeline(task_table: DataFrame) -> DataFrame:
-    """Per (application, stage): ``tasks, first_start, last_finish``."""
-    return task_table.groupBy("application_id", "stage").agg(
+    """Per (application, stage, stage attempt): ``tasks, retried_tasks, first_start, last_finish``."""
+    return task_table.groupBy(*STAGE_KEY).agg(
         F.count(F.lit(1)).alias("tasks"),
+        F.count_if(F.col("attempt") > 0).alias("retried_tasks"),
         F.min("started").alias("first_start"),
         F.max("finished").alias("last_finish"),
     )
 
 
 def host_load(logs: DataFrame) -> DataFrame:
-    """Per executor host: ``blocks, block_managers, added, added_bytes``."""
-    a = M.parse_block_added(logs)
-    return a.groupBy("host").agg(
+    """Per executor host: ``containers, blocks, block_managers, added, added_bytes``.
+
+    One pass over the lines that name a host: executor starts (which link a
+    container to its host) and added blocks.
+    """
+    v = F.col("value")
+    start, added = MESSAGES["executor_start"], MESSAGES["block_added"]
+    rows = logs.filter(v.contains(start.marker) | v.contains(added.marker)).select(
+        P.container_id("file_path").alias("_container"),
+        F.get(start.found(v), F.lit(0)).alias("_start"),
+        F.get(added.found(v), F.lit(0)).alias("_added"),
+    )
+    rows = rows.select(
+        F.coalesce(start.field(F.col("_start"), "host"), added.field(F.col("_added"), "host")).alias("host"),
+        F.when(F.col("_start").isNotNull() & (F.col("_container") != ""), F.col("_container")).alias("container"),
+        added.field(F.col("_added"), "block").alias("block"),
+        added.field(F.col("_added"), "port").alias("port"),
+        added.field(F.col("_added"), "size_bytes").alias("size_bytes"),
+    )
+    return rows.filter(F.col("host").isNotNull()).groupBy("host").agg(
+        F.count_distinct("container").alias("containers"),
         F.count_distinct("block").alias("blocks"),
         F.count_distinct("port").alias("block_managers"),
-        F.count(F.lit(1)).alias("added"),
+        F.count("block").alias("added"),
         F.sum("size_bytes").alias("added_bytes"),
     )
 
@@ -179,24 +204,24 @@ def host_load(logs: DataFrame) -> DataFrame:
 def memory_profile(logs: DataFrame) -> DataFrame:
     """Per application: ``capacity_bytes, blocks_stored, peak_block_bytes, min_free_bytes``.
 
-    One pass: lines of either message are kept, each message's fields are
-    taken only on its own lines, and one ``groupBy`` folds them.
+    One pass: each message's regex runs once on the lines that hold its
+    marker, and one ``groupBy`` folds them.
     """
     v = F.col("value")
-    cap_msg, blk_msg = MESSAGES["memory_capacity"], MESSAGES["block_stored"]
-    is_cap, is_blk = cap_msg.matches(v), blk_msg.matches(v)
-    rows = logs.filter(is_cap | is_blk).select(
+    cap, blk = MESSAGES["memory_capacity"], MESSAGES["block_stored"]
+    rows = logs.filter(v.contains(cap.marker) | v.contains(blk.marker)).select(
         P.application_id("file_path").alias("application_id"),
-        F.when(is_cap, cap_msg.field(v, "capacity_bytes")).alias("capacity_bytes"),
-        F.when(is_blk, blk_msg.field(v, "size_bytes")).alias("size_bytes"),
-        F.when(is_blk, blk_msg.field(v, "free_bytes")).alias("free_bytes"),
+        F.get(cap.found(v), F.lit(0)).alias("_cap"),
+        F.get(blk.found(v), F.lit(0)).alias("_blk"),
     )
-    return rows.groupBy("application_id").agg(
-        F.max("capacity_bytes").alias("capacity_bytes"),
-        F.count("size_bytes").alias("blocks_stored"),
-        F.max("size_bytes").alias("peak_block_bytes"),
-        F.min("free_bytes").alias("min_free_bytes"),
+    out = rows.groupBy("application_id").agg(
+        F.max(cap.field(F.col("_cap"), "capacity_bytes")).alias("capacity_bytes"),
+        F.count("_blk").alias("blocks_stored"),
+        F.max(blk.field(F.col("_blk"), "size_bytes")).alias("peak_block_bytes"),
+        F.min(blk.field(F.col("_blk"), "free_bytes")).alias("min_free_bytes"),
+        F.count(F.coalesce("_cap", "_blk")).alias("_lines"),
     )
+    return out.filter("_lines > 0").drop("_lines")
 
 
 def cache_ratio(logs: DataFrame) -> DataFrame:

@@ -17,11 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtide.functions import parse as P
-
-
-def _pdisc(col: str, p: float):
-    """Exact discrete percentile (SQL ``percentile_disc``)."""
-    return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{col}`)")
+from logtide.operators.quantiles import quantiles_of_counts, value_counts
 
 
 TIMELINE_COLUMNS = ["cluster_id", "application_id", "app_number", "start_time", "end_time", "duration_seconds"]
@@ -102,11 +98,13 @@ def top_cluster(timeline: DataFrame) -> DataFrame:
 def top_cluster_apps(timeline: DataFrame) -> DataFrame:
     """Timeline rows of the most used cluster.
 
-    The right side is ``top_cluster`` -- one row by its ``limit(1)`` -- so
-    the broadcast has a proven size bound.
+    The right side has one row by its ``limit(1)``, so the broadcast has a
+    proven size bound. It is taken from the cluster summary, which reads the
+    same columns of the timeline as the left side, so both share one scan.
     """
-    top = F.broadcast(top_cluster(timeline).select("cluster_id"))
-    return timeline.join(top, "cluster_id", "left_semi")
+    most = cluster_summary(timeline, ordered=False).orderBy(F.desc("num_applications"), "cluster_id").limit(1)
+    most = most.filter(F.col("cluster_last_app") >= F.col("cluster_first_app"))
+    return timeline.join(F.broadcast(most.select("cluster_id")), "cluster_id", "left_semi")
 
 
 def longest_applications(timeline: DataFrame, k: int = 1) -> DataFrame:
@@ -160,28 +158,27 @@ def duration_profile(timeline: DataFrame) -> DataFrame:
     """Per cluster: ``n, median_seconds, p95_seconds, max_seconds, top_share``.
 
     Exact discrete percentiles. ``top_share`` is the fraction of the summed
-    duration spent in applications at or above the cluster's p95.
+    duration spent in applications at or above the cluster's p95. The timeline
+    is reduced to (cluster, duration, count) first; everything else works on
+    that, so a cluster with most applications is spread over its durations.
     """
-    stats = timeline.groupBy("cluster_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        _pdisc("duration_seconds", 0.5).alias("median_seconds"),
-        _pdisc("duration_seconds", 0.95).alias("p95_seconds"),
-        F.max("duration_seconds").alias("max_seconds"),
-        F.sum("duration_seconds").alias("total_seconds"),
-    )
-    # One row per cluster on the right; AQE broadcasts it when its measured size allows.
-    joined = timeline.select("cluster_id", "duration_seconds").join(stats.select("cluster_id", "p95_seconds"), "cluster_id")
-    top = joined.groupBy("cluster_id").agg(
-        F.sum(F.when(F.col("duration_seconds") >= F.col("p95_seconds"), F.col("duration_seconds")).otherwise(0.0)).alias("top_seconds")
-    )
-    return stats.join(top, "cluster_id").select(
-        "cluster_id",
-        "n",
-        "median_seconds",
-        "p95_seconds",
-        "max_seconds",
-        F.when(F.col("total_seconds") > 0, F.col("top_seconds") / F.col("total_seconds")).alias("top_share"),
-    )
+    key, d = ["cluster_id"], F.col("duration_seconds")
+    counts = value_counts(timeline, key, "duration_seconds")
+    ranks = quantiles_of_counts(counts, key, "duration_seconds", {"median_seconds": 0.5, "p95_seconds": 0.95})
+    return (
+        counts.join(ranks, "cluster_id")
+        .groupBy("cluster_id", "median_seconds", "p95_seconds")
+        .agg(
+            F.sum("n").alias("n"),
+            F.max(d).alias("max_seconds"),
+            F.sum(d * F.col("n")).alias("_total"),
+            F.sum(F.when(d >= F.col("p95_seconds"), d * F.col("n")).otherwise(0.0)).alias("_top"),
+        )
+        .select(
+            "cluster_id", "n", "median_seconds", "p95_seconds", "max_seconds",
+            F.when(F.col("_total") > 0, F.col("_top") / F.col("_total")).alias("top_share"),
+        )
+    )
 
 
 def cluster_distribution(timeline: DataFrame) -> DataFrame:

@@ -97,7 +97,7 @@ def cluster_usage(
     timeline = TB.read_timeline(spark, timeline_dir)
     summary = TB.read_cluster_summary(spark, summary_csv)
     out["stats"] = sinks.write_text(R.usage_report(summary), _out(outdir, "usage_stats.txt"))
-    out["bars"] = sinks.write_small_csv(C.bar_data(summary), _out(outdir, "bar_data.csv"))
+    out["bars"] = sinks.write_small_csv(C.bar_data(summary), _out(outdir, "bar_data.csv"), order_by="bar")
     out["histogram"] = sinks.write_small_csv(
         C.duration_histogram(timeline, bins=bins), _out(outdir, "duration_histogram.csv"), order_by="bin"
     )
@@ -113,17 +113,25 @@ def daily_trip_summary(
     outdir: str,
     year: int = 2021,
     quantile: str = "approx",
+    months: list[int] | None = None,
 ) -> tuple[dict[str, str], DataFrame]:
     """Writes ``daily_summary.csv`` (newest day first); returns paths and the overview.
 
-    The aggregate runs once; the overview is computed from the written
-    summary (one row per day), not by running the aggregate again.
+    ``paths`` are files, directories or globs; with ``months`` the one path is
+    the base of a ``yyyy=<year>`` tree, of which the files of those months are
+    read (all their rows of ``year`` count, also of other months). The
+    aggregate runs once; the overview is computed from the written summary (one
+    row per day), not by running the aggregate again.
     """
-    trips = TB.read_tables(spark, *paths)
+    if months is None:
+        trips = TB.read_tables(spark, *[TB.store_path(p) for p in paths])
+    else:
+        if len(paths) != 1 or not months:
+            raise ValueError("months needs one base path and at least one month")
+        trips = TB.read_month_files(spark, paths[0], year, months)
     daily = D.daily_summary(trips, year=year, quantile=quantile)
     path = sinks.write_small_csv(daily, _out(outdir, "daily_summary.csv"))
-    written = spark.read.options(**TB.CSV_OPTIONS).option("inferSchema", "true").csv(path)
-    return {"daily": path}, D.daily_overview(written)
+    return {"daily": path}, D.daily_overview(TB.read_daily_summary(spark, path))
 
 
 def main(argv=None) -> int:
@@ -143,6 +151,7 @@ def main(argv=None) -> int:
     c.add_argument("paths", nargs="+")
     c.add_argument("--out", default="output")
     c.add_argument("--year", type=int, default=2021)
+    c.add_argument("--months", type=int, nargs="+", help="month files of the one base path given")
     args = ap.parse_args(argv)
 
     spark = SparkSession.builder.appName(f"logtide-{args.cmd}").getOrCreate()
@@ -152,7 +161,7 @@ def main(argv=None) -> int:
     elif args.cmd == "usage":
         res = cluster_usage(spark, None if args.skip_spark else TB.resolve_input(args.input), args.out, args.skip_spark)
     else:
-        res, overview = daily_trip_summary(spark, args.paths, args.out, args.year)
+        res, overview = daily_trip_summary(spark, args.paths, args.out, args.year, months=args.months)
         overview.show(truncate=False)
     for k, v in res.items():
         print(f"{k}: {v}")

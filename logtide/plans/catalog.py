@@ -22,6 +22,7 @@ from logtide.operators import tasks as T
 from logtide.operators import usage as U
 from logtide.plans import reports as R
 from logtide.sources.feeds import load_event_logs, load_trips
+from logtide.sources.tables import read_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,9 +36,8 @@ def _timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_view_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line count through a temporary view and Spark SQL."""
-    _logs(spark, sf_dir).createOrReplaceTempView("logtide_log_lines")
-    return spark.sql("SELECT COUNT(*) AS total FROM logtide_log_lines")
+    """Line count in Spark SQL over a DataFrame parameter (no view is left behind)."""
+    return spark.sql("SELECT COUNT(*) AS total FROM {lines}", lines=_logs(spark, sf_dir))
 
 
 def level_queries() -> dict[str, Query]:
@@ -93,7 +93,7 @@ ORDER_SPEC = (
 
 
 def _orders_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = read_tables(spark, f"{sf_dir}/orders.parquet")
     orders = orders.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
     daily = D.daily_summary(orders, ts="o_orderdate", spec=ORDER_SPEC)
     # Means of non-integer values are reported to 6 decimals.
@@ -131,6 +131,7 @@ def message_queries() -> dict[str, Query]:
         "block_added": lambda s, d: M.parse_block_added(_logs(s, d)),
         "cache_lookups": lambda s, d: M.parse_cache_lookups(_logs(s, d)),
         "broadcast_reads": lambda s, d: M.parse_broadcast_reads(_logs(s, d)),
+        "executor_starts": lambda s, d: M.parse_executor_starts(_logs(s, d)),
     }
 
 

@@ -16,100 +16,113 @@ ev AS (
          strftime(ts + to_seconds(CAST(floor(value) AS BIGINT)), '%y/%m/%d %H:%M:%S') AS tt_fin,
          date_trunc('second', ts) AS t0,
          date_trunc('second', ts + to_seconds(CAST(floor(value) AS BIGINT))) AS t_fin,
-         CAST(1704067200000 + user_id % 6 AS BIGINT) AS c, printf('%04d', user_id) AS a,
-         event_id % 8 + 1 AS k,
-         printf('%d.0 in stage %d.0 (TID %d)', event_id % 13, event_id % 7, event_id) AS task,
+         CAST(1704067200000 + CASE WHEN user_id % 10 < 6 THEN 0 ELSE user_id % 6 END AS BIGINT) AS c,
+         printf('%04d', user_id) AS a,
+         event_id % (1 + user_id % 8) + 1 AS k, CASE WHEN user_id % 9 = 4 THEN 2 ELSE 1 END AS p,
+         CAST(CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END AS BIGINT) AS again,
+         CAST(CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS BIGINT) AS sagain,
+         printf('%d.%d in stage %d.%d (TID %d)', event_id % 13, CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END,
+                event_id % 7, CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END, event_id) AS task,
          1408 + 1024 * (user_id % 8) AS mem, 1 + event_id % 5 AS cores,
          printf('rdd_%d_%d', user_id % 30, event_id % 20) AS rdd,
          printf('%d.%d', CAST(floor(value) AS BIGINT), event_id % 10) AS size
-  FROM events),
+  FROM (SELECT * REPLACE (ts + to_days(CAST(31 * (user_id % 3) AS INTEGER)) AS ts) FROM events)),
 evp AS (
-  SELECT *, printf('/logs/application_%d_%s/container_%d_%s_01_%06d.log', c, a, c, a, k) AS file_path,
-         printf('application_%d_%s', c, a) AS app_id,
-         printf('container_%d_%s_01_%06d', c, a, k) AS cont
+  SELECT *, CASE WHEN e % 50 = 49 THEN printf('/logs/misc/daemon-%d.log', u % 4)
+                 ELSE printf('/logs/application_%d_%s/container_%d_%s_%02d_%06d.log', c, a, c, a, p, k) END AS file_path,
+         CASE WHEN e % 50 = 49 THEN '' ELSE printf('application_%d_%s', c, a) END AS app_id,
+         CASE WHEN e % 50 = 49 THEN '' ELSE printf('container_%d_%s_%02d_%06d', c, a, p, k) END AS cont
   FROM ev),
 feed AS (
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 0 AS seq, t0 AS lts, 'INFO' AS lvl, 'INFO' AS wlvl,
+  SELECT file_path, app_id, cont, c, a, k, e, u, v, kind, ts, 0 AS seq, t0 AS lts, 'INFO' AS lvl, 'INFO' AS wlvl,
          'executor.CoarseGrainedExecutorBackend' AS comp,
          printf('%s INFO executor.CoarseGrainedExecutorBackend: Got assigned task %d', tt, e) AS value
   FROM evp WHERE kind = 'click'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 1, t0, 'INFO', 'INFO', 'executor.Executor',
+  SELECT file_path, app_id, cont, c, a, k, e, u, v, kind, ts, 1, t0, 'INFO', 'INFO', 'executor.Executor',
          printf('%s INFO executor.Executor: Running task %s', tt, task)
   FROM evp WHERE kind = 'click'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 2, t0, 'INFO', 'INFO', 'rdd.HadoopRDD',
-         printf('%s INFO rdd.HadoopRDD: Input split: hdfs://10.10.34.11:9000/data/part-%d.txt:%d+%d',
+  SELECT file_path, app_id, cont, c, a, k, e, u, v, kind, ts, 2, t0, 'INFO', 'INFO', 'rdd.HadoopRDD',
+         printf('%s INFO rdd.HadoopRDD: Input split: hdfs://storage-1:8020/data/part-%d.txt:%d+%d',
                 tt, e % 5, v * 1000, 1000 + e % 997)
   FROM evp WHERE kind = 'click'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 3, t_fin, 'INFO', 'INFO', 'executor.Executor',
+  SELECT file_path, app_id, cont, c, a, k, e, u, v, kind, ts, 3, t_fin, 'INFO', 'INFO', 'executor.Executor',
          printf('%s INFO executor.Executor: Finished task %s. %d bytes result sent to driver',
                 tt_fin, task, 1000 + v * 13)
   FROM evp WHERE kind = 'click' AND e % 10 <> 0
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 0, CASE WHEN e % 97 = 0 THEN NULL ELSE t0 END,
+  SELECT file_path, app_id, cont, c, a, k, e, u, v, kind, ts, 0, CASE WHEN e % 97 = 0 THEN NULL ELSE t0 END,
          'INFO', 'INFO', 'python.PythonRunner',
          printf('%s INFO python.PythonRunner: Times: total = %d, boot = %d, init = %d, finish = %d',
                 CASE WHEN e % 97 = 0 THEN '24/13/40 25:61:61' ELSE tt END, v + 50, e % 40 - 20, e % 30, v)
   FROM evp WHERE kind = 'purchase'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 0, t0, 'INFO', 'INFO', 'yarn.YarnAllocator',
+  SELECT file_path, app_id, cont, c, a, k, e, u, v, kind, ts, 1, t0, 'INFO', 'INFO', printf('module%02d.Stage', e % 25),
+         printf('%s INFO module%02d.Stage: step %d done', tt, e % 25, e)
+  FROM evp WHERE kind = 'purchase'
+  UNION ALL
+  SELECT file_path, app_id, cont, c, a, k, e, u, v, kind, ts, 4, t0, 'INFO', 'INFO', 'executor.Executor',
+         printf('%s INFO executor.Executor: Starting executor ID %d on host host-%d', tt, k, (u + k) % 9)
+  FROM evp WHERE kind = 'signup'
+  UNION ALL
+  SELECT file_path, app_id, cont, c, a, k, e, u, v, kind, ts, 0, t0, 'INFO', 'INFO', 'yarn.YarnAllocator',
          printf('%s INFO yarn.YarnAllocator: Will request %d executor containers, each with %d cores and %d MB memory including 384 MB overhead',
                 tt, 1 + e % 16, cores, mem)
   FROM evp WHERE kind = 'signup'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 1, t0, 'INFO', 'INFO', 'yarn.YarnAllocator',
+  SELECT file_path, app_id, cont, c, a, k, e, u, v, kind, ts, 1, t0, 'INFO', 'INFO', 'yarn.YarnAllocator',
          printf('%s INFO yarn.YarnAllocator: Submitted container request (host: Any, capability: <memory:%d, vCores:%d>)',
                 tt, mem, cores)
   FROM evp WHERE kind = 'signup'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 2, t0, 'INFO', 'INFO', 'storage.MemoryStore',
+  SELECT file_path, app_id, cont, c, a, k, e, u, v, kind, ts, 2, t0, 'INFO', 'INFO', 'storage.MemoryStore',
          printf('%s INFO storage.MemoryStore: MemoryStore started with capacity %d.%d MB', tt, v + 100, e % 10)
   FROM evp WHERE kind = 'signup'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 3, t0, 'WARN', 'WARN', 'scheduler.TaskSetManager',
+  SELECT file_path, app_id, cont, c, a, k, e, u, v, kind, ts, 3, t0, 'WARN', 'WARN', 'scheduler.TaskSetManager',
          printf('%s WARN scheduler.TaskSetManager: Lost task %d.0 in stage %d.0 (TID %d, host-%d): ExecutorLostFailure%s',
                 tt, e % 13, e % 7, e, u % 9, CASE WHEN e % 4 = 0 THEN ' (ERROR exit code 143)' ELSE '' END)
   FROM evp WHERE kind = 'signup'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 0, t0, 'INFO', 'INFO', 'storage.MemoryStore',
+  SELECT file_path, app_id, cont, c, a, k, e, u, v, kind, ts, 0, t0, 'INFO', 'INFO', 'storage.MemoryStore',
          printf('%s INFO storage.MemoryStore: Block broadcast_%d stored as values in memory (estimated size %s KB, free %d.%d MB)',
                 tt, e % 50, size, 100 + u % 400, e % 7)
   FROM evp WHERE kind = 'view'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 1, t0, 'INFO', 'INFO', 'storage.BlockManagerInfo',
+  SELECT file_path, app_id, cont, c, a, k, e, u, v, kind, ts, 1, t0, 'INFO', 'INFO', 'storage.BlockManagerInfo',
          printf('%s INFO storage.BlockManagerInfo: Added broadcast_%d_piece0 in memory on host-%d:%d (size: %s KB, free: %d.%d GB)',
                 tt, e % 50, u % 9, 40000 + e % 1000, size, u % 20, e % 10)
   FROM evp WHERE kind = 'view'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 2, t0, 'INFO', 'INFO',
+  SELECT file_path, app_id, cont, c, a, k, e, u, v, kind, ts, 2, t0, 'INFO', 'INFO',
          CASE WHEN e % 3 = 0 THEN 'spark.CacheManager' ELSE 'storage.BlockManager' END,
          CASE WHEN e % 3 = 0 THEN printf('%s INFO spark.CacheManager: Partition %s not found, computing it', tt, rdd)
               ELSE printf('%s INFO storage.BlockManager: Found block %s locally', tt, rdd) END
   FROM evp WHERE kind = 'view'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 3, t0, 'INFO', 'INFO', 'broadcast.TorrentBroadcast',
+  SELECT file_path, app_id, cont, c, a, k, e, u, v, kind, ts, 3, t0, 'INFO', 'INFO', 'broadcast.TorrentBroadcast',
          printf('%s INFO broadcast.TorrentBroadcast: Started reading broadcast variable %d', tt, e % 50)
   FROM evp WHERE kind = 'view'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 4, t0, 'INFO', '', '',
+  SELECT file_path, app_id, cont, c, a, k, e, u, v, kind, ts, 4, t0, 'INFO', '', '',
          printf('%s storage.BlockManager: INFORMATIONAL usage report for %s', tt, rdd)
   FROM evp WHERE kind = 'view'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 0, t0, 'ERROR', 'ERROR', 'executor.Executor',
+  SELECT file_path, app_id, cont, c, a, k, e, u, v, kind, ts, 0, t0, 'ERROR', 'ERROR', 'executor.Executor',
          printf('%s ERROR executor.Executor: Exception in task %s', tt, task)
   FROM evp WHERE kind = 'error'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 1, NULL, '', '', '',
+  SELECT file_path, app_id, cont, c, a, k, e, u, v, kind, ts, 1, NULL, '', '', '',
          printf('java.io.IOException: Disk %d unavailable', e % 4)
   FROM evp WHERE kind = 'error'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 2, NULL, '', '', '',
+  SELECT file_path, app_id, cont, c, a, k, e, u, v, kind, ts, 2, NULL, '', '', '',
          printf(chr(9) || 'at org.apache.spark.storage.DiskStore.put(DiskStore.scala:%d)', 40 + e % 60)
   FROM evp WHERE kind = 'error'
   UNION ALL
-  SELECT file_path, app_id, c, a, k, e, u, v, kind, ts, 3, NULL, '', '', '', ''
+  SELECT file_path, app_id, cont, c, a, k, e, u, v, kind, ts, 3, NULL, '', '', '', ''
   FROM evp WHERE kind = 'error' AND e % 3 = 0
 )"""
 
@@ -118,7 +131,7 @@ timeline AS (
   SELECT CAST(c AS VARCHAR) AS cluster_id, app_id AS application_id, a AS app_number,
          min(lts) AS start_time, max(lts) AS end_time,
          CAST(greatest(date_diff('second', min(lts), max(lts)), 0) AS DOUBLE) AS duration_seconds
-  FROM feed WHERE lts IS NOT NULL
+  FROM feed WHERE lts IS NOT NULL AND app_id <> ''
   GROUP BY ALL),
 summary AS (
   SELECT cluster_id, count(*) AS num_applications, min(start_time) AS cluster_first_app,
@@ -404,14 +417,17 @@ FROM d""",
 BASE = "app_id AS application_id, cont AS container_id"
 TASKS = r"""
 tasks AS (
-  SELECT app_id AS application_id, cont AS container_id, e % 7 AS stage, e % 13 AS task, e AS tid,
+  SELECT app_id AS application_id, cont AS container_id, e % 7 AS stage, sagain AS stage_attempt, e % 13 AS task,
+         again AS attempt, e AS tid,
          t0 AS started, CASE WHEN e % 10 <> 0 THEN t_fin END AS finished,
          CASE WHEN e % 10 <> 0 THEN 1000 + v * 13 END AS result_bytes,
          CASE WHEN e % 10 <> 0 THEN CAST(date_diff('second', t0, t_fin) AS DOUBLE) END AS duration_seconds
   FROM evp WHERE kind = 'click'),
 conts AS (
   SELECT DISTINCT app_id AS application_id, cont AS container_id,
-         CASE WHEN k = 1 THEN 'master' ELSE 'executor' END AS role FROM evp)"""
+         CASE WHEN k = 1 THEN 'master' ELSE 'executor' END AS role, CAST(p AS INTEGER) AS app_attempt,
+         CAST(k AS INTEGER) AS container_no
+  FROM evp WHERE app_id <> '')"""
 
 
 def message_queries() -> dict[str, str]:
@@ -426,15 +442,15 @@ FROM evp WHERE kind = 'signup'"""),
         "container_requests": q(f"""
 SELECT {BASE}, t0 AS ts, mem AS memory_mb, 1 + e % 5 AS vcores FROM evp WHERE kind = 'signup'"""),
         "task_events": q(f"""
-SELECT {BASE}, t0 AS ts, 'Running' AS event, e % 13 AS task, CAST(0 AS BIGINT) AS attempt, e % 7 AS stage,
-       CAST(0 AS BIGINT) AS stage_attempt, e AS tid, CAST(NULL AS BIGINT) AS result_bytes
+SELECT {BASE}, t0 AS ts, 'Running' AS event, e % 13 AS task, again AS attempt, e % 7 AS stage,
+       sagain AS stage_attempt, e AS tid, CAST(NULL AS BIGINT) AS result_bytes
 FROM evp WHERE kind = 'click'
 UNION ALL
-SELECT {BASE}, t_fin, 'Finished', e % 13, 0, e % 7, 0, e, 1000 + v * 13
+SELECT {BASE}, t_fin, 'Finished', e % 13, again, e % 7, sagain, e, 1000 + v * 13
 FROM evp WHERE kind = 'click' AND e % 10 <> 0"""),
         "task_assigned": q(f"SELECT {BASE}, t0 AS ts, e AS tid FROM evp WHERE kind = 'click'"),
         "input_splits": q(f"""
-SELECT {BASE}, t0 AS ts, printf('hdfs://10.10.34.11:9000/data/part-%d.txt', e % 5) AS input_file,
+SELECT {BASE}, t0 AS ts, printf('hdfs://storage-1:8020/data/part-%d.txt', e % 5) AS input_file,
        v * 1000 AS offset, 1000 + e % 997 AS length
 FROM evp WHERE kind = 'click'"""),
         "python_times": q(f"""
@@ -456,6 +472,8 @@ SELECT {BASE}, t0 AS ts, printf('broadcast_%d_piece0', e % 50) AS block, printf(
 FROM evp WHERE kind = 'view'"""),
         "cache_lookups": q(f"""
 SELECT {BASE}, t0 AS ts, rdd AS block, e % 3 <> 0 AS hit FROM evp WHERE kind = 'view'"""),
+        "executor_starts": q(f"""
+SELECT {BASE}, t0 AS ts, k AS executor, printf('host-%d', (u + k) % 9) AS host FROM evp WHERE kind = 'signup'"""),
         "broadcast_reads": q(f"SELECT {BASE}, t0 AS ts, e % 50 AS broadcast_id FROM evp WHERE kind = 'view'"),
     }
 
@@ -468,7 +486,7 @@ def task_queries() -> dict[str, str]:
         "tasks": q("SELECT * FROM tasks"),
         "unfinished_tasks": q("SELECT * FROM tasks WHERE finished IS NULL"),
         "idle_containers": q("""
-SELECT * FROM conts c WHERE role = 'executor' AND NOT EXISTS (
+SELECT application_id, container_id, role FROM conts c WHERE role = 'executor' AND NOT EXISTS (
   SELECT 1 FROM tasks t WHERE t.application_id = c.application_id AND t.container_id = c.container_id)"""),
         "resource_requests": q("""
 SELECT app_id AS application_id, count(*) AS requests, CAST(sum(1 + e % 16) AS BIGINT) AS executors,
@@ -479,25 +497,31 @@ SELECT 1 + e % 5 AS cores, mem AS memory_mb, count(*) AS requests, CAST(sum(1 +
 FROM evp WHERE kind = 'signup' GROUP BY ALL"""),
         "request_vs_seen": q("""
 , req AS (SELECT app_id AS application_id, CAST(sum(1 + e % 16) AS BIGINT) AS requested
-          FROM evp WHERE kind = 'signup' GROUP BY app_id),
+          FROM evp WHERE kind = 'signup' AND app_id <> '' GROUP BY app_id),
 seen AS (SELECT application_id, count(*) AS seen FROM conts WHERE role = 'executor' GROUP BY application_id)
 SELECT application_id, requested, CAST(coalesce(seen, 0) AS BIGINT) AS seen FROM req LEFT JOIN seen USING (application_id)"""),
         "task_time_by_app": q("""
 SELECT application_id, count(*) AS tasks, count(finished) AS finished_tasks, avg(duration_seconds) AS mean_seconds
 FROM tasks GROUP BY application_id"""),
         "stage_skew": q("""
-SELECT application_id, stage, count(*) AS tasks, quantile_disc(duration_seconds, 0.5) AS median_seconds,
+SELECT application_id, stage, stage_attempt, count(*) AS tasks, quantile_disc(duration_seconds, 0.5) AS median_seconds,
        max(duration_seconds) AS max_seconds,
        CASE WHEN quantile_disc(duration_seconds, 0.5) > 0
             THEN max(duration_seconds) / quantile_disc(duration_seconds, 0.5) END AS skew
 FROM tasks WHERE duration_seconds IS NOT NULL GROUP BY ALL"""),
         "stage_timeline": q("""
-SELECT application_id, stage, count(*) AS tasks, min(started) AS first_start, max(finished) AS last_finish
+SELECT application_id, stage, stage_attempt, count(*) AS tasks, CAST(count_if(attempt > 0) AS BIGINT) AS retried_tasks,
+       min(started) AS first_start, max(finished) AS last_finish
 FROM tasks GROUP BY ALL"""),
         "host_load": q("""
-SELECT printf('host-%d', u % 9) AS host, count(DISTINCT e % 50) AS blocks, count(DISTINCT 40000 + e % 1000) AS block_managers,
-       count(*) AS added, round(sum(CAST(size AS DOUBLE) * 1024.0), 3) AS added_bytes
-FROM evp WHERE kind = 'view' GROUP BY 1"""),
+, h AS (
+  SELECT printf('host-%d', (u + k) % 9) AS host, nullif(cont, '') AS container, NULL AS block, NULL AS port, NULL AS bytes
+  FROM evp WHERE kind = 'signup'
+  UNION ALL
+  SELECT printf('host-%d', u % 9), NULL, e % 50, 40000 + e % 1000, CAST(size AS DOUBLE) * 1024.0 FROM evp WHERE kind = 'view')
+SELECT host, count(DISTINCT container) AS containers, count(DISTINCT block) AS blocks, count(DISTINCT port) AS block_managers,
+       count(block) AS added, round(sum(bytes), 3) AS added_bytes
+FROM h GROUP BY host"""),
         "memory_profile": q("""
 , cap AS (SELECT app_id, CAST(printf('%d.%d', v + 100, e % 10) AS DOUBLE) * 1048576.0 AS capacity_bytes,
                  NULL::DOUBLE AS size_bytes, NULL::DOUBLE AS free_bytes FROM evp WHERE kind = 'signup'
@@ -517,7 +541,7 @@ SELECT app_id AS application_id, count(*) AS runs, CAST(sum(v + 50) AS BIGINT) A
        CAST(sum(v) AS BIGINT) AS finish_ms, avg(v + 50) AS mean_total_ms
 FROM evp WHERE kind = 'purchase' GROUP BY app_id"""),
         "input_bytes": q("""
-SELECT printf('hdfs://10.10.34.11:9000/data/part-%d.txt', e % 5) AS input_file, count(*) AS splits,
+SELECT printf('hdfs://storage-1:8020/data/part-%d.txt', e % 5) AS input_file, count(*) AS splits,
        CAST(sum(1000 + e % 997) AS BIGINT) AS bytes
 FROM evp WHERE kind = 'click' GROUP BY 1"""),
         "containers": q("SELECT * FROM conts"),
@@ -527,16 +551,16 @@ FROM evp WHERE kind = 'click' GROUP BY 1"""),
 def inventory_queries() -> dict[str, str]:
     return {
         "inventory": with_feed("""
-SELECT count(*) AS entries, count(DISTINCT file_path) AS files, count(DISTINCT printf('container_%d_%s_01_%06d', c, a, k)) AS containers,
-       count(DISTINCT app_id) AS applications FROM feed"""),
+SELECT count(*) AS entries, count(DISTINCT file_path) AS files, count(DISTINCT nullif(cont, '')) AS containers,
+       count(DISTINCT nullif(app_id, '')) AS applications FROM feed"""),
         "app_file_stats": with_feed("""
 SELECT app_id AS application_id, count(DISTINCT file_path) AS files, count(*) AS lines,
        CAST(sum(strlen(value) + 1) AS BIGINT) AS bytes
-FROM feed GROUP BY app_id"""),
+FROM feed WHERE app_id <> '' GROUP BY app_id"""),
         "top_apps_by_files": with_feed("""
 SELECT app_id AS application_id, count(DISTINCT file_path) AS files, count(*) AS lines,
        CAST(sum(strlen(value) + 1) AS BIGINT) AS bytes
-FROM feed GROUP BY app_id ORDER BY files DESC, application_id LIMIT 5"""),
+FROM feed WHERE app_id <> '' GROUP BY app_id ORDER BY files DESC, application_id LIMIT 5"""),
     }
 
 
@@ -550,7 +574,7 @@ n AS (
   SELECT *, sum(is_head) OVER (PARTITION BY file_path ORDER BY ot, e, seq ROWS UNBOUNDED PRECEDING) AS record_no
   FROM o),
 r AS (
-  SELECT file_path, CAST(record_no AS BIGINT) AS record_no, list(lts ORDER BY ot, e, seq)[1] AS ts,
+  SELECT file_path, CAST(record_no AS BIGINT) AS record_no, CAST(0 AS BIGINT) AS part, list(lts ORDER BY ot, e, seq)[1] AS ts,
          list(lvl ORDER BY ot, e, seq)[1] AS log_level, count(*) AS lines,
          string_agg(value, chr(10) ORDER BY ot, e, seq) AS text
   FROM n GROUP BY file_path, record_no)"""

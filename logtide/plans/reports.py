@@ -8,12 +8,13 @@ plan as the numbers they print; ``sinks.write_text`` writes them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logtide.functions import parse as P
 from logtide.operators import levels as L
 from logtide.operators import usage as U
+from logtide.operators.ranking import place_by_count
 
 # Report texts and number formats.
 LEVEL_LINE = {"cluster": "  %-5s: %,10d (%5.2f%%)", "local": "  %-6s: %,10d (%6.2f%%)"}
@@ -101,10 +102,9 @@ def usage_report(summary: DataFrame) -> DataFrame:
             )
         )
     )
-    # One row per cluster; the numbering window sees only that small table.
-    rank = F.row_number().over(Window.orderBy(F.desc("num_applications"), "cluster_id"))
-    body = summary.select(
-        (rank + 5).cast("int").alias("line_no"),
+    places = place_by_count(summary.select("cluster_id", "num_applications"), "num_applications", "cluster_id", "place")
+    body = places.select(
+        (F.col("place") + 5).cast("int").alias("line_no"),
         F.format_string(USAGE_LINE, "cluster_id", "num_applications").alias("line"),
     )
     return header.unionByName(body)

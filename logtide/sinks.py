@@ -29,10 +29,20 @@ def _single_file(df: DataFrame, path: str, fmt: str, options: dict) -> str:
     parts = [s.getPath() for s in fs.listStatus(tmp_path) if s.getPath().getName().startswith("part-")]
     if len(parts) != 1:
         raise RuntimeError(f"expected one part file in {tmp}, found {len(parts)}")
-    if fs.exists(target):
-        fs.delete(target, False)
+    # The old result is moved aside first, so a failed rename loses nothing.
+    old = jvm.org.apache.hadoop.fs.Path(path + "._old")
+    had = fs.exists(target)
+    if had:
+        if fs.exists(old):
+            fs.delete(old, False)
+        if not fs.rename(target, old):
+            raise RuntimeError(f"could not move the old {path} aside")
     if not fs.rename(parts[0], target):
+        if had:
+            fs.rename(old, target)
         raise RuntimeError(f"could not move {parts[0]} to {path}")
+    if had:
+        fs.delete(old, False)
     fs.delete(tmp_path, True)
     return path
 

@@ -9,19 +9,25 @@ The SQL twin of the log feed (for the DuckDB oracle) lives in
 ``logtide.plans.oracle`` and must build byte-identical lines.
 
 Feed specification (fixed; one event -> its lines, ``e`` = event_id,
-``u`` = user_id, ``v`` = floor(value), ``T`` = ts to the second):
-
-* path: ``/logs/application_<c>_<a>/container_<c>_<a>_01_<k>.log`` with
-  cluster ``c = 1704067200000 + u % 6``, application number ``a = %04d u`` and
-  container ``k = %06d (e % 8 + 1)`` (container 1 is the ApplicationMaster).
+``u`` = user_id, ``v`` = floor(value), ``T`` = ts plus 31 days * (u % 3), to
+the second):
+
+* path: ``/logs/application_<c>_<a>/container_<c>_<a>_<p>_<k>.log`` with
+  cluster ``c = 1704067200000 + (0 if u % 10 < 6 else u % 6)`` (one cluster has
+  most applications), application number ``a = %04d u``, application attempt
+  ``p`` = 02 if u % 9 = 4 else 01 and container ``k = %06d (e % (1 + u % 8) + 1)``
+  (container 1 is the ApplicationMaster). When ``e % 50 = 49`` the path names
+  no application: ``/logs/misc/daemon-<u % 4>.log``.
 * click: ``Got assigned task``, ``Running task``, ``Input split`` at T, and
   ``Finished task ... bytes result sent to driver`` at T + v seconds except
-  when ``e % 10 = 0`` (a task that never finishes).
+  when ``e % 10 = 0`` (a task that never finishes). The task is attempt 1 when
+  ``e % 17 = 0``, its stage attempt 1 when ``e % 11 = 0``.
 * purchase: ``Times: total = ..`` (boot may be negative). When ``e % 97 = 0``
   the time stamp has the right shape but an impossible value (``24/13/40``).
+  Then a line of one of 25 further components.
 * signup: ``Will request``, a container request with ``capability``,
-  ``MemoryStore started with capacity``, and a WARN ``Lost task`` line that
-  also names ERROR when ``e % 4 = 0``.
+  ``MemoryStore started with capacity``, a WARN ``Lost task`` line that also
+  names ERROR when ``e % 4 = 0``, and ``Starting executor ID k on host``.
 * view: ``Block ... stored as values``, ``Added ... in memory on``, a cache
   miss (``e % 3 = 0``) or hit, ``Started reading broadcast variable`` and a
   line without a level word whose text holds ``INFORMATIONAL``.
@@ -34,6 +40,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logtide.sources.tables import read_tables
+
 # Fixed values of the feed.
 CLUSTER_BASE = 1704067200000
 N_CLUSTERS = 6
@@ -61,20 +69,22 @@ def event_log_lines(events: DataFrame) -> DataFrame:
     u = F.col("user_id")
     v = F.floor("value").cast("bigint")
     # Wall-clock time stamps (a no-op when Parquet is read as TIMESTAMP_NTZ).
-    t = F.col("ts").cast("timestamp_ntz")
+    t = F.timestamp_add("DAY", F.lit(31) * (u % 3), F.col("ts").cast("timestamp_ntz"))
     t_fin = F.timestamp_add("SECOND", v, t)
     tt = F.date_format(t, "yy/MM/dd HH:mm:ss")
     tt_fin = F.date_format(t_fin, "yy/MM/dd HH:mm:ss")
     kind = F.col("event_type")
 
-    cluster = F.lit(CLUSTER_BASE) + u % N_CLUSTERS
+    cluster = F.lit(CLUSTER_BASE) + F.when(u % 10 < 6, 0).otherwise(u % N_CLUSTERS)
     app = _fmt("%04d", u)
-    container = e % N_CONTAINERS + 1
-    path = _fmt(
-        "/logs/application_%d_%s/container_%d_%s_01_%06d.log", cluster, app, cluster, app, container
+    container = e % (F.lit(1) + u % N_CONTAINERS) + 1
+    attempt = F.when(u % 9 == 4, 2).otherwise(1)
+    path = F.when(e % 50 == 49, _fmt("/logs/misc/daemon-%d.log", u % 4)).otherwise(
+        _fmt("/logs/application_%d_%s/container_%d_%s_%02d_%06d.log", cluster, app, cluster, app, attempt, container)
     )
 
-    task = _fmt("%d.0 in stage %d.0 (TID %d)", e % 13, e % 7, e)
+    again, stage_again = F.when(e % 17 == 0, 1).otherwise(0), F.when(e % 11 == 0, 1).otherwise(0)
+    task = _fmt("%d.%d in stage %d.%d (TID %d)", e % 13, again, e % 7, stage_again, e)
     mem = F.lit(1408) + F.lit(1024) * (u % 8)
     cores = F.lit(1) + e % 5
     rdd = _fmt("rdd_%d_%d", u % 30, e % 20)
@@ -87,7 +97,7 @@ def event_log_lines(events: DataFrame) -> DataFrame:
             2,
             t,
             _fmt(
-                "%s INFO rdd.HadoopRDD: Input split: hdfs://10.10.34.11:9000/data/part-%d.txt:%d+%d",
+                "%s INFO rdd.HadoopRDD: Input split: hdfs://storage-1:8020/data/part-%d.txt:%d+%d",
                 tt, e % 5, v * 1000, F.lit(1000) + e % 997,
             ),
         ),
@@ -113,6 +123,7 @@ def event_log_lines(events: DataFrame) -> DataFrame:
                 v + 50, e % 40 - 20, e % 30, v,
             ),
         ),
+        _line(1, t, _fmt("%s INFO module%02d.Stage: step %d done", tt, e % 25, e)),
     )
     signup = F.array(
         _line(
@@ -148,6 +159,7 @@ def event_log_lines(events: DataFrame) -> DataFrame:
                 F.when(e % 4 == 0, F.lit(" (ERROR exit code 143)")).otherwise(F.lit("")),
             ),
         ),
+        _line(4, t, _fmt("%s INFO executor.Executor: Starting executor ID %d on host host-%d", tt, container, (u + container) % 9)),
     )
     view = F.array(
         _line(
@@ -218,9 +230,9 @@ def trips_from_lineitem(lineitem: DataFrame) -> DataFrame:
 
 def load_event_logs(spark, sf_dir: str) -> DataFrame:
     """The log feed of ``<sf_dir>/events.parquet``."""
-    return event_log_lines(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return event_log_lines(read_tables(spark, f"{sf_dir}/events.parquet"))
 
 
 def load_trips(spark, sf_dir: str) -> DataFrame:
     """The trip feed of ``<sf_dir>/lineitem.parquet``."""
-    return trips_from_lineitem(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    return trips_from_lineitem(read_tables(spark, f"{sf_dir}/lineitem.parquet"))

@@ -4,8 +4,13 @@ import math
 import os
 from datetime import datetime, timedelta
 
+from logtide.operators import chartdata as C
 from logtide.operators import daily as D
 from logtide.operators import records as RC
+from logtide.operators import usage as U
+from logtide.operators.quantiles import quantiles_of_counts, value_counts
+from logtide.operators.ranking import place_by_count
+from logtide.plans import reports as R
 from logtide.sources.logs import read_logs
 
 
@@ -63,50 +68,68 @@ def test_exact_quantile_by_month(spark, tmp):
         assert q == fares[math.ceil(0.95 * len(fares)) - 1]
 
 
-def expected_records(lines):
-    recs, cur = [], None
-    for v in lines:
-        head = len(v) >= 17 and v[:2].isdigit() and v[2] == "/"
-        if head or cur is None:
-            cur = [v]
-            recs.append(cur)
-        else:
-            cur.append(v)
-    return ["\n".join(r) for r in recs]
+def test_exact_quantile_of_a_hot_group(spark):
+    """90 % of the rows in one group, many equal values, a null group and null values; no percentile_disc in the plan."""
+    import random
 
+    rnd = random.Random(5)
+    rows = [("hot", rnd.choice([1.0, 1.0, 1.0, rnd.random() * 1000])) for _ in range(1800)]
+    rows += [(k, float(rnd.randrange(5))) for k in ("a", None) for _ in range(100)] + [("a", None), ("n", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    out = quantiles_of_counts(value_counts(df, ["k"], "v"), ["k"], "v", shares)
+    assert "percentile" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.k: r for r in out.collect()}
+    assert set(got) == {"hot", "a", None}
+    for k, r in got.items():
+        v = sorted(x for g, x in rows if g == k and x is not None)
+        assert all(r[name] == v[max(1, math.ceil(p * len(v))) - 1] for name, p in shares.items()), k
 
-def test_records_across_splits(spark, tmp):
-    lines = ["orphan continuation before any head"]
-    for i in range(3000):
-        lines.append(f"17/03/29 10:{(i // 60) % 60:02d}:{i % 60:02d} {'ERROR' if i % 5 == 0 else 'INFO'} comp.X: message {i}")
-        for j in range(i % 4 if i % 5 == 0 else 0):
-            lines.append(f"\tat frame {i}.{j}")
+
+def scans(df):
+    """File scans in the plan that ran; a reused exchange counts once."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("+- == Initial Plan ==")[0]
+    return final.count("FileScan")
+
+
+def write_split_file(tmp, lines):
     path = os.path.join(tmp, "application_1_0001", "container_1_0001_01_000002.log")
     os.makedirs(os.path.dirname(path))
     with open(path, "w") as f:
         f.write("\n".join(lines) + "\n")
+
+
+def test_records_across_splits(spark, tmp):
+    lines = ["orphan continuation before any head", "and another"]
+    exp = [(0, 0, lines[0]), (0, 1, lines[1])]
+    for i in range(3000):
+        rec = [f"21/05/02 10:{(i // 60) % 60:02d}:{i % 60:02d} {'ERROR' if i % 5 == 0 else 'INFO'} comp.X: message {i}"]
+        rec += [f"\tat frame {i}.{j}" for j in range(700 if i == 1500 else i % 4 if i % 5 == 0 else 0)]
+        lines += rec
+        exp += [(i + 1, p, "\n".join(rec[100 * p : 100 * p + 100])) for p in range((len(rec) + 99) // 100)]
+    write_split_file(tmp, lines)
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
     try:
-        logs = read_logs(spark, tmp, with_order=True, small_file_bytes=None)
+        logs = read_logs(spark, tmp, with_order=True)
         assert logs.rdd.getNumPartitions() > 5  # the file is really split
-        recs = RC.assemble_records(logs).orderBy("record_no").collect()
-        whole = RC.assemble_records(read_logs(spark, tmp, with_order=True)).orderBy("record_no").collect()
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    exp = expected_records(lines)
-    assert [r.text for r in recs] == exp
-    assert [r.text for r in whole] == exp  # file read whole: same records
-    direct = RC.read_records(spark, tmp).orderBy("record_no").collect()
-    assert [tuple(r) for r in direct] == [tuple(r) for r in recs]
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
-    try:
-        mixed = RC.read_records(spark, tmp, small_file_bytes=1000).orderBy("record_no").collect()
+        recs = RC.assemble_records(logs, max_lines=100).orderBy("record_no", "part")
+        rows = recs.collect()
+        assert scans(RC.assemble_records(read_logs(spark, tmp, with_order=True))) == 1
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    assert [tuple(r) for r in mixed] == [tuple(r) for r in recs]
-    assert recs[0].record_no == 0 and recs[0].ts is None
-    assert [r.lines for r in recs[1:6]] == [1, 1, 1, 1, 1] and recs[1].log_level == "ERROR"
+    assert [(r.record_no, r.part, r.text) for r in rows] == exp
+    assert rows[0].ts is None and rows[0].lines == 1 and rows[2].log_level == "ERROR"
+    many = RC.multiline_records(read_logs(spark, tmp, with_order=True), max_lines=100)
+    assert many.filter("record_no = 1501").count() == 8 and many.filter("record_no = 0").count() == 0
+
+
+def test_unstamped_file_makes_no_long_row(spark, tmp):
+    write_split_file(tmp, [f"line {i}" for i in range(50_000)])
+    out = RC.read_records(spark, tmp).agg({"lines": "max", "record_no": "max", "part": "max"}).collect()[0]
+    assert (out["max(lines)"], out["max(record_no)"], out["max(part)"]) == (1, 0, 49_999)
 
 
 def test_read_records_edge_cases(spark, tmp):
@@ -120,8 +143,31 @@ def test_read_records_edge_cases(spark, tmp):
     for name, body in files.items():
         with open(os.path.join(tmp, name), "w", newline="") as f:
             f.write(body)
-    lines = read_logs(spark, tmp, with_order=True, small_file_bytes=None)
-    exp = sorted(tuple(r) for r in RC.assemble_records(lines).collect())
-    got = sorted(tuple(r) for r in RC.read_records(spark, tmp).collect())
-    assert got == exp
-    assert len(got) == 2 + 2 + 1 + 1
+    got = sorted((os.path.basename(r.file_path), r.record_no, r.part, r.lines, r.text, r.ts is None) for r in RC.read_records(spark, tmp).collect())
+    assert got == [
+        ("a.log", 1, 0, 2, "17/01/01 00:00:00 INFO a: b\n\tat x", False),
+        ("a.log", 2, 0, 1, "17/01/01 00:00:01 WARN c: d", False),
+        ("b.log", 0, 0, 1, "orphan", True),
+        ("b.log", 0, 1, 1, "", True),
+        ("b.log", 1, 0, 2, "17/01/01 00:00:00 ERROR e: f\nmore", False),
+        ("d.log", 0, 0, 1, "", True),
+        ("e.log", 1, 0, 2, "17/13/40 10:00:00 INFO bad: stamp\ncont", True),
+    ]
+
+
+def test_single_scan_by_construction(spark, tmp):
+    write_split_file(tmp, ["21/05/02 10:00:00 INFO a: b"] * 3)
+    logs = lambda: read_logs(spark, tmp)
+    assert scans(U.top_cluster_apps(U.app_spans(logs()))) == 1
+    summary = lambda: U.cluster_summary(U.app_spans(logs()), ordered=False)
+    assert scans(C.bar_data(summary())) == 1 and scans(R.usage_report(summary())) == 1
+
+
+def test_places_by_count(spark):
+    import random
+
+    rnd = random.Random(2)
+    rows = [(f"{rnd.randrange(10**6):013d}{i}", rnd.choice([1, 1, 1, 2, 7])) for i in range(500)]
+    df = spark.createDataFrame(rows, "cluster_id string, num_applications long")
+    got = [r.cluster_id for r in place_by_count(df, "num_applications", "cluster_id", "place").orderBy("place").collect()]
+    assert got == [c for c, _ in sorted(rows, key=lambda r: (-r[1], r[0]))]

@@ -3,9 +3,13 @@
 import os
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from logtide import sinks
+from logtide.operators import levels as L
+from logtide.operators import records as RC
+from logtide.operators import usage as U
 from logtide.sources import tables as TB
 from logtide.sources.logs import list_log_files, read_logs
 from logtree import all_lines, write_tree
@@ -25,27 +29,46 @@ def test_read_logs_recursive_glob_and_path(spark, tmp):
     assert "file_path" in plan
 
 
-def test_whole_file_and_text_reads_agree(spark, tmp):
+def test_results_do_not_depend_on_file_size(spark, tmp):
+    # One reading path: a space in the path, a byte order mark, a small and a large file.
+    d = os.path.join(tmp, "application_1609459200000_0001 x")
+    os.makedirs(d)
+    head = "\ufeff21/05/02 07:00:00 INFO a: first\r\n\tcont\n"
+    small, large = os.path.join(d, "small.log"), os.path.join(d, "large.log")
+    body = "".join(f"21/05/02 07:{i // 60 % 60:02d}:{i % 60:02d} INFO a: line {i} {'x' * 80}\n" for i in range(90_000))
+    for path, text in ((small, head), (large, head + body)):
+        with open(path, "w", encoding="utf-8", newline="") as f:
+            f.write(text)
+    assert os.path.getsize(large) > 8 * 1024 * 1024
+    plain = spark.read.option("recursiveFileLookup", "true").text(tmp).select("value", F.col("_metadata.file_path").alias("file_path"))
+    logs = read_logs(spark, tmp, with_order=True)
+    assert logs.select("value", "file_path").exceptAll(plain).isEmpty() and plain.exceptAll(logs.select("value", "file_path")).isEmpty()
+    spans = {r.file_path.rsplit("/", 1)[1]: r for r in U.file_spans(logs).collect()}
+    assert spans["small.log"].lines == 1 and spans["large.log"].lines == 90_001
+    assert spans["small.log"].first_ts == spans["large.log"].first_ts == datetime(2021, 5, 2, 7, 0)
+    assert {r.file_path for r in spans.values()} == {r.file_path for r in list_log_files(spark, tmp).collect()}
+    assert all("%20x/" in r.file_path for r in spans.values())
+    key = ["log_entry", "log_level"]
+    sample = lambda df: sorted(map(tuple, L.level_sample(df, n=5, seed=1, method="hash").select(*key).collect()))
+    assert sample(logs) == sample(plain)
+    recs = RC.read_records(spark, tmp)
+    first = {r.file_path.rsplit("/", 1)[1]: (r.lines, r.ts) for r in recs.filter("record_no = 1 AND part = 0").collect()}
+    assert first == {n: (2, datetime(2021, 5, 2, 7, 0)) for n in ("small.log", "large.log")}
+
+
+def test_line_breaks(spark, tmp):
     files = {
-        "a.log": "l1\nl2\n",
-        "b.log": "no newline at end",
-        "c.log": "",
-        "d.log": "x\r\ny\rz\n\n",
-        "e.log": "\n",
+        "a.log": "l1\nl2\n", "b.log": "no newline at end", "c.log": "", "d.log": "x\r\ny\rz\n\n", "e.log": "\n",
         "f.log": "tab\there\nü unicode\n",
     }
     for name, body in files.items():
         with open(os.path.join(tmp, name), "w", newline="") as f:
             f.write(body)
-    def rows(**kw):
-        df = read_logs(spark, tmp, with_order=True, **kw)
-        return sorted((os.path.basename(r.file_path), r.value) for r in df.collect())
-    text_only = rows(small_file_bytes=None)
-    assert rows() == text_only
-    assert rows(small_file_bytes=10) == text_only  # mixed: some files whole, some as text
-    assert ("d.log", "y") in text_only and ("e.log", "") in text_only and len([r for r in text_only if r[0] == "c.log"]) == 0
-    order = read_logs(spark, tmp, with_order=True).filter("file_path like '%d.log'").orderBy("line_order").collect()
-    assert [r.value for r in order] == ["x", "y", "z", ""]
+    got = {}
+    for r in read_logs(spark, tmp, with_order=True).orderBy("file_path", "line_order").collect():
+        got.setdefault(os.path.basename(r.file_path), []).append(r.value)
+    assert got == {"a.log": ["l1", "l2"], "b.log": ["no newline at end"], "d.log": ["x", "y", "z", ""], "e.log": [""],
+                   "f.log": ["tab\there", "ü unicode"]}
 
 
 def test_read_logs_size_and_listing(spark, tmp):
@@ -71,18 +94,33 @@ def test_tables_and_months(spark, tmp):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "yyyy" in plan
     assert TB.read_tables(spark, base, header="true").count() == 4  # unknown option is harmless
+    assert TB.read_months(spark, base, 2021, months=[], ts="tpep_pickup_datetime").count() == 0
+    assert TB.read_months(spark, base, 2021).count() == 3
+    with pytest.raises(ValueError):
+        TB.read_months(spark, base, 2021, months=[1])
+
+
+def test_month_files_keep_stray_rows(spark, tmp):
+    base = os.path.join(tmp, "trips")
+    for m, rows in {1: [datetime(2021, 1, 3), datetime(2021, 7, 1)], 2: [datetime(2021, 2, 3)]}.items():
+        df = spark.createDataFrame([(t, 1.0) for t in rows], "tpep_pickup_datetime timestamp_ntz, fare_amount double")
+        df.write.parquet(TB.month_paths(base, 2021, [m])[0])
+    got = TB.read_month_files(spark, base, 2021, [1])
+    assert sorted(r[0] for r in got.select("tpep_pickup_datetime").collect()) == [datetime(2021, 1, 3), datetime(2021, 7, 1)]
+    assert TB.read_month_files(spark, base, 2021, []) is None
+    assert TB.store_path("s3://b/x") == "s3a://b/x" and TB.store_path("/x") == "/x"
 
 
 def test_resolve_input(tmp):
     assert TB.resolve_input("s3://bucket/logs/") == "s3a://bucket/logs"
-    assert TB.resolve_input(None, env={"SPARK_LOGS_BUCKET": "s3://b"}) == "s3a://b/data"
+    assert TB.resolve_input(None, env={"LOGTIDE_BUCKET": "s3://b"}) == "s3a://b/data"
     assert TB.resolve_input(None, env={}, sample=tmp) == tmp
     assert TB.resolve_input(None, env={}, sample=os.path.join(tmp, "none"), raw="data/raw") == "data/raw"
 
 
 def test_small_csv_and_timeline_roundtrip(spark, tmp):
     tl = spark.createDataFrame(
-        [("1440487435730", "application_1440487435730_0039", "0039", datetime(2015, 9, 1, 18, 14, 40), datetime(2015, 9, 1, 18, 19, 50), 310.0)],
+        [("1577836800000", "application_1577836800000_0039", "0039", datetime(2015, 9, 1, 18, 14, 40), datetime(2015, 9, 1, 18, 19, 50), 310.0)],
         TB.TIMELINE_SCHEMA,
     )
     p = sinks.write_small_csv(tl, os.path.join(tmp, "timeline.csv"))
@@ -90,7 +128,7 @@ def test_small_csv_and_timeline_roundtrip(spark, tmp):
         text = f.read()
     assert text.splitlines() == [
         "cluster_id,application_id,app_number,start_time,end_time,duration_seconds",
-        "1440487435730,application_1440487435730_0039,0039,2015-09-01 18:14:40,2015-09-01 18:19:50,310.0",
+        "1577836800000,application_1577836800000_0039,0039,2015-09-01 18:14:40,2015-09-01 18:19:50,310.0",
     ]
     back = TB.read_timeline(spark, p).collect()
     assert back == tl.collect()  # 0039 survives as text
@@ -112,10 +150,11 @@ def test_write_text_and_table(spark, tmp):
     assert spark.read.parquet(out).count() == 10
 
 
-def test_range_sql_and_filter(spark):
-    # The data steps of the installation check: range, view + SQL count, modulo filter, arithmetic.
-    df = spark.range(1000)
-    df.createOrReplaceTempView("logtide_range_check")
-    assert spark.sql("SELECT COUNT(*) AS total FROM logtide_range_check").collect()[0]["total"] == 1000
-    out = df.filter(df.id % 2 == 0).select((df.id * 2).alias("doubled"))
-    assert out.count() == 500 and out.agg(F.max("doubled")).collect()[0][0] == 1996
+def test_a_failed_write_keeps_the_old_file(spark, tmp):
+    path = os.path.join(tmp, "r.txt")
+    lines = spark.createDataFrame([(1, "a")], "line_no int, line string")
+    sinks.write_text(lines, path)
+    sinks.write_text(lines.withColumn("line", F.lit("b")), path)
+    with open(path) as f:
+        assert f.read() == "b\n"
+    assert sorted(n for n in os.listdir(tmp) if not n.startswith(".")) == ["r.txt"]

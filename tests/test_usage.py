@@ -58,7 +58,7 @@ def test_usage_report_golden(spark):
     assert abs(share["1485248649253"] - 181 / 194 * 100) < 1e-9
     act = {r.cluster_id: r.active_seconds for r in U.cluster_activity(summary).collect()}
     assert act["1440487435730"] == 310.0
-    bars = [(r.cluster_id, r.bar) for r in C.bar_data(summary).collect()]
+    bars = [(r.cluster_id, r.bar) for r in C.bar_data(summary).orderBy("bar").collect()]
     assert bars[0] == ("1485248649253", 1) and bars[3] == ("1440487435730", 4)
 
 
