@@ -123,7 +123,9 @@ def mix(
     empty result. Columns named like the added ones are replaced.
     """
     own = ["source_size", "target", "quota", "taken"]
-    docs = docs.drop(*own)
+    names = [c for c in docs.columns if c not in own]
+    others = [c for c in names if c not in ("doc_id", "source", "size")]
+    docs = docs.select("doc_id", "source", "size", *[F.struct(*others).alias("_others")] * bool(others))
     sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
     sources = targets(sources, weights, share, cap)
     one = sources.withColumn("_all", F.lit(0)).agg(F.sum("target").alias("_sum"))
@@ -155,12 +157,8 @@ def mix(
     passes = F.when(F.col("_shard_size") > 0, F.floor(words / F.col("_shard_size"))).otherwise(0)
     rest = words - passes * F.col("_shard_size")
     taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before")))
-    return (
-        placed.withColumn("_before", before)
-        .join(quotas, ["source_no", "_shard"])
-        .withColumn("taken", taken.cast("long"))
-        .drop("source_no", "_shard", "_draw", "_before", "_docs", "_source_quota", "_shard_size")
-    )
+    t = placed.withColumn("_before", before).join(quotas, ["source_no", "_shard"]).withColumn("taken", taken.cast("long"))
+    return t.select(*[F.col(f"_others.`{c}`" if c in others else c).alias(c) for c in names], *own)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
