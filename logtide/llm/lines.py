@@ -41,12 +41,6 @@ from logtide.llm.store import cut, drop
 LINE_BITS = 27
 
 
-def _document_key(docs: DataFrame) -> DataFrame:
-    """Rows are told apart by doc_id, text hash and the number among equal rows (0, then 1 for all others)."""
-    same = Window.partitionBy("doc_id", "_hash").orderBy(F.lit(0))
-    return docs.withColumn("_hash", F.xxhash64("text")).withColumn("_copy", F.least(F.row_number().over(same) - 1, F.lit(1)))
-
-
 def line_table(docs: DataFrame) -> DataFrame:
     """doc_no, doc_id, _hash, _copy, lines: array of (pos, a, b, words) of the non-blank lines."""
     lines = F.transform(
@@ -169,27 +163,28 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     columns are kept; columns named like the added ones are replaced.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_left")]
-    gone = copied_lines(docs, min_words)
-    keyed = _document_key(docs.select(*names))
-    t = keyed.withColumnRenamed("doc_id", "_id").join(
-        gone.select(F.col("doc_id").alias("_gone_id"), F.col("_hash").alias("_gone_hash"), F.col("_copy").alias("_gone_copy"), "gone"),
-        F.col("_id").eqNullSafe(F.col("_gone_id")) & (F.col("_hash") == F.col("_gone_hash")) & (F.col("_copy") == F.col("_gone_copy")),
-        "left",
-    ).withColumnRenamed("_id", "doc_id")
+    # Rows are told apart by doc_id, text hash and the number among equal rows (0, then 1 for all others).
+    key = ["_id", "_null", "_hash"]
+    keys = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null")]
+    rest = [F.struct(*[c for c in names if c not in ("doc_id", "text")]).alias("_rest")] if len(names) > 2 else []
+    rows = docs.select("doc_id", "text", *rest, *keys, F.xxhash64("text").alias("_hash"))
+    rows = rows.withColumn("_number", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
+    gone = copied_lines(docs, min_words).select(*keys, "_hash", "_copy", "gone")
+    # One row a document, so that the join needs no other partitioning than the numbering.
+    gone = gone.groupBy(*key).agg(*[F.first(F.when(F.col("_copy") == i, F.col("gone")), True).alias(f"_gone{i}") for i in (0, 1)])
+    t = rows.join(gone, key, "left").withColumn("_gone", F.when(F.col("_number") == 1, F.col("_gone0")).otherwise(F.col("_gone1")))
     lines = F.split("text", "\n", -1)
     # One character for each line up to the last one deleted: 1 deleted, 0 kept.
-    marks = F.array_join(
-        F.transform("gone", lambda x, i: F.concat(F.repeat(F.lit("0"), x - F.when(i > 0, F.col("gone")[i - 1]).otherwise(-1) - 1), F.lit("1"))), ""
-    )
-    t = t.withColumn("_marks", F.split(marks, ""))
+    before = lambda i: F.when(i > 0, F.col("_gone")[i - 1]).otherwise(-1)
+    marks = F.transform("_gone", lambda x, i: F.concat(F.repeat(F.lit("0"), x - before(i) - 1), F.lit("1")))
+    t = t.withColumn("_marks", F.split(F.array_join(marks, ""), ""))
     kept = F.filter(lines, lambda x, i: F.coalesce(F.get("_marks", i), F.lit("0")) != "1")
-    t = t.withColumn("_kept", F.when(F.col("gone").isNotNull(), kept))
-    left = F.size(F.filter(F.when(F.col("gone").isNotNull(), F.col("_kept")).otherwise(lines), lambda x: x.rlike(WORD)))
-    new = F.when(F.col("gone").isNull(), F.col("text")).when(F.col("n_left") == 0, "").otherwise(F.array_join("_kept", "\n"))
-    return (
-        t.withColumn("n_lines", F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)))
-        .withColumn("n_removed", F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)))
-        .withColumn("n_left", F.when(F.col("text").isNotNull(), left).otherwise(0))
-        .withColumn("text", new)
-        .select(*names, "n_lines", "n_removed", "n_left")
+    t = t.withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept).otherwise(lines))
+    t = t.withColumn("_left", F.coalesce(F.when(F.col("text").isNotNull(), F.size(F.filter("_kept", lambda x: x.rlike(WORD)))), F.lit(0)))
+    new = F.when(F.col("_gone").isNull(), F.col("text")).when(F.col("_left") == 0, "").otherwise(F.array_join("_kept", "\n"))
+    return t.select(
+        *[new.alias(c) if c == "text" else F.col(c if c == "doc_id" else f"_rest.`{c}`").alias(c) for c in names],
+        F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).alias("n_lines"),
+        F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).alias("n_removed"),
+        F.col("_left").alias("n_left"),
     )
