@@ -20,6 +20,7 @@ to their place, so a task that runs again leaves the same file.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logtide.llm.ragged import WordEncoder
+from logtide.llm.pieces import PieceEncoder
 from logtide.llm.store import cut, new_path
 
 MAGIC = b"LTIDS001"
@@ -90,14 +91,21 @@ class IdWriter:
 
     def _flush(self, last: bool) -> None:
         ids = np.concatenate(self.pending) if self.pending else np.zeros(0, np.uint32)
-        whole = len(ids) if last else len(ids) // BLOCK * BLOCK
-        for at in range(0, whole, BLOCK):
-            data = pack(ids[at : min(at + BLOCK, whole)], self.bits)
+        whole = len(ids) // BLOCK * BLOCK
+        if whole:  # full blocks end at whole words, so they are packed at once
+            data = pack(ids[:whole], self.bits)
+            self.sink.write(data)
+            step = len(data) * BLOCK // whole
+            self.offsets += range(self.place + step, self.place + len(data) + 1, step)
+            self.place += len(data)
+        ids = ids[whole:].copy()
+        if last and len(ids):
+            data = pack(ids, self.bits)
             self.sink.write(data)
             self.place += len(data)
             self.offsets.append(self.place)
-        self.pending = [ids[whole:]]
-        self.waiting = len(ids) - whole
+            ids = ids[:0]
+        self.pending, self.waiting = [ids], len(ids)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.doc_ids.append(doc_id)
@@ -155,28 +163,37 @@ class IdFile:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
-def library_encoder(definition: str) -> tuple[WordEncoder, int]:
-    """(encoder, size of the vocabulary) of a tokenizer of the tokenizers library: its pre-tokenizer splits, its model encodes.
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones themselves, the others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
 
-    For definitions without a normalizer or post-processor. Special tokens'
-    texts are ordinary text.
+def library_encoder(definition: str) -> tuple[PieceEncoder, int]:
+    """(encoder, size of the vocabulary) of a byte-level tokenizer of the tokenizers library, whose model encodes each piece.
+
+    For definitions that split by ``pieces.PATTERN`` and have no normalizer or
+    post-processor. Special tokens' texts are ordinary text.
     """
     from tokenizers import Tokenizer
 
+    split = json.loads(definition)["pre_tokenizer"] or {}
     tokenizer = Tokenizer.from_str(definition)
-    if tokenizer.normalizer is not None or tokenizer.post_processor is not None:
-        raise ValueError("the tokenizer changes texts or ids besides splitting and encoding")
-    split, encode = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    if not plain or tokenizer.normalizer is not None or tokenizer.post_processor is not None:
+        raise ValueError("not a plain byte-level tokenizer")
+    encode, letters = tokenizer.model.tokenize, _byte_letters()
 
     def ids(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        rows = [[t.id for t in encode(p)] for p in pieces]
+        rows = [[t.id for t in encode(p.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))] for p in pieces]
         lengths = np.fromiter(map(len, rows), np.int64, len(rows))
         return np.fromiter((i for row in rows for i in row), np.uint32, int(lengths.sum())), lengths
 
-    return WordEncoder(lambda text: [p for p, _ in split(text)], ids), tokenizer.get_vocab_size(with_added_tokens=True)
+    return PieceEncoder(ids), tokenizer.get_vocab_size(with_added_tokens=True)
 
 
-_encoders: dict[int, tuple[WordEncoder, int]] = {}
+_encoders: dict[int, tuple[PieceEncoder, int]] = {}
 
 
 def write_ids(docs: DataFrame, definition: str, end_id: int, folder: str) -> DataFrame:
@@ -209,10 +226,9 @@ def write_ids(docs: DataFrame, definition: str, end_id: int, folder: str) -> Dat
             for batch in batches:
                 for start in range(0, batch.num_rows, _SLICE):
                     part = batch.slice(start, _SLICE)
-                    names = iter(part.column(0).to_pylist())
-                    for ids, lengths in encoder.encode(part.column(1).to_pylist()):
-                        for one in np.split(ids, np.cumsum(lengths)[:-1]):
-                            out.add(next(names), np.concatenate([one, end]))
+                    names = part.column(0).to_pylist()
+                    for i, ids in encoder.encode(part.column(1).to_pylist()):
+                        out.add(names[i], np.concatenate([ids, end]))
             out.close()
         store.move(own, final)
         yield pa.RecordBatch.from_pydict({"file": [final], "no": [no], "n_docs": [len(out.doc_ids)], "n_ids": [out.ids]})
@@ -248,6 +264,15 @@ def read_ids(files: DataFrame, folder: str) -> DataFrame:
     return todo.repartition(n, "file").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _arrow_uri(path: str) -> str:
+    """A path of the shared folder as ``pyarrow.fs`` names it."""
+    if path.startswith("s3a://"):
+        return "s3://" + path[len("s3a://") :]
+    if "://" not in path:
+        return "file://" + path.removeprefix("file:")
+    return path
+
+
 def tokenize_to_files(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     """Encode with the tokenizer in ``path`` (a file on the driver), write files of ids, read them back: see ``read_ids``.
 
@@ -256,8 +281,5 @@ def tokenize_to_files(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     """
     with open(path, encoding="utf-8") as f:
         definition = f.read()
-    folder = new_path(docs.sparkSession, "ids")
-    if "://" not in folder:
-        folder = folder.replace("file:", "", 1) if folder.startswith("file:") else folder
-        folder = "file://" + folder
+    folder = _arrow_uri(new_path(docs.sparkSession, "ids"))
     return read_ids(write_ids(docs, definition, end_id, folder), folder)
