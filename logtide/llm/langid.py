@@ -86,6 +86,8 @@ def train(docs: DataFrame, smoothing: float = 0.5) -> Model:
                 langs, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
                 for lang in langs:
                     rows[lang] = rows.get(lang, 0) + 1
+                if len(rows) > MAX_LANGUAGES:
+                    raise ValueError(f"more than {MAX_LANGUAGES} languages")
                 for at, found in _pieces(texts):
                     by_lang: dict[str, list[np.ndarray]] = {}
                     for i, x in zip(at, found):

@@ -13,7 +13,9 @@ range-partitioned sort, and a hot source has as many shards as its rows need.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtide.llm.order import dense_ids
@@ -101,6 +103,11 @@ def apportion(members: DataFrame, group: str, key: str, weight: str, seats: str)
     )
 
 
+def _drawn(seed: int) -> Column:
+    """A seeded number for each doc_id, as hexadecimal text."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = (3, 1, 2),
@@ -131,7 +138,7 @@ def mix(
     one = sources.withColumn("_all", F.lit(0)).agg(F.sum("target").alias("_sum"))
     seats = one.first()[0] or 0.0
     sources = apportion(
-        sources.withColumn("_one", F.lit(0)).withColumn("_seats", F.lit(round(seats / block_words)).cast("long")),
+        sources.withColumn("_one", F.lit(0)).withColumn("_seats", F.lit(math.floor(seats / block_words + 0.5)).cast("long")),
         "_one", "source_no", "target", "_seats",
     ).select("source", "source_no", "source_size", "target", "_docs", F.col("quota").alias("_source_quota"))
     sources = cut(sources, "quotas")
@@ -142,8 +149,8 @@ def mix(
         .join(sources.withColumnRenamed("source", "_other"), F.col("_source").eqNullSafe(F.col("_other")))
         .drop("_other")
         .withColumnRenamed("_source", "source")
-        .withColumn("_draw", F.xxhash64(F.lit(seed), "doc_id"))
-        .withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), shards))
+        .withColumn("_draw", _drawn(seed))
+        .withColumn("_shard", F.conv(F.substring(_drawn(seed + 1), 1, 8), 16, 10).cast("long") % shards)
     )
     sizes = placed.groupBy("source_no", "_shard").agg(
         F.sum("size").alias("_shard_size"), F.first("_source_quota").alias("_source_quota")
