@@ -16,11 +16,10 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from logtide.llm.ragged import WordEncoder, gather
+from logtide.llm.pieces import PieceEncoder, gather
 
 _SLICE = 512
 
@@ -132,14 +131,14 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec:
     """Encodes and decodes whole texts; built once in each Python worker."""
 
-    def __init__(self, ranks: dict[bytes, int], perfect: PerfectHash, pattern: str):
+    def __init__(self, ranks: dict[bytes, int], perfect: PerfectHash):
         self.ranks, self.perfect = ranks, perfect
         tokens = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, i in ranks.items():
             tokens[i] = token
         self.token_flat, self.token_starts, self.token_lengths = _table(tokens)
         self.digit_flat, self.digit_starts, self.digit_lengths = _table([b"%d," % i for i in range(len(tokens))])
-        self.words = WordEncoder(regex.compile(pattern).findall, self._encode_pieces)
+        self.encode = PieceEncoder(self._encode_pieces).encode
 
     def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         data = [p.encode("utf-8", "surrogatepass") for p in pieces]
@@ -171,11 +170,11 @@ def _table(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _codecs: dict[str, Codec] = {}
 
 
-def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 (the bytes the ids decode to).
 
-    ``path`` names a rank file on the driver; its content (bounded by the
-    vocabulary) is broadcast. Null and empty texts have no ids and decode to
+    ``path`` names a rank file on the driver, for ``pieces.PATTERN``; its content
+    (bounded by the vocabulary) is broadcast. Null and empty texts have no ids and decode to
     nothing. Each row gives a row; other columns are not read.
     """
     ranks = read_ranks(path)
@@ -184,17 +183,16 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _codecs:
             _codecs.clear()
-            _codecs[path] = Codec(*sent.value, pattern)
+            _codecs[path] = Codec(*sent.value)
         codec = _codecs[path]
         for batch in batches:
             for start in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(start, _SLICE)
                 counts, id_marks, text_marks = [], [], []
-                for ids, lengths in codec.words.encode(part.column(1).to_pylist()):
-                    for own in np.split(ids, np.cumsum(lengths)[:-1]):
-                        counts.append(len(own))
-                        id_marks.append(hashlib.sha256(codec.decimal(own)).hexdigest())
-                        text_marks.append(hashlib.sha256(codec.decode(own)).hexdigest())
+                for _, ids in codec.encode(part.column(1).to_pylist()):
+                    counts.append(len(ids))
+                    id_marks.append(hashlib.sha256(codec.decimal(ids)).hexdigest())
+                    text_marks.append(hashlib.sha256(codec.decode(ids)).hexdigest())
                 cols = [part.column(0), pa.array(counts, pa.int64()), pa.array(id_marks, pa.string()), pa.array(text_marks, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import bpe, fingerprints, idfiles, jaccard, langid, licenses, lines, mixing, quality, search
+from logtide.llm import bpe, fingerprints, idfiles, jaccard, langid, licenses, lines, mixing, oracle, quality, search
 from logtide.llm.store import cut, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,8 +41,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.encode_and_decode(_documents(spark, sf_dir), path, public_tokenizers.PATTERN)
+    return bpe.encode_and_decode(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +87,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
