@@ -50,8 +50,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.encode_and_decode(docs, path, public_tokenizers.PATTERN)
+    return bpe.encode_and_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 STAGES = [
