@@ -179,7 +179,7 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs.withColumn("held_out", held), model)
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose language is found with a posterior of ``least`` or more; ``lang`` stays as it is."""
     names = docs.columns
     rest = F.struct(*[c for c in names if c not in ("doc_id", "text", "lang")]).alias("_rest")

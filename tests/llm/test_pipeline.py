@@ -27,7 +27,7 @@ def test_stages(spark, tmp_path):
         kept.append(spark.read.parquet(str(tmp_path / str(i))))
         assert kept[-1].columns == COLUMNS if i < 4 else "ids_sha256" in kept[-1].columns
     ids = [sorted(r.doc_id for r in k.select("doc_id").collect()) for k in kept]
-    named = langid.identify(docs).filter("lang_pred != 'und' AND score >= 0.5")
+    named = langid.identify(docs).filter("lang_pred != 'und' AND score >= 0.3")
     assert ids[1] == sorted(r.doc_id for r in named.collect())
     left = {r.doc_id: r.text for r in lines.dedup_lines(kept[1]).collect() if r.n_left or not r.n_removed}
     assert {r.doc_id: r.text for r in kept[2].collect()} == left
