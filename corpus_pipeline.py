@@ -5,7 +5,7 @@ and returns a DataFrame that is written as Parquet and read again as the next
 one's docs. All but the last return the columns of ``documents``.
 
 1. ``language_id``: documents without a letter, or whose best language has a
-   posterior below one half, go.
+   posterior below 0.3, go (a word of two letters may fit several languages).
 2. ``line_dedup``: later copies of repeated line runs are deleted; a document
    that loses its last line with it goes.
 3. ``ngram_jaccard``: one document of each class of near duplicates stays.
