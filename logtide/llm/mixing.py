@@ -135,10 +135,9 @@ def mix(
     docs = docs.select("doc_id", "source", "size", *[F.struct(*others).alias("_others")] * bool(others))
     sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
     sources = targets(sources, weights, share, cap)
-    one = sources.withColumn("_all", F.lit(0)).agg(F.sum("target").alias("_sum"))
-    seats = one.first()[0] or 0.0
+    seats = sources.agg(F.sum("target")).first()[0] or 0.0
     sources = apportion(
-        sources.withColumn("_one", F.lit(0)).withColumn("_seats", F.lit(math.floor(seats / block_words + 0.5)).cast("long")),
+        sources.withColumn("_one", F.col("source_no") * 0).withColumn("_seats", F.lit(math.floor(seats / block_words + 0.5)).cast("long")),
         "_one", "source_no", "target", "_seats",
     ).select("source", "source_no", "source_size", "target", "_docs", F.col("quota").alias("_source_quota"))
     sources = cut(sources, "quotas")
