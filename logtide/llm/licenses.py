@@ -11,8 +11,8 @@ MinHash row each) that make a collision that likely. A collision is only a
 candidate: the window's shingles are then compared with the template's.
 
 A few *pivot words* are so chosen that more than 1 - containment of each
-template's shingles hold one. A text without any cannot reach the containment,
-so it needs no windows.
+template's shingles hold one. A window without any cannot reach the
+containment, so only windows that hold one are looked at.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,9 +135,12 @@ def scan_licenses(
     for name, words in split.items():
         by_length.setdefault(len(words), []).append(name)
     pivots = pivot_words({n: shingles(w, min(k, len(w))) for n, w in split.items()}, containment)
-    has_pivot = F.expr(f"arrays_overlap(_words, {_strings(pivots)})")
-    quick = F.col("text").rlike("(?iu)" + "|".join(pivots))  # without word borders: lets through more than has_pivot
-    base = docs.filter(quick).withColumn("_words", tokens(F.col("text"))).filter(has_pivot).select("doc_id", "_words")
+    at = F.expr(f"filter(sequence(0, size(_words) - 1), i -> array_contains({_strings(pivots)}, _words[i]))")
+    # Without word borders, so it lets through more than texts with a pivot word.
+    low = F.lower("text")
+    quick = reduce(lambda a, b: a | b, [low.contains(w) for w in pivots])
+    base = docs.filter(quick).select("doc_id", tokens(F.col("text")).alias("_words")).filter("size(_words) > 0")
+    base = base.withColumn("_at", at)
     # One pass over the text: the matches of all length classes are one array, exploded.
     classes = [_matches(spark, length, names, split, k, containment, certainty) for length, names in sorted(by_length.items())]
     found = base.select("doc_id", F.explode(F.flatten(F.array(*classes))).alias("_m"))
@@ -172,12 +176,15 @@ def _matches(
     sets = {n: shingles(split[n], size) for n in names}
     bands = max(bands_for(len(s), span - size + 1, containment, certainty) for s in sets.values())
     keys = _band_keys(spark, sets, bands)
-    starts = f"sequence(0, greatest(size(_words) - {length}, 0), {step})"
+    # The windows that hold a pivot word at p: the last one that starts at or before p, and those before it that reach p.
+    back = f"sequence(0, {(span - 1) // step})"
+    each = f"transform(_at, p -> filter(transform({back}, k -> (p div {step} - k) * {step}), s -> s >= 0 AND s + {span} > p))"
+    starts = f"filter(array_distinct(flatten({each})), s -> s <= greatest(size(_words) - {length}, 0))"
     parts = (
-        f"array_distinct(transform(sequence(0, greatest(least({span}, size(_words) - s) - {size}, 0)), "
-        f"i -> array_join(slice(_words, s + i + 1, {size}), ' ')))"
+        f"array_distinct(transform(sequence(0, greatest(least({span}, CAST(size(_words) - s AS INT)) - {size}, 0)), "
+        f"i -> array_join(slice(_words, CAST(s + i + 1 AS INT), {size}), ' ')))"
     )
-    with_parts = f"transform({starts}, s -> named_struct('word', s, 'parts', {parts}))"
+    with_parts = f"transform({starts}, s -> named_struct('word', CAST(s AS INT), 'parts', {parts}))"
     with_hashes = f"transform({with_parts}, w -> named_struct('word', w.word, 'parts', w.parts, 'hashes', transform(w.parts, x -> xxhash64(x))))"
     marked = f"transform({with_hashes}, w -> named_struct('word', w.word, 'parts', w.parts, 'marks', {_minhashes('w.hashes', bands)}))"
     found = []
