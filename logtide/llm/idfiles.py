@@ -21,6 +21,7 @@ to their place, so a task that runs again leaves the same file.
 from __future__ import annotations
 
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -170,11 +171,40 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-def library_encoder(definition: str) -> tuple[PieceEncoder, int]:
+class AddedTokens:
+    """Ids of whole texts, cut at the contents of added tokens as the library cuts them; the rest goes to ``encoder``."""
+
+    def __init__(self, encoder: PieceEncoder, passes: list[dict[str, int]]):
+        self.encoder = encoder
+        self.ids = {content: np.array([i], np.uint32) for tokens in passes for content, i in tokens.items()}
+        # The first place counts, and the longest token there.
+        self.cuts = [re.compile("(" + "|".join(map(re.escape, sorted(tokens, key=len, reverse=True))) + ")") for tokens in passes]
+
+    def _parts(self, text: str) -> list[str]:
+        """Text, token, text, token, ..., text; the texts may be empty."""
+        parts = [text]
+        for cut_at in self.cuts:
+            parts = [x for k, part in enumerate(parts) for x in ([part] if k % 2 else cut_at.split(part))]
+        return parts
+
+    def encode(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+        """(index, ids) of each text, in order; null is empty."""
+        split = [self._parts(text or "") for text in texts]
+        plain = self.encoder.encode([part for parts in split for part in parts[::2]])
+        for i, parts in enumerate(split):
+            ids = [self.ids[part] if k % 2 else next(plain)[1] for k, part in enumerate(parts)]
+            yield i, np.concatenate(ids) if len(ids) > 1 else ids[0]
+
+
+def library_encoder(definition: str, encode_special_tokens: bool = True) -> tuple[PieceEncoder | AddedTokens, int]:
     """(encoder, size of the vocabulary) of a byte-level tokenizer of the tokenizers library, whose model encodes each piece.
 
     For definitions that split by ``pieces.PATTERN`` and have no normalizer or
-    post-processor. Special tokens' texts are ordinary text.
+    post-processor, and whose added tokens are matched as they stand (no
+    ``single_word``, ``lstrip`` or ``rstrip``). ``encode_special_tokens`` is the
+    library's attribute of that name: special tokens' texts are ordinary text if
+    it is set, else they become their ids, which is the library's default.
+    Added tokens that are not special always become theirs.
     """
     from tokenizers import Tokenizer
 
@@ -183,6 +213,9 @@ def library_encoder(definition: str) -> tuple[PieceEncoder, int]:
     plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
     if not plain or tokenizer.normalizer is not None or tokenizer.post_processor is not None:
         raise ValueError("not a plain byte-level tokenizer")
+    added = [(i, t) for i, t in tokenizer.get_added_tokens_decoder().items() if t.content and not (t.special and encode_special_tokens)]
+    if any(t.single_word or t.lstrip or t.rstrip for _, t in added):
+        raise ValueError("added tokens with single_word, lstrip or rstrip")
     encode, letters = tokenizer.model.tokenize, _byte_letters()
 
     def ids(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -190,13 +223,17 @@ def library_encoder(definition: str) -> tuple[PieceEncoder, int]:
         lengths = np.fromiter(map(len, rows), np.int64, len(rows))
         return np.fromiter((i for row in rows for i in row), np.uint32, int(lengths.sum())), lengths
 
-    return PieceEncoder(ids), tokenizer.get_vocab_size(with_added_tokens=True)
+    # The library looks for tokens of the text as given first, then for those of the normalized text.
+    passes = [{t.content: i for i, t in added if t.normalized == normalized} for normalized in (False, True)]
+    passes = [tokens for tokens in passes if tokens]
+    encoder = PieceEncoder(ids)
+    return AddedTokens(encoder, passes) if passes else encoder, tokenizer.get_vocab_size(with_added_tokens=True)
 
 
-_encoders: dict[int, tuple[PieceEncoder, int]] = {}
+_encoders: dict[tuple[int, bool], tuple[PieceEncoder | AddedTokens, int]] = {}
 
 
-def write_ids(docs: DataFrame, definition: str, end_id: int, folder: str) -> DataFrame:
+def write_ids(docs: DataFrame, definition: str, end_id: int, folder: str, encode_special_tokens: bool = True) -> DataFrame:
     """One file for each range of doc_ids below ``folder``; returns file, no (its place in the order), n_docs, n_ids.
 
     Documents are in ascending doc_id order (null last, ties by text hash)
@@ -208,12 +245,12 @@ def write_ids(docs: DataFrame, definition: str, end_id: int, folder: str) -> Dat
     order = [F.col("doc_id").asc_nulls_last(), F.col("_hash")]
     rows = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     sent = spark.sparkContext.broadcast(definition)
-    key = zlib.crc32(definition.encode())
+    key = zlib.crc32(definition.encode()), encode_special_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _encoders:
             _encoders.clear()
-            _encoders[key] = library_encoder(sent.value)
+            _encoders[key] = library_encoder(sent.value, encode_special_tokens)
         encoder, vocabulary = _encoders[key]
         bits = bits_for(vocabulary)
         store, base = fs.FileSystem.from_uri(folder)
@@ -273,13 +310,15 @@ def _arrow_uri(path: str) -> str:
     return path
 
 
-def tokenize_to_files(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
+def tokenize_to_files(docs: DataFrame, path: str, end_id: int = 0, encode_special_tokens: bool = True) -> DataFrame:
     """Encode with the tokenizer in ``path`` (a file on the driver), write files of ids, read them back: see ``read_ids``.
 
-    The special token's text in a document is ordinary text. Each row gives a
-    row; an empty table gives none. Other columns are not read.
+    A special token's text in a document is ordinary text if
+    ``encode_special_tokens`` is set, else its id, as by the library's
+    ``encode(text, add_special_tokens=False)``. Each row gives a row; an empty
+    table gives none. Other columns are not read.
     """
     with open(path, encoding="utf-8") as f:
         definition = f.read()
     folder = _arrow_uri(new_path(docs.sparkSession, "ids"))
-    return read_ids(write_ids(docs, definition, end_id, folder), folder)
+    return read_ids(write_ids(docs, definition, end_id, folder, encode_special_tokens), folder)

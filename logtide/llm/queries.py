@@ -33,7 +33,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return idfiles.tokenize_to_files(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return idfiles.tokenize_to_files(_documents(spark, sf_dir), path, end_id=0, encode_special_tokens=False)
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,6 +89,52 @@ def test_library_encoder_is_the_library():
         idfiles.library_encoder(f.read())
 
 
+QUOTING = [
+    "a <|endoftext|> hi", "<|endoftext|>", "<|endoftext|><|endoftext|>", "x  <|endoftext|>  y", "it<|endoftext|>'s", "<|endoftext|", "<<|endoftext|>>",
+    "\n<|endoftext|>\n", "a " * 300_000 + "<|endoftext|> b" * 3,
+]
+
+
+def default_ids(definition, ts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_str(definition)
+    return [t.encode(x or "", add_special_tokens=False).ids for x in ts]
+
+
+def test_added_tokens_are_the_library_s():
+    from tokenizers import AddedToken, Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    ts = QUOTING + texts(seed=3) + ["<a>", "<a>b <a> <a", "in <a><|endoftext|>b>", "up <A>"]
+    more = Tokenizer.from_file(path)
+    more.add_tokens([AddedToken("<a>", normalized=True), AddedToken("<a>b", normalized=True), AddedToken("<|endoftext|>b", normalized=False)])
+    for definition in (Tokenizer.from_file(path).to_str(), more.to_str()):
+        encoder, _ = idfiles.library_encoder(definition, encode_special_tokens=False)
+        got = list(encoder.encode(ts))
+        assert [i for i, _ in got] == list(range(len(ts)))
+        assert [x.tolist() for _, x in got] == default_ids(definition, ts)
+    more.add_tokens([AddedToken("<b>", lstrip=True)])
+    with pytest.raises(ValueError):
+        idfiles.library_encoder(more.to_str())
+
+
+def test_op4_is_the_library_s_default(spark, tmp_path):
+    from logtide.llm import queries
+
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    ts = QUOTING + [t for t in texts(seed=4) if not t or "\0" not in t]
+    rows_of(spark, ts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.queries()["op4_id_files"](spark, str(tmp_path)).collect()}
+    by_id = dict(zip([(i * 37) % 1009 for i in range(len(ts))], default_ids(definition, ts)))
+    start = 0
+    for i in sorted(by_id):
+        ids = np.array(by_id[i] + [0], "<u4")
+        assert got[i] == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
 @pytest.mark.parametrize("bits", [1, 5, 16, 17, 32])
 def test_pack_round_trip(bits):
     rng = np.random.default_rng(bits)
