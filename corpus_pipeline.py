@@ -8,7 +8,8 @@ one's docs. All but the last return the columns of ``documents``.
    posterior below 0.3, go (a word of two letters may fit several languages).
 2. ``line_dedup``: later copies of repeated line runs are deleted; a document
    that loses its last line with it goes.
-3. ``ngram_jaccard``: one document of each class of near duplicates stays.
+3. ``ngram_jaccard``: one document of each class of near duplicates stays;
+   different texts that share a doc_id are documents of their own.
 4. ``mixing``: documents are taken, cut or repeated so that the sources come to
    their target sizes.
 5. ``byte_bpe``: byte-level BPE ids of what was taken, and their decoding.
@@ -41,7 +42,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one_text(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logtide.llm.components import stars
@@ -67,8 +67,12 @@ def min_hashes(shingles: np.ndarray) -> np.ndarray:
     return mixed(least).astype(np.uint32)
 
 
+def _key() -> Column:
+    return F.xxhash64("doc_id", "text").alias("key")
+
+
 def described(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, name (of the shingle set, null without words), marks (array<int>), signature (one byte a place)."""
+    """doc_id, key (hash of doc_id and text), name (of the shingle set, null without words), marks (array<int>), signature (one byte a place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,9 +85,10 @@ def described(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                         marks[i] = min_hashes(s)
                 lists = pa.ListArray.from_arrays(np.arange(0, marks.size + 1, MARKS, dtype=np.int32), pa.array(marks.view(np.int32).ravel()))
                 signatures = pa.array([row.tobytes() for row in marks.astype(np.uint8)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.binary()), lists, signatures], names=["doc_id", "name", "marks", "signature"])
+                cols = [part.column(0), part.column(2), pa.array(names, pa.binary()), lists, signatures]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "name", "marks", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, name binary, marks array<int>, signature binary")
+    return docs.select("doc_id", "text", _key()).mapInArrow(run, "doc_id long, key long, name binary, marks array<int>, signature binary")
 
 
 def runs_for(recall: float, depth: int) -> int:
@@ -323,18 +328,29 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     doc_id with another text each have their own class. Other columns are not
     read; an empty table gives none.
     """
+    out = _described_classes(docs, threshold, shingle, recall)
+    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("copies", F.lit(1)).alias("copies"))
+
+
+def _described_classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL) -> DataFrame:
+    """doc_id, key, name, class_id, links, copies, first: the rows of ``described`` with their classes (null for rows that take no part).
+
+    ``first`` is the key of the class's first row: the smallest key under the
+    smallest doc_id of the set that names the class.
+    """
     rows = cut(described(docs, shingle), "described")
     known = rows.filter("name IS NOT NULL AND doc_id IS NOT NULL")
-    sets = known.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("marks").alias("marks"), F.first("signature").alias("signature"))
+    sets = known.groupBy("name").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.count("*").alias("copies"), F.first("marks").alias("marks"), F.first("signature").alias("signature"))
+    sets = sets.select("name", "least.doc_id", "least.key", "copies", "marks", "signature")
     sets = ordered_ids(sets, [F.col("doc_id"), F.col("name")], "no")
     found = links(docs, sets, threshold, recall, shingle)
     per_set = found.groupBy("no").agg(F.sum("links").alias("links"))
     star = stars(found.select(F.col("no").alias("u"), F.col("low").alias("v")))
-    roots = star.join(sets.select(F.col("no").alias("v"), F.col("doc_id").alias("class_id")), "v").select(F.col("u").alias("no"), "class_id")
-    classes = sets.select("name", "no", "doc_id", "copies").join(per_set, "no", "left").join(roots, "no", "left")
-    classes = classes.select("name", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "copies")
-    out = rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("name")).alias("name")).join(classes, "name", "left")
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    roots = star.join(sets.select(F.col("no").alias("v"), F.struct("doc_id", "key").alias("root")), "v").select(F.col("u").alias("no"), "root")
+    classes = sets.select("name", "no", F.struct("doc_id", "key").alias("own"), "copies").join(per_set, "no", "left").join(roots, "no", "left")
+    classes = classes.withColumn("root", F.coalesce("root", "own"))
+    classes = classes.select("name", F.col("root.doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "copies", F.col("root.key").alias("first"))
+    return rows.select("doc_id", "key", F.when(F.col("doc_id").isNotNull(), F.col("name")).alias("name")).join(classes, "name", "left")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -352,3 +368,25 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     once = t.filter("_n IS NULL").select("_row.*")
     several = t.filter("_n IS NOT NULL").dropDuplicates(["doc_id"]).select("_row.*")
     return once.unionAll(several).unionAll(docs.filter("doc_id IS NULL"))
+
+
+def keep_one_text(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that stay when one row of each class does, whatever doc_ids the texts share.
+
+    A class keeps the row that names it: the smallest doc_id of its texts, under
+    that the text of the set that comes first. Different texts that share a doc_id are rows of
+    their own; equal rows (same doc_id and text) are one. Rows with a null doc_id all stay.
+    Rows without words have no text to tell them apart: one of each doc_id stays.
+    """
+    names = docs.columns
+    t = _described_classes(docs, **options).filter("doc_id IS NOT NULL")
+    firsts = t.filter("name IS NOT NULL AND key = first").select("doc_id", "key").distinct()
+    blank = t.filter("name IS NULL").groupBy("doc_id").agg(F.min("key").alias("key"))
+    keep = cut(firsts.unionAll(blank).withColumnsRenamed({"doc_id": "_id", "key": "_key"}), "kept")
+    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", _key(), F.struct(*names).alias("_row"))
+    rows = rows.join(keep, (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi")
+    twice = t.groupBy("doc_id", "key").agg(F.count("*").alias("_n")).filter("_n > 1")
+    rows = rows.join(twice, ["doc_id", "key"], "left")
+    once = rows.filter("_n IS NULL").select("_row.*")
+    several = rows.filter("_n IS NOT NULL").dropDuplicates(["doc_id", "key"]).select("_row.*")
+    return once.unionAll(several).unionAll(docs.filter("doc_id IS NULL"))

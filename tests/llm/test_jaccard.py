@@ -88,6 +88,21 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert jaccard.keep_one(no_docs).collect() == []
 
 
+def test_texts_that_share_an_id_stay(spark):
+    from corpus_pipeline import ngram_jaccard
+
+    x, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xz")
+    y = z + " y"  # near z
+    alone = [f"{c}0 {c}1 {c}2" for c in "abcdefgh"]
+    rows = [(5, x), (5, y), (2, z), (5, x), (3, ""), (3, None), (4, y)] + [(9, t) for t in alone]
+    t = spark.createDataFrame([(t, i) for i, t in rows], "text string, doc_id long")
+    want = sorted([(2, z), (5, x)] + [(9, t) for t in alone])
+    kept = ngram_jaccard(spark, t, "")
+    assert kept.columns == ["text", "doc_id"]
+    kept = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(r for r in kept if r[1]) == want and [i for i, t in kept if not t] == [3]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rnd = random.Random(seed)
