@@ -282,16 +282,17 @@ def links(docs: DataFrame, sets: DataFrame, threshold: float, recall: float, shi
     matches = least_matches(threshold)
     members = leaves(sets, threshold, recall)
     lists = members.groupBy("no").agg(F.collect_list("leaf").alias("leaves"))
-    tiles = _tiles(members).join(lists, "no").join(sets.select("no", "signature", "doc_id"), "no")
-    tiles = tiles.select("leaf", "a", "b", "block", "no", "doc_id", "signature", "leaves")
+    tiles = _tiles(members).join(lists, "no").join(sets.select("no", "signature", "key"), "no")
+    tiles = tiles.select("leaf", "a", "b", "block", "no", "key", "signature", "leaves")
 
     def with_candidates(tile: pa.RecordBatch) -> pa.RecordBatch | None:
         i, j = _candidates(tile, matches)
         return tile.take(pa.array(np.union1d(i, j))) if len(i) else None
 
     some = cut(_mapped(tiles, with_candidates, tiles.schema), "candidates")
-    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", "text")
-    some = some.join(texts, "doc_id").join(sets.select("no", "name"), "no")
+    # One text of each key, however many rows repeat it.
+    texts = cut(docs.select(_key(), "text").join(some.select("key").distinct(), "key", "left_semi"), "texts").dropDuplicates(["key"])
+    some = some.join(texts, "key").join(sets.select("no", "name"), "no")
 
     def verified(tile: pa.RecordBatch) -> pa.RecordBatch | None:
         found = list(shingle_sets(tile.column("text").to_pylist(), shingle))
@@ -315,7 +316,7 @@ def links(docs: DataFrame, sets: DataFrame, threshold: float, recall: float, shi
     return out
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL) -> DataFrame:
+def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, null_ids: bool = False) -> DataFrame:
     """doc_id, class_id, links, copies: one row for each row of ``docs``.
 
     Two texts are linked if the Jaccard similarity of their sets of ``shingle``
@@ -324,25 +325,29 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     ``links`` the number of other shingle sets it is linked with, ``copies`` the
     number of rows with its own set. Null, empty and blank texts have no
     shingles: they are their own class with no links. Rows with a null doc_id
-    take no part (class_id null). Repeated rows are copies; rows that share a
-    doc_id with another text each have their own class. Other columns are not
-    read; an empty table gives none.
+    take part like the others if ``null_ids`` is set, as the last ids (class_id
+    is null where all rows of a class have none); else they take no part
+    (class_id null). Repeated rows are copies; rows that share a doc_id with
+    another text each have their own class. Other columns are not read; an
+    empty table gives none.
     """
-    out = _described_classes(docs, threshold, shingle, recall)
+    out = _described_classes(docs, threshold, shingle, recall, null_ids)
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
-def _described_classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL) -> DataFrame:
-    """doc_id, key, name, class_id, links, copies, first: the rows of ``described`` with their classes (null for rows that take no part).
+def _described_classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, null_ids: bool = False) -> DataFrame:
+    """doc_id, key, name, class_id, links, copies, first: the rows of ``described`` with their classes (null, with the name, for rows that take no part).
 
     ``first`` is the key of the class's first row: the smallest key under the
     smallest doc_id of the set that names the class.
     """
     rows = cut(described(docs, shingle), "described")
-    known = rows.filter("name IS NOT NULL AND doc_id IS NOT NULL")
-    sets = known.groupBy("name").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.count("*").alias("copies"), F.first("marks").alias("marks"), F.first("signature").alias("signature"))
+    if not null_ids:
+        rows = rows.withColumn("name", F.when(F.col("doc_id").isNotNull(), F.col("name")))
+    known = rows.filter("name IS NOT NULL")
+    sets = known.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"), F.count("*").alias("copies"), F.first("marks").alias("marks"), F.first("signature").alias("signature"))
     sets = sets.select("name", "least.doc_id", "least.key", "copies", "marks", "signature")
-    sets = ordered_ids(sets, [F.col("doc_id"), F.col("name")], "no")
+    sets = ordered_ids(sets, [F.col("doc_id").asc_nulls_last(), F.col("name")], "no")
     found = links(docs, sets, threshold, recall, shingle)
     per_set = found.groupBy("no").agg(F.sum("links").alias("links"))
     star = stars(found.select(F.col("no").alias("u"), F.col("low").alias("v")))
@@ -350,7 +355,7 @@ def _described_classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: i
     classes = sets.select("name", "no", F.struct("doc_id", "key").alias("own"), "copies").join(per_set, "no", "left").join(roots, "no", "left")
     classes = classes.withColumn("root", F.coalesce("root", "own"))
     classes = classes.select("name", F.col("root.doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), "copies", F.col("root.key").alias("first"))
-    return rows.select("doc_id", "key", F.when(F.col("doc_id").isNotNull(), F.col("name")).alias("name")).join(classes, "name", "left")
+    return rows.select("doc_id", "key", "name").join(classes, "name", "left")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -373,20 +378,23 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 def keep_one_text(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay when one row of each class does, whatever doc_ids the texts share.
 
-    A class keeps the row that names it: the smallest doc_id of its texts, under
-    that the text of the set that comes first. Different texts that share a doc_id are rows of
-    their own; equal rows (same doc_id and text) are one. Rows with a null doc_id all stay.
-    Rows without words have no text to tell them apart: one of each doc_id stays.
+    A class keeps the row that names it: the smallest doc_id of its texts (null
+    last), under that the text of the set that comes first. Different texts that
+    share a doc_id are rows of their own; equal rows (same doc_id and text) are
+    one. Rows with a null doc_id all stay unless ``null_ids`` is set. Rows
+    without words have no text to tell them apart: one of each doc_id stays, and
+    all that have none.
     """
     names = docs.columns
-    t = _described_classes(docs, **options).filter("doc_id IS NOT NULL")
-    firsts = t.filter("name IS NOT NULL AND key = first").select("doc_id", "key").distinct()
-    blank = t.filter("name IS NULL").groupBy("doc_id").agg(F.min("key").alias("key"))
+    t = _described_classes(docs, **options)
+    firsts = t.filter("key = first").select("doc_id", "key").distinct()
+    blank = t.filter("name IS NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("key").alias("key"))
     keep = cut(firsts.unionAll(blank).withColumnsRenamed({"doc_id": "_id", "key": "_key"}), "kept")
-    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", _key(), F.struct(*names).alias("_row"))
-    rows = rows.join(keep, (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi")
-    twice = t.groupBy("doc_id", "key").agg(F.count("*").alias("_n")).filter("_n > 1")
-    rows = rows.join(twice, ["doc_id", "key"], "left")
-    once = rows.filter("_n IS NULL").select("_row.*")
-    several = rows.filter("_n IS NOT NULL").dropDuplicates(["doc_id", "key"]).select("_row.*")
-    return once.unionAll(several).unionAll(docs.filter("doc_id IS NULL"))
+    loose = t.filter("name IS NULL AND doc_id IS NULL").select("key").distinct()
+    rows = docs.select("doc_id", _key(), F.struct(*names).alias("_row"))
+    kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi")
+    twice = t.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1")
+    kept = kept.join(twice, "key", "left")
+    once = kept.filter("_n IS NULL").select("_row.*")
+    several = kept.filter("_n IS NOT NULL").dropDuplicates(["doc_id", "key"]).select("_row.*")
+    return once.unionAll(several).unionAll(rows.filter("doc_id IS NULL").join(loose, "key", "left_semi").select("_row.*"))

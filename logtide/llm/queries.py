@@ -46,7 +46,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_classes(_documents(spark, sf_dir))
+    return jaccard.jaccard_classes(_documents(spark, sf_dir), null_ids=True)
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -103,6 +103,22 @@ def test_texts_that_share_an_id_stay(spark):
     assert sorted(r for r in kept if r[1]) == want and [i for i, t in kept if not t] == [3]
 
 
+def test_null_ids_take_part(spark, tmp_path):
+    from corpus_pipeline import ngram_jaccard
+    from logtide.llm import queries
+
+    x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(None, x), (None, x), (None, x + " near"), (7, x + " copy"), (None, y), (None, y + " near"), (None, y), (8, z), (None, None), (None, "")]
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    t.write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r.doc_id, r.class_id, r.links, r.copies) for r in queries.queries()["op7_jaccard_join"](spark, str(tmp_path)).collect()]
+    want = [(None, 7, 2, 2)] * 2 + [(None, 7, 2, 1), (7, 7, 2, 1), (8, 8, 0, 1)] + [(None, None, 1, 2)] * 2 + [(None, None, 1, 1)] + [(None, None, 0, 1)] * 2
+    assert sorted(got, key=str) == sorted(want, key=str)
+    kept = sorted(((r.doc_id, r.text) for r in ngram_jaccard(spark, t, "").collect()), key=str)
+    assert len(kept) == 5 and {(7, x + " copy"), (8, z), (None, None), (None, "")} < set(kept)
+    assert sum(i is None and bool(t) and t.startswith("y0") for i, t in kept) == 1
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rnd = random.Random(seed)
