@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import bpe, fingerprints, idfiles, jaccard, langid, licenses, lines, mixing, oracle, periods, quality, search, whitening
+from logtide.llm import bpe, fingerprints, idfiles, jaccard, langid, licenses, lines, mixing, oracle, periods, quality, search, toxicity, whitening
 from logtide.llm.store import cut, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.classify(_documents(spark, sf_dir), labels)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.run_digest(periods.periodic_runs(periods.replanted(_documents(spark, sf_dir))))
 
@@ -91,6 +96,7 @@ def queries() -> dict[str, Query]:
         "op8_fingerprints": op8_fingerprints,
         "op9_exact_search": op9_exact_search,
         "op10_language_id": op10_language_id,
+        "op11_toxicity": op11_toxicity,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_whitening": op13_whitening,
     }
