@@ -26,7 +26,6 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +46,7 @@ BIN = 0.001
 BINS = 2000  # of the mean log-likelihood ratio, from -1 to 1
 _FLUSH = 400_000
 _PART = 1 << 20
+_GROUP = 1 << 17  # words looked up at once
 _START, _END = "\x02", "\x03"
 _WORD = re.compile(r"[^\W_]+")
 _BREAK = re.compile(r"[\W_]")
@@ -192,28 +192,33 @@ def _scored(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        values = np.zeros(0)
+        known: dict[str, float] = {}
         for batch in batches:
-            raw = np.zeros(batch.num_rows)
+            total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+            group: list[tuple[int, list[str]]] = []
+
+            def add() -> None:
+                new = list(set().union(*(words for _, words in group)).difference(known))
+                if new:
+                    known.update(zip(new, sent.value.words(new).tolist()))
+                for i, words in group:
+                    total[i] += math.fsum(map(known.__getitem__, words))
+                    n[i] += len(words)
+                group.clear()
+                if len(known) > CACHE_WORDS:
+                    known.clear()
+
+            size = 0
             for i, text in enumerate(batch.column(1)):
-                total, n = 0.0, 0
-                for part in words_of(text.as_py()):
-                    if len(known) > CACHE_WORDS:
-                        known, values = {}, np.zeros(0)
-                    before = len(known)
-                    at = np.fromiter((known.setdefault(w, len(known)) for w in part), np.int64, len(part))
-                    if len(known) > before:
-                        new = sent.value.words(list(islice(known, before, None)))
-                        if len(known) > len(values):
-                            values = np.concatenate([values[:before], new, np.zeros(len(known))])
-                        else:
-                            values[before : len(known)] = new
-                    total += float(values[at].sum())
-                    n += len(part)
-                raw[i] = total / n if n else 0.0
-            # Rounded: the last bits of a sum hang on its order.
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(raw, 9))], names=["doc_id", "raw"])
+                for words in words_of(text.as_py()):
+                    group.append((i, words))
+                    size += len(words)
+                    if size > _GROUP:
+                        add()
+                        size = 0
+            add()
+            # Rounded: the last bits of a sum hang on its parts.
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(total / np.maximum(n, 1), 9))], names=["doc_id", "raw"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, raw double")
 
