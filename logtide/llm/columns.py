@@ -16,6 +16,11 @@ def row(docs: DataFrame) -> Column:
     return F.struct(*map(quoted, docs.columns))
 
 
+def field(parent: str, name: str) -> Column:
+    """The field of exactly this name of a struct column, under its name."""
+    return F.col(f"{parent}.`" + name.replace("`", "``") + "`").alias(name)
+
+
 def without(docs: DataFrame, *names: str) -> DataFrame:
     """``docs`` without the columns of these names, whatever their case."""
     gone = {n.lower() for n in names}

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logtide.llm.columns import numbered, without
 from logtide.llm.hashing import shingle_hashes, word_hashes
 
 K = 128
@@ -75,17 +76,19 @@ def decoded(fingerprint: str) -> np.ndarray:
 
 def fingerprint(docs: DataFrame, text: str = "text", k: int = K, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` plus ``sketch``: array<long>, the sketch of ``text`` (null: empty). A column ``sketch`` is replaced."""
-    docs = docs.drop("sketch")
+    docs = without(docs, "sketch")
+    names, at_text = docs.columns, docs.columns.index(text)
+    docs = numbered(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(at, _SLICE)
-                found = pa.array(sketches(part.column(text).to_pylist(), k, shingle), pa.list_(pa.int64()))
+                found = pa.array(sketches(part.column(at_text).to_pylist(), k, shingle), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*part.columns, found], names=[*part.schema.names, "sketch"])
 
     schema = docs.withColumn("sketch", F.lit(None).cast("array<bigint>")).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*names, "sketch")
 
 
 def merge_fingerprints(parts: DataFrame, key: str, k: int = K) -> DataFrame:

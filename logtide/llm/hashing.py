@@ -1,35 +1,23 @@
-"""Hashes of words and word shingles of many texts at once, in numpy.
+"""Hashes of words and word shingles of many texts.
 
 A word is a run of bytes other than space, tab, line feed, vertical tab, form
 feed and carriage return (the same words as ``[^\\x20\\x09-\\x0D]+``). Its hash
-is a polynomial over its UTF-8 bytes modulo 2^64 at a fixed odd point, from
-prefix sums over the whole piece, then a bit mixer. Work is done in pieces of
-about ``PIECE`` bytes, cut at white space, so memory follows the piece and the
-number of words, not the batch.
+is xxh3 of its UTF-8 bytes, so no pattern of letters makes two words collide. Long texts are
+worked on in pieces of about ``PIECE`` bytes, cut at white space, so memory
+follows the piece and the number of words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+from xxhash import xxh3_64_intdigest
 
 PIECE = 1 << 18
-_POINT = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_tables: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the point and of its inverse."""
-    if len(_tables.get("up", ())) < n:
-        size = max(n, PIECE + PIECE // 4)
-        for name, base in (("up", _POINT), ("down", pow(_POINT, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _tables[name] = np.multiply.accumulate(steps)
-    return _tables["up"], _tables["down"]
+_POINT = 0x9E3779B97F4A7C15
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -39,59 +27,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _piece_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of each word of a piece that no word sticks out of."""
-    a = np.frombuffer(data, np.uint8)
-    up, down = _powers(len(a) + 1)
-    word = np.zeros(len(a) + 2, np.int8)
-    word[1:-1] = ~_SPACE[a]
-    edge = np.flatnonzero(np.diff(word))
-    starts, ends = edge[0::2], edge[1::2]
-    sums = np.zeros(len(a) + 1, np.uint64)
-    np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts]), starts
+def _hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def _long_hashes(data: bytes) -> np.ndarray:
-    """Word hashes of one text longer than a piece."""
-    spaces = np.flatnonzero(_SPACE[np.frombuffer(data, np.uint8)])
+def _text_hashes(data: bytes) -> np.ndarray:
     out, at = [], 0
     while len(data) - at > PIECE:
-        i = np.searchsorted(spaces, at + PIECE)
-        if i == len(spaces):
+        m = _SPACE.search(data, at + PIECE)
+        if not m:
             break
-        out.append(_piece_hashes(data[at : spaces[i]])[0])
-        at = int(spaces[i])
-    out.append(_piece_hashes(data[at:])[0])
-    return np.concatenate(out)
+        out.append(_hashed(data[at : m.start()].split()))
+        at = m.start()
+    out.append(_hashed(data[at:].split()))
+    return np.concatenate(out) if len(out) > 1 else out[0]
 
 
-def word_hashes(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+def word_hashes(texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray]]:
     """(index, word hashes in order) of each text, in order; null is empty."""
-    group: list[bytes] = []
-    first, size = 0, 0
-
-    def flush() -> Iterator[tuple[int, np.ndarray]]:
-        hashes, starts = _piece_hashes(b" ".join(group))
-        bounds = np.searchsorted(starts, np.cumsum([0] + [len(x) + 1 for x in group]))
-        for k in range(len(group)):
-            yield first + k, hashes[bounds[k] : bounds[k + 1]]
-
     for i, text in enumerate(texts):
-        data = (text or "").encode("utf-8", "surrogatepass")
-        if len(data) > PIECE:
-            if group:
-                yield from flush()
-            group, size, first = [], 0, i + 1
-            yield i, _long_hashes(data)
-            continue
-        group.append(data)
-        size += len(data)
-        if size >= PIECE:
-            yield from flush()
-            group, size, first = [], 0, i + 1
-    if group:
-        yield from flush()
+        yield i, _text_hashes((text or "").encode("utf-8", "surrogatepass"))
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:

@@ -11,12 +11,13 @@
    at the threshold is in a common leaf with probability ``recall`` (``runs_for``;
    more similar pairs do better).
 3. Leaves are compared by brute force in tiles of bounded size: a leaf too
-   similar to be split further is cut into blocks, and each pair of blocks is a
-   tile. A pair belongs to the first of the leaves that both sets lie in, so it
+   similar to be split further is cut into blocks of at most ``LEAF`` sets and
+   ``WEIGHT`` shingles on average, and each pair of blocks is a tile. A pair
+   belongs to the first of the leaves that both sets lie in, so it
    is counted once, however many leaves repeat it. First, signatures of one byte
    a place leave the pairs that can reach the threshold; then the texts of the
    sets that have such a pair are brought to the tile, and the shingle sets
-   are compared exactly.
+   are compared exactly, ``_ROWS`` rows against the others at a time.
 4. Tiles return a row for each set, its number of links and the smallest set of
    its component there. ``components`` joins these into classes.
 
@@ -26,7 +27,7 @@ No pair is a row of any table, and no collection of sets reaches the driver.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,22 +35,27 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logtide.llm.columns import row
 from logtide.llm.components import stars
 from logtide.llm.hashing import mixed, shingle_hashes, word_hashes
+from logtide.llm.joins import near_keys, slot
 from logtide.llm.order import ordered_ids
 from logtide.llm.store import cut, drop
 
 SHINGLE = 5
 THRESHOLD = 0.8
 MARKS = 64
-LEAF = 512
+LEAF = 4096
+WEIGHT = 1 << 22
 DEPTH = 3
 RECALL = 0.999
 _SLICE = 512
+_ROWS = 256
+_COLUMNS = 2048
 _FACTORS = mixed(np.arange(1, MARKS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
-def shingle_sets(texts: list[str | None], shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[str | None], shingle: int = SHINGLE) -> Iterator[np.ndarray]:
     """Distinct shingle hashes of each text, ascending."""
     for _, words in word_hashes(texts):
         yield np.unique(shingle_hashes(words, shingle))
@@ -72,23 +78,24 @@ def _key() -> Column:
 
 
 def described(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, key (hash of doc_id and text), name (of the shingle set, null without words), marks (array<int>), signature (one byte a place)."""
+    """doc_id, key (hash of doc_id and text), name (of the shingle set, null without words), weight (its size), marks (array<int>), signature (one byte a place)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(start, _SLICE)
-                names, marks = [], np.zeros((part.num_rows, MARKS), np.uint32)
-                for i, s in enumerate(shingle_sets(part.column(1).to_pylist(), shingle)):
+                names, weights, marks = [], [], np.zeros((part.num_rows, MARKS), np.uint32)
+                for i, s in enumerate(shingle_sets([x.as_py() for x in part.column(1)], shingle)):
+                    weights.append(len(s))
                     names.append(set_name(s) if len(s) else None)
                     if len(s):
                         marks[i] = min_hashes(s)
                 lists = pa.ListArray.from_arrays(np.arange(0, marks.size + 1, MARKS, dtype=np.int32), pa.array(marks.view(np.int32).ravel()))
                 signatures = pa.array([row.tobytes() for row in marks.astype(np.uint8)], pa.binary())
-                cols = [part.column(0), part.column(2), pa.array(names, pa.binary()), lists, signatures]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "name", "marks", "signature"])
+                cols = [part.column(0), part.column(2), pa.array(names, pa.binary()), pa.array(weights, pa.int64()), lists, signatures]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "name", "weight", "marks", "signature"])
 
-    return docs.select("doc_id", "text", _key()).mapInArrow(run, "doc_id long, key long, name binary, marks array<int>, signature binary")
+    return docs.select("doc_id", "text", _key()).mapInArrow(run, "doc_id long, key long, name binary, weight long, marks array<int>, signature binary")
 
 
 def runs_for(recall: float, depth: int) -> int:
@@ -112,7 +119,7 @@ def _sized(members: DataFrame, name: str) -> DataFrame:
 
 
 def leaves(sets: DataFrame, threshold: float, recall: float, seed: int = 11) -> DataFrame:
-    """leaf, no, size: the leaves of all runs, each distinct group of sets once."""
+    """leaf, no, blocks: the leaves of all runs, each distinct group of sets once, and the blocks to cut each into."""
     drawn = _drawn(seed, runs_for(recall, DEPTH), threshold)
     roots = ", ".join(f"struct({r}, {i}, marks[{i}])" for r, i in drawn)
     members = sets.selectExpr("no", f"inline(array({roots})) AS (run, place, mark)").selectExpr("xxhash64(run, place, mark) AS leaf", "no")
@@ -134,15 +141,17 @@ def leaves(sets: DataFrame, threshold: float, recall: float, seed: int = 11) ->
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("no")).alias("a"), F.sum(F.shiftright(F.xxhash64(F.lit(1), "no"), 24)).alias("b"), F.min("no").alias("c"), F.max("no").alias("d")
     )
     one = same.groupBy("n", "a", "b", "c", "d").agg(F.min("leaf").alias("leaf")).select("leaf")
-    return cut(found.join(one, "leaf"), "leaves")
+    found = found.join(one, "leaf").join(sets.select("no", "weight"), "no")
+    weights = found.groupBy("leaf").agg(F.sum("weight").alias("weight"))
+    blocks = F.ceil(F.greatest(F.col("size") / LEAF, F.col("weight") / WEIGHT)).alias("blocks")
+    return cut(found.select("leaf", "no", "size").join(weights, "leaf").select("leaf", "no", blocks), "leaves")
 
 
 def _tiles(members: DataFrame) -> DataFrame:
-    """Members with a, b: a leaf of more than ``LEAF`` sets is cut into blocks, each pair of blocks is a tile."""
-    blocks = F.ceil(F.col("size") / LEAF)
-    t = members.withColumn("_own", F.pmod(F.xxhash64("no", "leaf"), blocks))
-    t = t.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    return t.withColumn("a", F.least("_own", "_other")).withColumn("b", F.greatest("_own", "_other")).drop("_other", "size").withColumnRenamed("_own", "block")
+    """Members with block, a, b: each pair of blocks of a leaf is a tile."""
+    t = members.withColumn("block", F.pmod(F.xxhash64("no", "leaf"), "blocks"))
+    t = t.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return t.withColumn("a", F.least("block", "_other")).withColumn("b", F.greatest("block", "_other")).drop("_other", "blocks")
 
 
 def _by_tile(rows: DataFrame) -> DataFrame:
@@ -179,84 +188,103 @@ def least_matches(threshold: float) -> int:
     return max(1, math.floor(MARKS * threshold - 4.2 * math.sqrt(MARKS * threshold * (1 - threshold))))
 
 
-def _candidates(tile: pa.RecordBatch, matches: int) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j), i < j: pairs of the tile's rows that may reach the threshold and meet in no earlier leaf."""
-    n = tile.num_rows
-    leaf, a, b = (tile.column(c)[0].as_py() for c in ("leaf", "a", "b"))
-    signatures = np.frombuffer(b"".join(tile.column("signature").to_pylist()), np.uint8).reshape(n, MARKS)
+def _sides(tile: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The rows to compare with which, and whether they are the same ones."""
     block = tile.column("block").to_numpy()
-    if n <= 48:
-        i, j = np.triu_indices(n, 1)
-        good = (signatures[i] == signatures[j]).sum(1) >= matches
-        if a != b:
-            good &= block[i] != block[j]
-        i, j = i[good], j[good]
-        if not len(i):
-            return i, j
-        own = {r: set(x) for r, x in zip(set(i) | set(j), (tile.column("leaves")[int(r)].as_py() for r in set(i) | set(j)))}
-        first = np.array([min(own[x] & own[y]) == leaf for x, y in zip(i, j)], bool)
-        return i[first], j[first]
-    equal = np.zeros((n, n), np.uint8)
-    for p in range(MARKS):
-        equal += signatures[:, p][:, None] == signatures[:, p][None, :]
-    good = np.triu(equal >= matches, 1)
-    if a != b:
-        good &= block[:, None] != block[None, :]
-    lists = tile.column("leaves")
-    at = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+    a, b = tile.column("a")[0].as_py(), tile.column("b")[0].as_py()
+    return np.flatnonzero(block == a), np.flatnonzero(block == b), a == b
+
+
+def _earlier(tile: pa.RecordBatch) -> np.ndarray:
+    """Row x leaf: which earlier leaves the rows lie in, of those that two rows or more do."""
+    leaf, lists = tile.column("leaf")[0].as_py(), tile.column("leaves")
+    at = np.repeat(np.arange(tile.num_rows), np.diff(lists.offsets.to_numpy()))
     flat = lists.flatten().to_numpy()
     early = flat < leaf
     names, column, count = np.unique(flat[early], return_inverse=True, return_counts=True)
-    if len(names):
-        some = count[column] > 1
-        place = np.cumsum(count > 1) - 1
-        held = np.zeros((n, int((count > 1).sum())), np.float32)
-        held[at[early][some], place[column[some]]] = 1
-        good &= held @ held.T < 0.5
-    return np.nonzero(good)
-
-
-def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the pairs (i, j)."""
-    if len(i) <= 4 * len(sets):
-        return np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i, j)], np.int64)
+    place, some = np.cumsum(count > 1) - 1, count[column] > 1
+    held = np.zeros((tile.num_rows, int((count > 1).sum())), np.float32)
+    held[at[early][some], place[column[some]]] = 1
+    return held
+
+
+def _candidates(tile: pa.RecordBatch, matches: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j): pairs of the tile's rows that may reach the threshold and meet in no earlier leaf, some rows i at a time; each pair once."""
+    left, right, same = _sides(tile)
+    if not len(left) or not len(right):
+        return
+    signatures = np.frombuffer(b"".join(tile.column("signature").to_pylist()), np.uint8).reshape(-1, MARKS)
+    held = _earlier(tile)
+    columns = np.ascontiguousarray(signatures[right].T)
+    for start in range(0, len(left), _ROWS):
+        rows = left[start : start + _ROWS]
+        equal = np.zeros((len(rows), len(right)), np.uint8)
+        for p in range(MARKS):
+            equal += signatures[rows, p][:, None] == columns[p][None, :]
+        good = equal >= matches
+        if same:
+            good = np.triu(good, start + 1)
+        if held.shape[1] and good.any():
+            good &= held[rows] @ held[right].T < 0.5
+        i, j = np.nonzero(good)
+        if len(i):
+            yield rows[i], right[j]
+
+
+def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets of the left with those of the right rows."""
     values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     some = count[column] > 1  # a shingle of one set is in no intersection
-    place = (np.cumsum(count > 1) - 1)[column[some]]
-    row = row[some]
+    place, owner = (np.cumsum(count > 1) - 1)[column[some]], owner[some]
     order = np.argsort(place, kind="stable")
-    place, row = place[order], row[order]
-    total = np.zeros((len(sets), len(sets)), np.float32)
-    for at in range(0, int((count > 1).sum()), 4096):
-        lo, hi = np.searchsorted(place, [at, at + 4096])
-        m = np.zeros((len(sets), 4096), np.float32)
-        m[row[lo:hi], place[lo:hi] - at] = 1
-        total += m @ m.T
-    return total[i, j].astype(np.int64)
-
-
-def _links(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, ratio: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs whose similarity is ratio[0] / ratio[1] or more."""
-    shared = _intersections(sets, i, j)
-    sizes = np.array([len(s) for s in sets])
-    good = shared * ratio[1] >= (sizes[i] + sizes[j] - shared) * ratio[0]
-    return i[good], j[good]
-
-
-def _smallest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n rows the first row of its component."""
-    label = np.arange(n)
+    place, owner = place[order], owner[order]
+    total = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int((count > 1).sum()), _COLUMNS):
+        lo, hi = np.searchsorted(place, [at, at + _COLUMNS])
+        m = np.zeros((len(sets), _COLUMNS), np.float32)
+        m[owner[lo:hi], place[lo:hi] - at] = 1
+        total += m[left] @ m[right].T
+    return total
+
+
+def _joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each row the first row of its component, after the links (i, j)."""
     while True:
         new = label.copy()
-        np.minimum.at(new, i, label[j])
-        np.minimum.at(new, j, label[i])
+        low = np.minimum(label[i], label[j])
+        for side in (i, j):
+            np.minimum.at(new, side, low)
+            np.minimum.at(new, label[side], low)
         new = new[new]
         if (new == label).all():
             return label
         label = new
 
 
+def _linked(tile: pa.RecordBatch, sets: list[np.ndarray], matches: int, ratio: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of links, first row of its component) of each row; a link is a similarity of ratio[0] / ratio[1] or more."""
+    n = tile.num_rows
+    count, label, sizes = np.zeros(n, np.int64), np.arange(n), np.array([len(s) for s in sets])
+    left, right, _ = _sides(tile)
+    place_left, place_right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    place_left[left], place_right[right] = np.arange(len(left)), np.arange(len(right))
+    total = None
+    for i, j in _candidates(tile, matches):
+        if total is None and len(i) > 4 * n:
+            total = _overlaps(sets, left, right)
+        if total is None:
+            shared = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i, j)], np.int64)
+        else:
+            shared = total[place_left[i], place_right[j]].astype(np.int64)
+        good = shared * ratio[1] >= (sizes[i] + sizes[j] - shared) * ratio[0]
+        i, j = i[good], j[good]
+        if len(i):
+            count += np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
+            label = _joined(label, i, j)
+    return count, label
+
+
 def _mapped(rows: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
     """``each`` over the tiles of ``rows``; results are put together before they go back."""
 
@@ -286,28 +314,28 @@ def links(docs: DataFrame, sets: DataFrame, threshold: float, recall: float, shi
     tiles = tiles.select("leaf", "a", "b", "block", "no", "key", "signature", "leaves")
 
     def with_candidates(tile: pa.RecordBatch) -> pa.RecordBatch | None:
-        i, j = _candidates(tile, matches)
-        return tile.take(pa.array(np.union1d(i, j))) if len(i) else None
+        some = np.zeros(tile.num_rows, bool)
+        for i, j in _candidates(tile, matches):
+            some[i] = some[j] = True
+        return tile.take(pa.array(np.flatnonzero(some))) if some.any() else None
 
     some = cut(_mapped(tiles, with_candidates, tiles.schema), "candidates")
     # One text of each key, however many rows repeat it.
-    texts = cut(docs.select(_key(), "text").join(some.select("key").distinct(), "key", "left_semi"), "texts").dropDuplicates(["key"])
+    texts = near_keys(docs.select(_key(), "text"), "key", some, "key")
+    texts = texts.join(some.select("key").distinct().hint("merge"), "key", "left_semi").dropDuplicates(["key"])
     some = some.join(texts, "key").join(sets.select("no", "name"), "no")
 
     def verified(tile: pa.RecordBatch) -> pa.RecordBatch | None:
-        found = list(shingle_sets(tile.column("text").to_pylist(), shingle))
+        found = list(shingle_sets((x.as_py() for x in tile.column("text")), shingle))
         # Another text under the same doc_id, or a repeated row, is not the set meant.
         names, nos = tile.column("name").to_pylist(), tile.column("no").to_pylist()
         keep = [k for k, s in enumerate(found) if set_name(s) == names[k] and (k == 0 or nos[k] != nos[k - 1] or set_name(found[k - 1]) != names[k])]
         if len(keep) < len(found):
             tile, found, nos = tile.take(pa.array(keep, pa.int64())), [found[k] for k in keep], [nos[k] for k in keep]
-        i, j = _candidates(tile, matches)
-        i, j = _links(found, i, j, ratio)
-        if not len(i):
+        if not found:
             return None
-        low = _smallest(len(found), i, j)  # rows are in the order of no
-        count = np.bincount(np.concatenate([i, j]), minlength=len(found))
-        rows, no = np.flatnonzero(count), np.array(nos)
+        count, low = _linked(tile.drop_columns(["text"]), found, matches, ratio)
+        rows, no = np.flatnonzero(count), np.array(nos)  # rows are in the order of no
         return pa.RecordBatch.from_arrays([pa.array(no[rows]), pa.array(count[rows]), pa.array(no[low[rows]])], names=["no", "links", "low"])
 
     columns = ["leaf", "a", "b", "block", "no", "name", "signature", "leaves", "text"]
@@ -345,8 +373,8 @@ def _described_classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: i
     if not null_ids:
         rows = rows.withColumn("name", F.when(F.col("doc_id").isNotNull(), F.col("name")))
     known = rows.filter("name IS NOT NULL")
-    sets = known.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"), F.count("*").alias("copies"), F.first("marks").alias("marks"), F.first("signature").alias("signature"))
-    sets = sets.select("name", "least.doc_id", "least.key", "copies", "marks", "signature")
+    sets = known.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least"), F.count("*").alias("copies"), F.first("weight").alias("weight"), F.first("marks").alias("marks"), F.first("signature").alias("signature"))
+    sets = sets.select("name", "least.doc_id", "least.key", "copies", "weight", "marks", "signature")
     sets = ordered_ids(sets, [F.col("doc_id").asc_nulls_last(), F.col("name")], "no")
     found = links(docs, sets, threshold, recall, shingle)
     per_set = found.groupBy("no").agg(F.sum("links").alias("links"))
@@ -358,23 +386,6 @@ def _described_classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: i
     return rows.select("doc_id", "key", "name").join(classes, "name", "left")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each class does: the one with the class's smallest doc_id.
-
-    Rows with a null doc_id, or without words, all stay. Rows that share a
-    doc_id are one document: the one with the smallest text hash stays.
-    """
-    names = docs.columns
-    keep = jaccard_classes(docs, **options).filter("doc_id = class_id").select(F.col("doc_id").alias("_keep")).distinct()
-    rows = docs.select("doc_id", F.struct(*names).alias("_row"))
-    twice = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_n"), F.min(F.xxhash64("text")).alias("_first")).filter("_n > 1")
-    t = rows.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
-    t = t.join(twice, "doc_id", "left").filter("_n IS NULL OR xxhash64(_row.text) = _first")
-    once = t.filter("_n IS NULL").select("_row.*")
-    several = t.filter("_n IS NOT NULL").dropDuplicates(["doc_id"]).select("_row.*")
-    return once.unionAll(several).unionAll(docs.filter("doc_id IS NULL"))
-
-
 def keep_one_text(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay when one row of each class does, whatever doc_ids the texts share.
 
@@ -383,18 +394,25 @@ def keep_one_text(docs: DataFrame, **options) -> DataFrame:
     share a doc_id are rows of their own; equal rows (same doc_id and text) are
     one. Rows with a null doc_id all stay unless ``null_ids`` is set. Rows
     without words have no text to tell them apart: one of each doc_id stays, and
-    all that have none.
+    all that have none. Columns of any name come back as they are.
+
+    Only rows near those that go or are repeated (in their slot) are shuffled;
+    the others are kept where they are read.
     """
-    names = docs.columns
     t = _described_classes(docs, **options)
-    firsts = t.filter("key = first").select("doc_id", "key").distinct()
-    blank = t.filter("name IS NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("key").alias("key"))
-    keep = cut(firsts.unionAll(blank).withColumnsRenamed({"doc_id": "_id", "key": "_key"}), "kept")
-    loose = t.filter("name IS NULL AND doc_id IS NULL").select("key").distinct()
-    rows = docs.select("doc_id", _key(), F.struct(*names).alias("_row"))
-    kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi")
-    twice = t.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1")
-    kept = kept.join(twice, "key", "left")
-    once = kept.filter("_n IS NULL").select("_row.*")
-    several = kept.filter("_n IS NOT NULL").dropDuplicates(["doc_id", "key"]).select("_row.*")
-    return once.unionAll(several).unionAll(rows.filter("doc_id IS NULL").join(loose, "key", "left_semi").select("_row.*"))
+    groups = t.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.max(F.coalesce(F.col("key") == F.col("first"), F.lit(False))).alias("named"), F.max(F.col("name").isNull()).alias("blank"))
+    groups = cut(groups, "groups")
+    blank = groups.filter("blank AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("key").alias("least"))
+    groups = groups.join(blank, "doc_id", "left")
+    loose = F.col("blank") & F.col("doc_id").isNull()
+    groups = groups.withColumn("keep", F.col("named") | F.coalesce(F.col("key") == F.col("least"), F.lit(False)))
+    odd = cut(groups.filter(~loose & (~F.col("keep") | (F.col("n") > 1))).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "keep"), "odd")
+    taken = odd.select(slot(F.col("_key")).alias("_slot")).distinct()  # a bounded number of slots
+    rows = docs.select("doc_id", _key(), row(docs).alias("_row")).withColumn("_own", slot(F.col("key")))
+    rows = rows.join(F.broadcast(taken), F.col("_own") == F.col("_slot"), "left")
+    plain = rows.filter("_slot IS NULL").select("_row.*")
+    near = rows.filter("_slot IS NOT NULL").select("doc_id", "key", "_row")
+    near = near.join(odd.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
+    single = near.filter("keep IS NULL").select("_row.*")
+    once = near.filter("keep").dropDuplicates(["doc_id", "key"]).select("_row.*")
+    return plain.unionAll(single).unionAll(once)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logtide.llm.columns import field, numbered, quoted, row, without
 from logtide.llm.store import cut
 
 BUCKET_BITS = 15
@@ -152,18 +153,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     point. Texts of any length are read whole, in pieces. Columns named like
     the added ones are replaced.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = without(docs, "lang_pred", "score")
+    names, at = docs.columns, docs.columns.index("text")
+    docs = numbered(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, _SLICE):
                 part = batch.slice(start, _SLICE)
-                names, scores = _posteriors(sent.value, part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores)], names=[*part.schema.names, "lang_pred", "score"])
+                found, scores = _posteriors(sent.value, part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(scores)], names=[*part.schema.names, "lang_pred", "score"])
 
     schema = docs.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*names, "lang_pred", "score")
 
 
 def fold(doc_id: Column, folds: int) -> Column:
@@ -173,7 +176,7 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 def identify(docs: DataFrame) -> DataFrame:
     """``docs`` plus held_out, lang_pred, score; the model learns from the rows that are not held out (fold 2 of 4)."""
-    docs = docs.drop("held_out")
+    docs = without(docs, "held_out")
     held = fold(F.col("doc_id"), 4) == 2
     model = train(docs.filter(~held))
     return predict(docs.withColumn("held_out", held), model)
@@ -182,7 +185,7 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of ``docs`` whose language is found with a posterior of ``least`` or more; ``lang`` stays as it is."""
     names = docs.columns
-    rest = F.struct(*[c for c in names if c not in ("doc_id", "text", "lang")]).alias("_rest")
+    rest = row(docs.select(*[quoted(c) for c in names if c not in ("doc_id", "text", "lang")])).alias("_rest")
     t = identify(docs.select("doc_id", "text", "lang", rest))
     t = t.filter((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return t.select(*[F.col(c) if c in ("doc_id", "text", "lang") else F.col("_rest").getField(c).alias(c) for c in names])
+    return t.select(*[F.col(c) if c in ("doc_id", "text", "lang") else field("_rest", c) for c in names])

@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtide.llm.mixing import WORD
+from logtide.llm.columns import field, quoted, without
 from logtide.llm.order import dense_ids, ordered_ids
 from logtide.llm.store import cut, drop
 
@@ -160,13 +161,13 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     doc_id (null last), then text hash, and by line in a document; an earlier
     occurrence may overlap. The first occurrence of a line always stays. Of
     repeated rows (same doc_id and text) one counts as the first. Other
-    columns are kept; columns named like the added ones are replaced.
+    columns are kept; columns named like the added ones, in any case, are replaced.
     """
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "n_left")]
+    names = without(docs, "n_lines", "n_removed", "n_left").columns
     # Rows are told apart by doc_id, text hash and the number among equal rows (0, then 1 for all others).
     key = ["_id", "_null", "_hash"]
     keys = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null")]
-    rest = [F.struct(*[c for c in names if c not in ("doc_id", "text")]).alias("_rest")] if len(names) > 2 else []
+    rest = [F.struct(*[quoted(c) for c in names if c not in ("doc_id", "text")]).alias("_rest")] if len(names) > 2 else []
     rows = docs.select("doc_id", "text", *rest, *keys, F.xxhash64("text").alias("_hash"))
     rows = rows.withColumn("_number", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
     gone = copied_lines(docs, min_words).select(*keys, "_hash", "_copy", "gone")
@@ -183,7 +184,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     t = t.withColumn("_left", F.coalesce(F.when(F.col("text").isNotNull(), F.size(F.filter("_kept", lambda x: x.rlike(WORD)))), F.lit(0)))
     new = F.when(F.col("_gone").isNull(), F.col("text")).when(F.col("_left") == 0, "").otherwise(F.array_join("_kept", "\n"))
     return t.select(
-        *[new.alias(c) if c == "text" else F.col(c if c == "doc_id" else f"_rest.`{c}`").alias(c) for c in names],
+        *[new.alias(c) if c == "text" else F.col(c) if c == "doc_id" else field("_rest", c) for c in names],
         F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).alias("n_lines"),
         F.coalesce(F.when(F.col("_gone").isNotNull(), F.size("_gone")), F.lit(0)).alias("n_removed"),
         F.col("_left").alias("n_left"),

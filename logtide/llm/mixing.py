@@ -18,6 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logtide.llm.columns import field, quoted, without
 from logtide.llm.order import dense_ids
 from logtide.llm.store import cut
 
@@ -130,9 +131,9 @@ def mix(
     empty result. Columns named like the added ones are replaced.
     """
     own = ["source_size", "target", "quota", "taken"]
-    names = [c for c in docs.columns if c not in own]
+    names = without(docs, *own).columns
     others = [c for c in names if c not in ("doc_id", "source", "size")]
-    docs = docs.select("doc_id", "source", "size", *[F.struct(*others).alias("_others")] * bool(others))
+    docs = docs.select("doc_id", "source", "size", *[F.struct(*map(quoted, others)).alias("_others")] * bool(others))
     sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
     sources = targets(sources, weights, share, cap)
     seats = sources.agg(F.sum("target")).first()[0] or 0.0
@@ -164,7 +165,7 @@ def mix(
     rest = words - passes * F.col("_shard_size")
     taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("_before")))
     t = placed.withColumn("_before", before).join(quotas, ["source_no", "_shard"]).withColumn("taken", taken.cast("long"))
-    return t.select(*[F.col(f"_others.`{c}`" if c in others else c).alias(c) for c in names], *own)
+    return t.select(*[field("_others", c) if c in others else F.col(c) for c in names], *own)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -175,7 +176,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     left out. ``n_chars``, if there, is the length of the text given.
     """
     names = docs.columns
-    rest = F.struct(*[n for n in names if n != "text"]).alias("_rest")
+    rest = F.struct(*[quoted(n) for n in names if n != "text"]).alias("_rest")
     t = mix(sized(docs.select("doc_id", "source", "text", rest)), **options).filter("taken > 0")
     n = F.col("size")
     passes = F.sequence(F.lit(0), F.ceil(F.col("taken") / n).cast("int") - 1)
@@ -184,4 +185,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     begin = F.array_join(F.slice(pieces, 1, F.col("_words").cast("int")), "")
     t = t.withColumn("text", F.when(F.col("_words") == n, F.col("text")).otherwise(begin))
     made = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return t.select(*[made.get(c, F.col("_rest").getField(c)).alias(c) for c in names])
+    return t.select(*[made[c].alias(c) if c in made else field("_rest", c) for c in names])

@@ -11,9 +11,11 @@ characters of one class (letter, number, white space, other):
 * an apostrophe alone, with no space before it, takes ``s t re ve m ll d`` from
   the letters that follow.
 
-Pieces are told apart by 64-bit hashes of their characters (a polynomial, from
+Pieces are found by 64-bit hashes of their characters (a polynomial, from
 prefix sums). A piece seen before is a lookup in a numpy hash table; a new one is
-cut out and encoded once. The cache is bounded; when full it keeps the pieces that
+cut out and encoded once. The characters of the piece found are compared with those
+of the piece looked up: where they differ (two pieces of one hash), the piece is encoded by
+itself. The cache is bounded; when full it keeps the pieces that
 came up again since it was last full. Long texts are worked on in parts, cut before a space between two other characters,
 which always begins a piece.
 """
@@ -26,13 +28,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-from logtide.llm.hashing import _powers, mixed
+from logtide.llm.hashing import mixed
 
 # Fixed value: the pattern of byte-level BPE vocabularies that this module splits by.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 CACHE_PIECES = 300_000  # about 100 bytes each
 GROUP_CHARS = 1 << 18
+_POINT = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 _OTHER, _LETTER, _NUMBER, _SPACE, _BREAK = range(5)
 _END = 0x110000  # stands between texts; no character
 _SAFE = re.compile(r"\S (?=\S)")
@@ -95,6 +98,17 @@ def piece_bounds(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, stop
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd point and of its inverse modulo 2^64."""
+    if len(_state.get("up", ())) < n:
+        size = max(n, GROUP_CHARS + GROUP_CHARS // 4)
+        for name, base in (("up", _POINT), ("down", pow(_POINT, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _state[name] = np.multiply.accumulate(steps)
+    return _state["up"], _state["down"]
+
+
 def _hashes(codes: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
     up, down = _powers(len(codes) + 1)
     sums = np.zeros(len(codes) + 1, np.uint64)
@@ -185,10 +199,14 @@ class PieceEncoder:
     def _clear(self) -> None:
         self.table = _Table(CACHE_PIECES)
         self.flat, self.starts, self.lengths = _Growing(np.uint32), _Growing(np.int64), _Growing(np.int64)
+        self.codes, self.code_starts, self.code_lengths = _Growing(np.uint32), _Growing(np.int64), _Growing(np.int64)
         self.hashes, self.uses = _Growing(np.uint64), _Growing(np.int32)
 
-    def _add(self, hashes: np.ndarray, flat: np.ndarray, lengths: np.ndarray, uses: np.ndarray) -> None:
+    def _add(self, hashes: np.ndarray, codes: np.ndarray, code_lengths: np.ndarray, flat: np.ndarray, lengths: np.ndarray, uses: np.ndarray) -> None:
         self.table.add(hashes)
+        self.code_starts.add(self.codes.n + np.cumsum(code_lengths) - code_lengths)
+        self.code_lengths.add(code_lengths)
+        self.codes.add(codes)
         self.starts.add(self.flat.n + np.cumsum(lengths) - lengths)
         self.lengths.add(lengths)
         self.flat.add(flat)
@@ -204,8 +222,15 @@ class PieceEncoder:
             kept = kept[np.argsort(-uses[kept], kind="stable")[: CACHE_PIECES // 2]]
         lengths, hashes = self.lengths.rows[kept], self.hashes.rows[kept]
         flat = gather(self.flat.rows, self.starts.rows[kept], lengths)
+        code_lengths = self.code_lengths.rows[kept]
+        codes = gather(self.codes.rows, self.code_starts.rows[kept], code_lengths)
         self._clear()
-        self._add(hashes, flat, lengths, np.zeros(len(kept), np.int32))
+        self._add(hashes, codes, code_lengths, flat, lengths, np.zeros(len(kept), np.int32))
+
+    def _encoded(self, codes: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, lengths) of the pieces cut out."""
+        text = codes.tobytes()
+        return self.encode_pieces([text[4 * a : 4 * b].decode("utf-32-le", "surrogatepass") for a, b in zip(begin.tolist(), stop.tolist())])
 
     def _numbers(self, codes: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
         hashes = _hashes(codes, begin, stop)
@@ -218,23 +243,40 @@ class PieceEncoder:
         if len(new):
             names, first = np.unique(hashes[new], return_index=True)
             at = new[first]
-            text = codes.tobytes()
-            words = [text[4 * a : 4 * b].decode("utf-32-le", "surrogatepass") for a, b in zip(begin[at].tolist(), stop[at].tolist())]
-            flat, lengths = self.encode_pieces(words)
+            flat, lengths = self._encoded(codes, begin[at], stop[at])
+            sizes = (stop - begin)[at]
             self.table.make_room(len(names))
-            self._add(names, flat, lengths, np.zeros(len(names), np.int32))
+            self._add(names, gather(codes, begin[at], sizes), sizes, flat, lengths, np.zeros(len(names), np.int32))
             numbers[new] = self.table.lookup(hashes[new])
         return numbers
 
+    def _strangers(self, codes: np.ndarray, begin: np.ndarray, stop: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """Places of the pieces that are not the piece of their number."""
+        sizes = stop - begin
+        same = self.code_lengths.rows[numbers] == sizes
+        if not same.all():
+            at = np.flatnonzero(same)
+            own, found = gather(codes, begin[at], sizes[at]), gather(self.codes.rows, self.code_starts.rows[numbers[at]], sizes[at])
+            same[at[np.searchsorted(np.cumsum(sizes[at]), np.flatnonzero(own != found), "right")]] = False
+            return np.flatnonzero(~same)
+        found = gather(self.codes.rows, self.code_starts.rows[numbers], sizes)
+        differs = codes[codes != _END] != found  # the pieces are all characters, in order
+        return np.unique(np.searchsorted(np.cumsum(sizes), np.flatnonzero(differs), "right")) if differs.any() else np.zeros(0, np.int64)
+
     def _group(self, parts: list[str], owner: list[int], n: int) -> tuple[np.ndarray, np.ndarray]:
         codes = codes_of(parts)
         begin, stop = piece_bounds(codes)
         numbers = self._numbers(codes, begin, stop)
-        lengths = self.lengths.rows[numbers]
+        starts, lengths, flat = self.starts.rows[numbers], self.lengths.rows[numbers], self.flat.rows
+        strange = self._strangers(codes, begin, stop, numbers)
+        if len(strange):
+            ids, lengths[strange] = self._encoded(codes, begin[strange], stop[strange])
+            starts[strange] = self.flat.n + np.cumsum(lengths[strange]) - lengths[strange]
+            flat = np.concatenate([flat[: self.flat.n], ids.astype(flat.dtype)])
         ends = np.cumsum([len(p) + 1 for p in parts])
         part = np.searchsorted(ends, begin, "right")
         counts = np.bincount(np.array(owner, np.int64)[part], lengths, n).astype(np.int64)
-        return gather(self.flat.rows, self.starts.rows[numbers], lengths), counts
+        return gather(flat, starts, lengths), counts
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
         """(index, ids) of each text, in order; null is empty."""

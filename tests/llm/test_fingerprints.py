@@ -29,6 +29,13 @@ def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
     assert {h: n for h, n in zip(flat, names)} == dict(zip(flat, names)) and len(set(zip(flat, names))) == len(set(flat))
 
 
+def test_patterned_words_differ():
+    for n in (10, 12, 13):
+        a, b = ("".join("ab"[(bin(i).count("1") + k) % 2] for i in range(1 << n)) for k in (0, 1))
+        x, y, z, w = FP.sketches([a, b, f"in a {a} sentence of words", f"in a {b} sentence of words"])
+        assert x.tolist() != y.tolist() and z.tolist() != w.tolist()
+
+
 def test_sketch_measures():
     base = " ".join(f"w{i}" for i in range(3000))
     other = " ".join(f"w{i}" for i in range(1000, 4000))

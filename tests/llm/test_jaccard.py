@@ -55,9 +55,11 @@ def brute(docs):
     return {i: (find(i), degree[own[i][0]] if i in own else 0, len(own.get(i, [i]))) for i in docs}
 
 
-@pytest.mark.parametrize("seed,leaf", [(1, 512), (2, 16), (3, 16)])
-def test_matches_brute_force(spark, seed, leaf, monkeypatch):
+@pytest.mark.parametrize("seed,leaf,weight", [(1, 4096, 1 << 22), (2, 16, 1 << 22), (3, 16, 700)])
+def test_matches_brute_force(spark, seed, leaf, weight, monkeypatch):
     monkeypatch.setattr(jaccard, "LEAF", leaf)  # small leaves: the recursion and the tiles of pairs of blocks are used
+    monkeypatch.setattr(jaccard, "WEIGHT", weight)
+    monkeypatch.setattr(jaccard, "_ROWS", 16 if seed > 1 else 256)
     rnd = random.Random(seed)
     docs = dict(enumerate(near_docs(rnd)))
     t = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(6)
@@ -67,6 +69,34 @@ def test_matches_brute_force(spark, seed, leaf, monkeypatch):
     assert got == want
 
 
+def test_rows_follow_a_group_of_near_copies(spark):
+    """Members of leaves and rows of tiles grow with the group, not with its square."""
+    made = []
+    for n in (1000, 4000):
+        rnd = random.Random(n)
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(150)]
+        docs = [(i, " ".join(base[:k] + [f"x{i}"] + base[k:])) for i, k in ((i, rnd.randrange(150)) for i in range(n))]
+        t = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+        sets = jaccard.described(t).withColumnRenamed("doc_id", "no").cache()
+        leaves = jaccard.leaves(sets, 0.8, 0.999)
+        made.append((n, leaves.count(), jaccard._tiles(leaves).count()))
+    (n, few, tiles), (m, many, more) = made
+    assert many <= 1.3 * few * m / n and more <= 1.3 * tiles * m / n
+
+
+def test_patterned_words_are_not_one_set(spark):
+    """Strings that any polynomial modulo 2^64 gives one value."""
+    from corpus_pipeline import ngram_jaccard
+
+    rows = []
+    for n in (10, 11, 12, 13):
+        pair = ["".join("ab"[(bin(i).count("1") + k) % 2] for i in range(1 << n)) for k in (0, 1)]
+        rows += [(len(rows) + k, t) for k, t in enumerate(pair + [f"some words before {t} and a few behind" for t in pair])]
+    t = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.class_id == r.doc_id and r.copies == 1 for r in jaccard.jaccard_classes(t).collect())
+    assert ngram_jaccard(spark, t, "").count() == len(rows)
+
+
 def test_runs_reach_the_recall():
     assert jaccard.runs_for(0.999, 1) == 7 and jaccard.runs_for(0.999, 3) == 15
     assert jaccard.least_matches(0.8) == 37
@@ -82,10 +112,11 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert by[3] == [(3, 0, 1)] and by[4] == [(4, 0, 1)] and by[5] == [(5, 0, 1)] and by[8] == [(8, 0, 1)]
     assert by[6] == [(6, 1, 1)] and by[7] == [(6, 1, 1)] and by[9] == [(9, 0, 1)] * 2
     assert jaccard.jaccard_classes(no_docs).collect() == []
-    kept = jaccard.keep_one(odd_docs)
-    assert kept.columns == odd_docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 3, 4, 5, 6, 8, 9, 10, 11, None, None]))
-    assert jaccard.keep_one(no_docs).collect() == []
+    named = odd_docs.withColumnsRenamed({"size": "a.b", "taken": "tick`", "links": "KEY"})
+    kept = jaccard.keep_one_text(named)
+    assert kept.columns == named.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 3, 4, 5, 6, 8, 9, 9, 10, 11, None, None]))
+    assert jaccard.keep_one_text(no_docs).collect() == []
 
 
 def test_texts_that_share_an_id_stay(spark):

@@ -50,18 +50,21 @@ def test_run_equals_the_stages_and_empty_tables_pass(spark, tmp_path):
     assert C.run(spark, str(tmp_path)).collect() == []
 
 
-def test_stages_on_odd_rows(spark, odd_docs):
-    docs = odd_docs
+@pytest.mark.parametrize("names", [{}, {"size": "a.b", "taken": "tick`", "score": "N_LEFT", "links": "Key", "gone": "QUOTA"}])
+def test_stages_on_odd_rows(spark, odd_docs, names):
+    docs = odd_docs = odd_docs.withColumnsRenamed(names)
     for _, stage in C.STAGES[:4]:
         docs = stage(spark, docs, SF)
         assert docs.columns == odd_docs.columns
-        docs = spark.createDataFrame(docs.collect(), odd_docs.schema)
+        rows = docs.collect()
+        assert {r[-1] for r in rows} == {"x"} and {r[5:9] for r in rows} == {(-1, -2, -3.0, -4)}
+        docs = spark.createDataFrame(rows, odd_docs.schema)
     assert docs.count() > 0 and C.STAGES[4][1](spark, docs, SF).count() == docs.count()
 
 
 def test_registry(spark):
     names = sorted(queries.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert [n for n, _ in C.STAGES] == ["language_id", "line_dedup", "ngram_jaccard", "mixing", "byte_bpe"]
     assert set(queries.oracle_sql()) <= set(names)
 

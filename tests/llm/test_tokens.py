@@ -71,6 +71,29 @@ def test_codec_is_the_library(multi, cache, monkeypatch):
         assert codec.decode(ids) == (t or "").encode() and codec.decimal(ids) == ",".join(map(str, ids.tolist())).encode()
 
 
+# Pairs of pieces that any polynomial modulo 2^64 gives one hash.
+PATTERNED = [f(t) for n in (10, 11, 12, 13) for t in ("".join("ab"[(bin(i).count("1") + k) % 2] for i in range(1 << n)) for k in (0, 1)) for f in (str, "some {0} words {0} here".format)]
+
+
+def test_pieces_of_one_hash(spark, multi, tmp_path):
+    import tiktoken
+
+    from logtide.llm import queries
+
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=multi, special_tokens={})
+    codec = bpe.Codec(multi, bpe.PerfectHash.build(multi))
+    for ts in (PATTERNED, PATTERNED[::-1], [" ".join(PATTERNED)]):
+        assert [ids.tolist() for _, ids in codec.encode(ts)] == [library.encode_ordinary(t) for t in ts]
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        definition = f.read()
+    assert [x.tolist() for _, x in idfiles.library_encoder(definition)[0].encode(PATTERNED)] == default_ids(definition, PATTERNED)
+    rows_of(spark, PATTERNED).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.queries()["op6_byte_bpe"](spark, str(tmp_path)).collect()
+    want = sorted(hashlib.sha256(t.encode()).hexdigest() for t in PATTERNED)
+    assert sorted(r.decoded_sha256 for r in rows) == want
+    assert sorted(r.n_tokens for r in queries.queries()["op4_id_files"](spark, str(tmp_path)).collect()) == sorted(len(x) + 1 for x in default_ids(definition, PATTERNED))
+
+
 def library_ids(path, ts):
     from tokenizers import Tokenizer
 
