@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtide.llm import bpe, jaccard, langid, lines, mixing
+from logtide.llm.columns import field, row, without
 from logtide.llm.store import new_path, ship
 
 
@@ -33,11 +34,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = docs.columns
-    t = lines.dedup_lines(docs).filter("n_removed = 0 OR n_left > 0")
-    if "n_chars" in names:
-        t = t.withColumn("n_chars", F.length("text").cast("long"))
-    return t.select(*names)
+    packed = docs.select("doc_id", "text", row(without(docs, "text")).alias("_row"))
+    t = lines.dedup_lines(packed).filter("n_removed = 0 OR n_left > 0")
+    made = {"text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
+    return t.select(*[made.get(c, field("_row", c)) for c in docs.columns])
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
