@@ -1,8 +1,10 @@
 """Benchmark of the headline analyses.
 
-1. Writes the event log feed of ``$BENCH_SF_DIR/events.parquet`` once as two
+1. Writes the event log feed of ``$BENCH_SF_DIR/events.parquet`` once as three
    real log trees in a fresh temporary folder (not timed): ``small``, one
-   ``.log`` file per application container, and ``large``, one file per cluster.
+   ``.log`` file per application container; ``medium``, some files per cluster of about as
+   many lines as the published files have (8,600); and ``large``, one file per cluster.
+   Trees are read with ``whole_bytes`` = 1 MB, which changes no row.
 2. Times each headline query on files, after one warm-up, best of
    ``$BENCH_REPEAT`` runs; listing the tree is part of each run. Every query is
    run to completion (``noop`` sink or ``collect`` of a small result).
@@ -37,16 +39,20 @@ from logtide.sources.feeds import load_event_logs, load_trips  # noqa: E402
 from logtide.sources.logs import read_logs  # noqa: E402
 
 
-def write_tree(spark: SparkSession, sf_dir: str, out: str, large: bool = False) -> int:
-    """Feed lines as a real log tree ``<out>/application_*/container_*.log``; ``large``: one file per cluster.
+WHOLE_BYTES = 1 << 20
+
+
+def write_tree(spark: SparkSession, sf_dir: str, out: str, per_cluster: int = 0) -> int:
+    """Feed lines as a real log tree ``<out>/application_*/container_*.log``; ``per_cluster``: that many files for each cluster.
 
     Each task writes the files of the containers hashed to it, lines in file
     order (a test fixture on the local disk; not timed).
     """
     feed = load_event_logs(spark, sf_dir)
-    if large:
+    if per_cluster:
         cluster = F.regexp_extract("file_path", r"application_(\d+)_", 1)
-        one = F.concat(F.lit("/logs/application_"), cluster, F.lit("_0001/container_"), cluster, F.lit("_0001_01_000001.log"))
+        number = F.format_string("%06d", F.pmod(F.xxhash64("file_path"), F.lit(per_cluster)) + 1)
+        one = F.concat(F.lit("/logs/application_"), cluster, F.lit("_0001/container_"), cluster, F.lit("_0001_01_"), number, F.lit(".log"))
         feed = feed.withColumn("file_path", F.when(cluster != "", one).otherwise(F.col("file_path")))
 
     def write(batches):
@@ -117,18 +123,20 @@ def main() -> int:
     )
     spark.sparkContext.setLogLevel("ERROR")
 
-    trees = {shape: os.path.join(scratch, shape) for shape in ("small", "large")}
+    trees = {shape: os.path.join(scratch, shape) for shape in ("small", "medium", "large")}
     n_lines = write_tree(spark, sf_dir, trees["small"])
-    write_tree(spark, sf_dir, trees["large"], large=True)
+    clusters = load_event_logs(spark, sf_dir).select(F.regexp_extract("file_path", r"application_(\d+)_", 1)).distinct().count()
+    write_tree(spark, sf_dir, trees["medium"], per_cluster=max(1, round(n_lines / 8600 / clusters)))
+    write_tree(spark, sf_dir, trees["large"], per_cluster=1)
     n_files = {shape: sum(len(f) for _, _, f in os.walk(path)) for shape, path in trees.items()}
 
     # Warm-up: JVM, code generation, the OS file cache.
     for path in trees.values():
-        L.level_counts(read_logs(spark, path)).collect()
+        L.level_counts(read_logs(spark, path, whole_bytes=WHOLE_BYTES)).collect()
     D.daily_summary(load_trips(spark, sf_dir), year=1997).collect()
 
     def on(shape: str):
-        logs = lambda: read_logs(spark, trees[shape])
+        logs = lambda: read_logs(spark, trees[shape], whole_bytes=WHOLE_BYTES)
         return {
             "level_counts": lambda: L.level_counts(logs()).collect(),
             "level_report": lambda: R.level_report(logs()).collect(),
@@ -138,12 +146,13 @@ def main() -> int:
             "duration_density": lambda: C.duration_density(U.app_spans(logs())).collect(),
             "tasks": lambda: run(T.tasks(logs())),
             "memory_profile": lambda: run(T.memory_profile(logs())),
-            "records": lambda: run(RC.read_records(spark, trees[shape])),
+            "records": lambda: run(RC.read_records(spark, trees[shape], whole_bytes=WHOLE_BYTES)),
         }
 
     trips = lambda: load_trips(spark, sf_dir)
     large = {f"{k}_large_files": v for k, v in on("large").items() if k in ("level_counts", "app_timeline", "tasks", "records")}
-    headline = on("small") | large
+    medium = {f"{k}_medium_files": v for k, v in on("medium").items() if k in ("level_counts", "app_timeline", "usage_report", "records")}
+    headline = on("small") | medium | large
     headline |= {
         "daily_summary": lambda: D.daily_summary(trips(), year=1997).collect(),
         "monthly_summary_exact": lambda: D.daily_summary(trips(), quantile="exact", grain="month").collect(),

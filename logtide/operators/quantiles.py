@@ -1,17 +1,23 @@
 """Exact discrete percentiles without holding a group's values anywhere.
 
-Values are counted first, one row per (group, value). The span of each group is
-cut into ``BUCKETS`` equal parts; running counts over at most that many rows a
-group find the part that holds the wanted rank, and only the values inside it
-are ranked, by a running sum that streams.
+Values are counted first, one row per (group, value). A group is cut at
+approximate percentiles of its different values into ``SIDE`` * ``SIDE`` buckets, so each
+bucket holds a like share of them however far apart they lie. Running counts over
+the buckets find the one that holds the wanted rank; its smallest and largest
+value select the rows inside, which are cut again, ``levels`` times in all. Only
+what is left then, a share of about 1 in 65,536 of a group's values, is ranked by a running sum.
+
+Cuts only decide where to look: ranks come from exact counts, and a bucket is
+named by its values, so nothing hangs on how the cuts came out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+SIDE = 16
+LEVELS = 2
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -19,35 +25,66 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def quantiles_of_counts(counts: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """keys and, for each (name, p) of ``shares``, the smallest value with at least a share p of the group at or below it.
+def coarse_cuts(cuts: Column, side: int = SIDE) -> Column:
+    """Every ``side``-th of the ``cuts``."""
+    return F.filter(cuts, lambda _, i: (i + 1) % side == 0)
 
-    Same as SQL ``percentile_disc``. Null keys are a group of their own.
+
+def place_in(coarse: Column, cuts: Column, value: Column, side: int = SIDE) -> Column:
+    """How many of the ascending ``cuts`` are at or below ``value``: of every ``side``-th first, then of those between."""
+    start = F.size(F.filter(coarse, lambda c: c <= value)) * side
+    return start + F.size(F.filter(F.slice(cuts, start + 1, side - 1), lambda c: c <= value))
+
+
+def _same(keys: list[str]) -> Column:
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return cond
+
+
+def _others(keys: list[str]) -> list[Column]:
+    return [F.col(k).alias(f"_{k}") for k in keys]
+
+
+def _inside(rows: DataFrame, keys: list[str], value: str, wanted: Column | None) -> DataFrame:
+    """The rows of the bucket that holds the rank: keys, name, value, n, rank (now inside the bucket).
+
+    ``wanted`` turns ``_all`` into an array of (name, rank) at the first level;
+    later ``name`` is one of the keys and ``rank`` a column.
     """
-    spans = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.sum("n").alias("_all"))
-    spans = spans.select(*[F.col(k).alias(f"_{k}") for k in keys], "_lo", "_hi", "_all")
-
-    def same():
-        cond = F.lit(True)
-        for k in keys:
-            cond = cond & F.col(k).eqNullSafe(F.col(f"_{k}"))
-        return cond
-
-    v, lo, hi = (F.col(c).cast("double") for c in (value, "_lo", "_hi"))
-    placed = counts.join(spans, same()).drop(*[f"_{k}" for k in keys])
-    placed = placed.withColumn("_bucket", F.when(hi > lo, F.floor((v - lo) / (hi - lo) * BUCKETS)).otherwise(0))
-    sums = placed.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_n"), F.first("_all").alias("_all"))
+    shares = F.array(*[F.lit(i / SIDE**2) for i in range(1, SIDE**2)])
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, shares, F.lit(16 * SIDE**2)).alias("_cuts"))
+    cuts = cuts.select(*_others(keys), "_cuts", coarse_cuts(F.col("_cuts")).alias("_coarse"))
+    placed = rows.join(cuts, _same(keys)).withColumn("_bucket", place_in(F.col("_coarse"), F.col("_cuts"), F.col(value)))
+    ranked = [F.first("rank").alias("rank")] if wanted is None else []
+    sums = placed.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), *ranked)
     group = Window.partitionBy(*keys)
     sums = sums.withColumn("_upto", F.sum("_n").over(group.orderBy("_bucket")))
-    wanted = [F.struct(F.lit(name).alias("name"), F.greatest(F.ceil(F.lit(p) * F.col("_all")), F.lit(1)).alias("rank")) for name, p in shares.items()]
-    hits = sums.withColumn("_w", F.explode(F.array(*wanted))).filter(
-        (F.col("_w.rank") <= F.col("_upto")) & (F.col("_w.rank") > F.col("_upto") - F.col("_n"))
-    )
-    hits = hits.select(
-        *[F.col(k).alias(f"_{k}") for k in keys], F.col("_bucket").alias("_b"), F.col("_w.name").alias("_name"),
-        (F.col("_w.rank") - (F.col("_upto") - F.col("_n"))).alias("_rank"),
-    )
-    inside = placed.join(hits, same() & (F.col("_bucket") == F.col("_b"))).drop(*[f"_{k}" for k in keys])
-    upto = F.sum("n").over(Window.partitionBy(*keys, "_name").orderBy(value))
-    found = inside.withColumn("_upto", upto).filter(F.col("_upto") >= F.col("_rank"))
-    return found.groupBy(*keys).agg(*[F.min(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in shares])
+    if wanted is not None:
+        sums = sums.withColumn("_all", F.sum("_n").over(group)).withColumn("_w", F.explode(wanted)).select("*", "_w.*")
+    hits = sums.filter((F.col("rank") <= F.col("_upto")) & (F.col("rank") > F.col("_upto") - F.col("_n")))
+    hits = hits.withColumn("rank", F.col("rank") - (F.col("_upto") - F.col("_n")))
+    hits = hits.select(*_others(keys), *([F.col("name")] if wanted is not None else []), "rank", "_lo", "_hi")
+    found = rows.drop("rank").join(hits, _same(keys) & F.col(value).between(F.col("_lo"), F.col("_hi")))
+    return found.select(*dict.fromkeys([*keys, "name", value, "n", "rank"]))
+
+
+def quantiles_of_counts(counts: DataFrame, keys: list[str], value: str, shares: dict[str, float], levels: int = LEVELS) -> DataFrame:
+    """keys and, for each (name, p) of ``shares``, the smallest value with at least a share p of the group at or below it.
+
+    Same as SQL ``percentile_disc``. Null keys are a group of their own.
+    """
+    rank = lambda p: F.greatest(F.ceil(F.lit(p) * F.col("_all")), F.lit(1))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank(p).alias("rank")) for name, p in shares.items()])
+    # The helper columns are rank and name; keys of these names are kept apart.
+    own = {k: f"key_{i}" for i, k in enumerate(keys)}
+    rows = counts.select(*[F.col(k).alias(own[k]) for k in keys], F.col(value).alias("value"), F.col("n"))
+    groups = list(own.values())
+    rows = _inside(rows, groups, "value", wanted)
+    for _ in range(1, levels):
+        rows = _inside(rows, [*groups, "name"], "value", None)
+    upto = F.sum("n").over(Window.partitionBy(*groups, "name").orderBy("value"))
+    found = rows.withColumn("_upto", upto).filter(F.col("_upto") >= F.col("rank"))
+    out = found.groupBy(*groups).agg(*[F.min(F.when(F.col("name") == name, F.col("value"))).alias(f"share_{i}") for i, name in enumerate(shares)])
+    return out.toDF(*keys, *shares)

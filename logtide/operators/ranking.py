@@ -2,31 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PREFIX = 8
+from logtide.operators.quantiles import coarse_cuts, place_in
+
+SIDE = 16
+SAMPLE = 16  # rows drawn for each range
 
 
 def place_by_count(df: DataFrame, count: str, key: str, name: str) -> DataFrame:
-    """``df`` plus ``name``: 1, 2, ... by ``count`` descending, then the text ``key`` ascending (unique).
+    """``df`` plus ``name``: 1, 2, ... by ``count`` descending, then the text ``key`` ascending (unique, not null).
 
-    Rows are ranked inside (count, first characters of the key); what comes
-    before is counted in two small tables. The only window over all rows runs
-    over the distinct counts, of which N things counted have at most
-    sqrt(2 N).
+    A sample of a fixed size, the rows of smallest key hash, is the same however often and
+    wherever it is drawn. Every ``SAMPLE``-th of it in order cuts the rows into
+    up to ``SIDE`` * ``SIDE`` ranges of like size, whatever counts or beginnings the keys
+    share. Rows are ranked inside their range, after the numbers of rows in the ranges before.
     """
-    prefix = F.substring(key, 1, PREFIX)
-    cells = df.groupBy(F.col(count).alias("_c"), prefix.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
-    by_count = cells.groupBy("_c").agg(F.sum("_n").alias("_all"))
-    above = by_count.select(F.col("_c").alias("_c2"), _before(F.sum("_all"), Window.orderBy(F.desc("_c"))).alias("_above"))
-    inside = cells.withColumn("_left", _before(F.sum("_n"), Window.partitionBy("_c").orderBy("_p")))
-    starts = inside.join(above, F.col("_c") == F.col("_c2")).select("_c", "_p", (F.col("_above") + F.col("_left")).alias("_start"))
-    local = F.row_number().over(Window.partitionBy(count, "_q").orderBy(key))
-    ranked = df.withColumn("_q", prefix).withColumn("_local", local)
-    out = ranked.join(starts, (F.col(count) == F.col("_c")) & (F.col("_q") == F.col("_p")))
+    order = F.struct((-F.col(count)).alias("c"), F.col(key).alias("k"))
+    drawn = df.select(order.alias("_o")).orderBy(F.xxhash64("_o.k"), "_o.k").limit(SAMPLE * SIDE**2)
+    cuts = drawn.agg(F.filter(F.sort_array(F.collect_list("_o")), lambda _, i: (i + 1) % SAMPLE == 0).alias("cuts"))
+    cuts = cuts.select(F.struct(coarse_cuts(F.col("cuts"), SIDE).alias("coarse"), "cuts"))
+    # The cuts are named once, so that they stay one value of the plan and become no column of the rows.
+    place = F.transform(F.array("_cuts"), lambda c: place_in(c["coarse"], c["cuts"], order, SIDE))[0]
+    ranged = df.withColumn("_cuts", cuts.scalar()).withColumn("_range", F.coalesce(place, F.lit(0))).drop("_cuts")
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_start"))
+    local = F.row_number().over(Window.partitionBy("_range").orderBy(F.desc(count), key))
+    out = ranged.withColumn("_local", local).join(starts, F.col("_range") == F.col("_r"))
     return out.select(*df.columns, (F.col("_start") + F.col("_local")).cast("int").alias(name))
-
-
-def _before(total: Column, window) -> Column:
-    return F.coalesce(total.over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

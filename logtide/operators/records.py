@@ -24,7 +24,6 @@ from logtide.functions import parse as P
 from logtide.sources import logs as S
 
 RECORDS_COLUMNS = ["file_path", "record_no", "part", "ts", "log_level", "lines", "text"]
-MAX_LINES = 10_000
 
 
 def number_records(logs: DataFrame, order: str = "line_order", split: str | None = "line_split") -> DataFrame:
@@ -70,20 +69,22 @@ def number_records(logs: DataFrame, order: str = "line_order", split: str | None
 
 
 def assemble_records(
-    logs: DataFrame, order: str = "line_order", split: str | None = "line_split", max_lines: int = MAX_LINES
+    logs: DataFrame, order: str = "line_order", split: str | None = "line_split", max_lines: int | None = None
 ) -> DataFrame:
     """``file_path, record_no, part, ts, log_level, lines, text``, one row per record.
 
     ``text`` is the head line and its continuation lines joined by newlines,
-    in file order. A record of more than ``max_lines`` lines comes in parts (0,
-    1, ...) of that many lines; ``ts`` and ``log_level`` are those of the part's
-    first line. Lines above the first head of a file are single rows: record
-    0, ``part`` their place in the file. So no row grows with a file.
+    in file order; ``part`` is 0. Lines above the first head of a file are
+    single rows: record 0, ``part`` their place in the file. With ``max_lines``,
+    all records come in parts (0, 1, ...) of at most that many lines, so that no
+    row grows with a record; ``ts`` and ``log_level`` are those of the part's first line.
+    ``number_records`` gives the lines themselves with their record and place.
     """
-    if max_lines < 1:
+    if max_lines is not None and max_lines < 1:
         raise ValueError("max_lines must be at least 1")
     n = number_records(logs.select("file_path", "value", order, *[split] * bool(split)), order, split)
-    part = F.when(F.col("record_no") > 0, F.floor(F.col("line_in_record") / max_lines)).otherwise(F.col("line_in_record"))
+    inside = F.floor(F.col("line_in_record") / max_lines) if max_lines else F.lit(0)
+    part = F.when(F.col("record_no") > 0, inside).otherwise(F.col("line_in_record"))
     recs = (
         n.withColumn("part", part.cast("bigint"))
         .groupBy("file_path", "record_no", "part")
@@ -105,20 +106,20 @@ def assemble_records(
 
 
 def multiline_records(
-    logs: DataFrame, order: str = "line_order", split: str | None = "line_split", max_lines: int = MAX_LINES
+    logs: DataFrame, order: str = "line_order", split: str | None = "line_split", max_lines: int | None = None
 ) -> DataFrame:
     """Only records that have continuation lines (e.g. exceptions with a stack trace)."""
     recs = assemble_records(logs, order, split, max_lines)
     return recs.filter((F.col("record_no") > 0) & ((F.col("lines") > 1) | (F.col("part") > 0)))
 
 
-def records_of(files: S.LogFiles, max_lines: int = MAX_LINES) -> DataFrame:
+def records_of(files: S.LogFiles, max_lines: int | None = None) -> DataFrame:
     """Records of a listed log tree."""
     return assemble_records(files.lines(with_order=True), max_lines=max_lines)
 
 
 def read_records(
-    spark: SparkSession, path: str | list[str], glob: str | None = "*.log", recursive: bool = True, max_lines: int = MAX_LINES
+    spark: SparkSession, path: str | list[str], glob: str | None = "*.log", recursive: bool = True, max_lines: int | None = None, whole_bytes: int | None = None
 ) -> DataFrame:
-    """Records of the log files under ``path`` (see ``assemble_records``)."""
-    return records_of(S.LogFiles(spark, path, glob, recursive), max_lines)
+    """Records of the log files under ``path`` (see ``assemble_records``; ``whole_bytes`` as in ``LogFiles``)."""
+    return records_of(S.LogFiles(spark, path, glob, recursive, whole_bytes), max_lines)

@@ -45,6 +45,7 @@ def level_distribution(
     sample_size: int = 10,
     sample_method: str = "rand",
     glob: str | None = "*.log",
+    whole_bytes: int | None = None,
 ) -> dict[str, str]:
     """Writes ``level_counts.csv``, ``level_sample.csv`` and ``level_summary.txt``.
 
@@ -52,7 +53,7 @@ def level_distribution(
     row); counts and summary text are projections of it. The sample is a
     second scan with a top-k.
     """
-    logs = read_logs(spark, input_path, glob=glob)
+    logs = read_logs(spark, input_path, glob=glob, whole_bytes=whole_bytes)
     totals = L.level_totals(logs, mode).cache()
     try:
         zero_fill = style == "cluster"
@@ -76,6 +77,7 @@ def cluster_usage(
     bins: int = 50,
     grid: int = 200,
     glob: str | None = "*.log",
+    whole_bytes: int | None = None,
 ) -> dict[str, str]:
     """Writes the timeline (a CSV directory, parts in sort order), the cluster
     summary, the statistics text and the chart data (single files: one row
@@ -88,7 +90,7 @@ def cluster_usage(
     summary_csv = _out(outdir, "cluster_summary.csv")
     out: dict[str, str] = {}
     if not skip_spark:
-        logs = read_logs(spark, input_path, glob=glob)
+        logs = read_logs(spark, input_path, glob=glob, whole_bytes=whole_bytes)
         # One row per application grows with the data: a directory of CSV
         # parts, range-partitioned by the sort, not one file through one task.
         out["timeline"] = sinks.write_table(U.app_timeline(logs), timeline_dir, fmt="csv")
@@ -145,6 +147,8 @@ def main(argv=None) -> int:
     a.add_argument("--seed", type=int, default=42)
     b = sub.add_parser("usage", help="cluster usage")
     b.add_argument("--input")
+    for x in (a, b):
+        x.add_argument("--whole-bytes", type=int, help="read files up to this size whole (same results, faster on many small files)")
     b.add_argument("--out", default="output")
     b.add_argument("--skip-spark", action="store_true")
     c = sub.add_parser("daily", help="daily trip summary")
@@ -157,9 +161,9 @@ def main(argv=None) -> int:
     spark = SparkSession.builder.appName(f"logtide-{args.cmd}").getOrCreate()
     os.makedirs(args.out, exist_ok=True) if "://" not in args.out else None
     if args.cmd == "levels":
-        res = level_distribution(spark, TB.resolve_input(args.input), args.out, args.mode, args.style, args.seed)
+        res = level_distribution(spark, TB.resolve_input(args.input), args.out, args.mode, args.style, args.seed, whole_bytes=args.whole_bytes)
     elif args.cmd == "usage":
-        res = cluster_usage(spark, None if args.skip_spark else TB.resolve_input(args.input), args.out, args.skip_spark)
+        res = cluster_usage(spark, None if args.skip_spark else TB.resolve_input(args.input), args.out, args.skip_spark, whole_bytes=args.whole_bytes)
     else:
         res, overview = daily_trip_summary(spark, args.paths, args.out, args.year, months=args.months)
         overview.show(truncate=False)

@@ -3,33 +3,81 @@
 ``read_logs`` (or ``LogFiles`` to list a tree once and derive several
 DataFrames) gives one row per line (``value``) with, from the scan's hidden
 ``_metadata`` column, the file it came from. Every file, small or large, goes
-through the text source, so a result does not depend on file sizes.
+through the text source unless ``whole_bytes`` is given.
 ``_metadata.file_path`` is used rather than ``input_file_name()``: with it a
 predicate on the path still reaches the scan, and file size and split start
 come for free. It is the one spelling of a path in this library (a URI: a
 space is ``%20``).
 
-Container logs are often many small files. The text source packs them into
-scan partitions; ``spark.sql.files.openCostInBytes`` (what opening a file counts
-for) of about 128 KB packs them more densely than the 4 MB default.
+Container logs are often many small files. Scans pack them into
+partitions; ``spark.sql.files.openCostInBytes`` (what opening a file counts
+for) of about 128 KB packs them more densely than the 4 MB default. The text source
+also sets up a record reader for each file, which takes longer than reading a
+few kilobytes: with ``whole_bytes``, files up to that size are read as they are
+and cut into lines by expressions. The rows are the same, byte for byte (a byte order mark,
+``\\r``, ``\\r\\n``, bytes that are no UTF-8 and a missing last line break included), so
+this changes no result, only the time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Names that the text source decompresses.
+COMPRESSED = r"(?i)\.(gz|bz2|deflate|zst|lz4|snappy|br)$"
+BYTE_ORDER_MARK = "X'EFBBBF'"
+
+
+def _cut(text: Column) -> Column:
+    """The lines of a text: they end at ``\\r\\n``, ``\\r`` or ``\\n``, and after the last one there is none."""
+    plain = F.split(F.regexp_replace(text, r"\n\z", ""), "\n", -1)
+    mixed = F.split(F.regexp_replace(text, r"(\r\n|\r|\n)\z", ""), r"\r\n|\r|\n", -1)
+    cut = F.when(F.contains(text, F.lit("\r")), mixed).otherwise(plain)
+    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(cut)
+
+
+def _lines_of(content: Column) -> Column:
+    """The lines of a file's bytes, as the text source gives them.
+
+    Bytes that are no UTF-8 go through a one-byte character set and back, so
+    that they stay as they are.
+    """
+    body = F.when(F.substring(content, 1, 3) == F.expr(BYTE_ORDER_MARK), F.expr("substring(content, 4)")).otherwise(content)
+    raw = F.transform(_cut(F.decode(body, "ISO-8859-1")), lambda x: F.encode(x, "ISO-8859-1").cast("string"))
+    return F.when(F.is_valid_utf8(body.cast("string")), _cut(body.cast("string"))).otherwise(raw)
+
+
 class LogFiles:
-    """A log tree, listed once when this object is made; lines are derived from that listing."""
+    """A log tree, listed when this object is made; lines are derived from that listing.
+
+    ``whole_bytes``: files up to this size that are not compressed are read
+    whole, one row a file until it is cut into lines; None reads all files with the text source. The
+    rows do not depend on it. Which files are which is decided by the listing,
+    so each is opened once, and the tree is listed again only if some file is larger.
+    """
 
-    def __init__(self, spark: SparkSession, path: str | list[str], glob: str | None = "*.log", recursive: bool = True):
-        reader = spark.read.format("text")
-        if recursive:
-            reader = reader.option("recursiveFileLookup", "true")
-        if glob:
-            reader = reader.option("pathGlobFilter", glob)
-        self._text = reader.load([path] if isinstance(path, str) else list(path))
+    def __init__(
+        self, spark: SparkSession, path: str | list[str], glob: str | None = "*.log", recursive: bool = True, whole_bytes: int | None = None
+    ):
+        def listed(kind: str) -> DataFrame:
+            reader = spark.read.format(kind)
+            if recursive:
+                reader = reader.option("recursiveFileLookup", "true")
+            if glob:
+                reader = reader.option("pathGlobFilter", glob)
+            return reader.load([path] if isinstance(path, str) else list(path))
+
+        self._whole = self._text = None
+        if whole_bytes is None:
+            self._text = listed("text")
+            return
+        small = (F.col("_metadata.file_size") <= whole_bytes) & ~F.col("_metadata.file_path").rlike(COMPRESSED)
+        every = listed("binaryFile")
+        self._whole = every.filter(small)
+        if every.filter(~small).rdd.getNumPartitions():  # planned from the listing; no job
+            self._text = listed("text").filter(~small)
 
     def lines(self, with_path: bool = True, with_size: bool = False, with_order: bool = False) -> DataFrame:
         """``value`` plus, as asked, ``file_path``, ``file_size``, ``line_order`` and ``line_split``."""
@@ -38,13 +86,22 @@ class LogFiles:
             cols.append(F.col("_metadata.file_path").alias("file_path"))
         if with_size:
             cols.append(F.col("_metadata.file_size").alias("file_size"))
+        files = None
+        if self._whole is not None:
+            cut = F.posexplode(_lines_of(F.col("content"))).alias("pos", "value")
+            files = self._whole.select(*cols[1:], cut)
+            order = [F.struct(F.lit(0).cast("bigint").alias("block"), F.col("pos").cast("bigint").alias("pos")).alias("line_order"), F.lit(0).cast("bigint").alias("line_split")]
+            files = files.select("value", *files.columns[: len(cols) - 1], *(order if with_order else []))
+        if self._text is None:
+            return files
         if with_order:
             # Inside one split the id grows in read order; splits of one file
             # are ordered by their start offset.
             start = F.col("_metadata.file_block_start")
             cols.append(F.struct(start.alias("block"), F.monotonically_increasing_id().alias("pos")).alias("line_order"))
             cols.append(start.alias("line_split"))
-        return self._text.select(*cols)
+        text = self._text.select(*cols)
+        return text if files is None else files.unionByName(text)
 
 
 def read_logs(
@@ -55,6 +112,7 @@ def read_logs(
     with_path: bool = True,
     with_size: bool = False,
     with_order: bool = False,
+    whole_bytes: int | None = None,
 ) -> DataFrame:
     """Lines of all files under ``path`` whose name matches ``glob``.
 
@@ -62,9 +120,10 @@ def read_logs(
     the file) and ``line_order`` / ``line_split`` (file order of the lines,
     for ``records.assemble_records``). ``glob`` keeps archives such as a
     ``.tar.gz`` next to the logs out of the scan; ``None`` reads every file
-    (compressed ones are decompressed).
+    (compressed ones are decompressed). ``whole_bytes`` as in ``LogFiles``: the
+    same rows, faster where most files are small.
     """
-    return LogFiles(spark, path, glob, recursive).lines(with_path, with_size, with_order)
+    return LogFiles(spark, path, glob, recursive, whole_bytes).lines(with_path, with_size, with_order)
 
 
 def with_file_path(df: DataFrame) -> DataFrame:

@@ -4,8 +4,11 @@ import math
 import os
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from logtide.operators import chartdata as C
 from logtide.operators import daily as D
+from logtide.operators import quantiles as Q
 from logtide.operators import records as RC
 from logtide.operators import usage as U
 from logtide.operators.quantiles import quantiles_of_counts, value_counts
@@ -78,7 +81,7 @@ def test_exact_quantile_of_a_hot_group(spark):
     df = spark.createDataFrame(rows, "k string, v double")
     shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
     out = quantiles_of_counts(value_counts(df, ["k"], "v"), ["k"], "v", shares)
-    assert "percentile" not in out._jdf.queryExecution().executedPlan().toString()
+    assert "percentile_disc" not in out._jdf.queryExecution().executedPlan().toString()
     got = {r.k: r for r in out.collect()}
     assert set(got) == {"hot", "a", None}
     for k, r in got.items():
@@ -86,12 +89,40 @@ def test_exact_quantile_of_a_hot_group(spark):
         assert all(r[name] == v[max(1, math.ceil(p * len(v))) - 1] for name, p in shares.items()), k
 
 
+def test_exact_quantile_with_a_far_value(spark):
+    """One value 10^12 away from a group's others: still only a small share of the group is ranked in one task."""
+    import random
+
+    rnd = random.Random(6)
+    rows = [("hot", rnd.random()) for _ in range(60_000)] + [("hot", 1e12), ("hot", -1e12)] + [("b", 1.0), ("b", 5.0), ("b", float("nan"))]
+    df = spark.createDataFrame(rows, "name string, v double")
+    counts = value_counts(df, ["name"], "v")
+    shares = {"least": 0.0, "rank": 0.5, "most": 1.0}
+    got = {r.name: r for r in quantiles_of_counts(counts, ["name"], "v", shares).collect()}
+    hot = sorted(v for k, v in rows if k == "hot")
+    assert (got["hot"].least, got["hot"].rank, got["hot"].most) == (-1e12, hot[math.ceil(0.5 * len(hot)) - 1], 1e12)
+    assert (got["b"].least, got["b"].rank) == (1.0, 5.0) and math.isnan(got["b"].most)
+    wanted = F.array(F.struct(F.lit("rank").alias("name"), F.ceil(F.col("_all") / 2).alias("rank")))
+    rows1 = Q._inside(counts.withColumnsRenamed({"name": "k"}), ["k"], "v", wanted)
+    rows2 = Q._inside(rows1, ["k", "name"], "v", None)
+    first, second = rows1.filter("k = 'hot'").count(), rows2.filter("k = 'hot'").count()
+    assert 0 < first < 60_000 * 2 / Q.SIDE**2 and 0 < second < 60_000 * 2 / 1024 / 10
+
+
 def scans(df):
-    """File scans in the plan that ran; a reused exchange counts once."""
+    """File scans in the plan that ran, scalar subqueries included; a reused exchange counts once."""
     df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    final = plan.split("+- == Initial Plan ==")[0]
-    return final.count("FileScan")
+    plan = df._jdf.queryExecution().executedPlan()
+    found, skip = 0, None
+    for line in plan.toString().splitlines():
+        if not line.startswith((" ", ":", "+-")):
+            continue  # the rest of a literal line break
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if skip is not None and depth >= skip:
+            continue
+        skip = depth if "== Initial Plan ==" in line else None
+        found += "FileScan" in line
+    return found
 
 
 def write_split_file(tmp, lines):
@@ -171,3 +202,17 @@ def test_places_by_count(spark):
     df = spark.createDataFrame(rows, "cluster_id string, num_applications long")
     got = [r.cluster_id for r in place_by_count(df, "num_applications", "cluster_id", "place").orderBy("place").collect()]
     assert got == [c for c, _ in sorted(rows, key=lambda r: (-r[1], r[0]))]
+    assert place_by_count(df.limit(0), "num_applications", "cluster_id", "place").count() == 0
+
+
+def test_places_of_ids_with_a_common_beginning(spark):
+    """10^5 ids of one count that share 20 characters: every task ranks a like share of them."""
+    df = spark.range(100_000).select(F.format_string("application_00000000%07d", "id").alias("k"), F.lit(1).alias("n")).repartition(8)
+    out = place_by_count(df, "n", "k", "place")
+    assert [r.place for r in out.orderBy("k").collect()] == list(range(1, 100_001))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = sorted(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) == 8 and tasks[-1] <= 2 * tasks[4]

@@ -44,13 +44,13 @@ def expected(body):
     return lines, [(n, "\n".join(x)) for n, x in recs]
 
 
-@pytest.mark.parametrize("seed", [3, 7])
-def test_random_bodies(spark, tmp, seed):
+@pytest.mark.parametrize("seed,whole", [(3, None), (7, None), (3, 1 << 20), (7, 100)])
+def test_random_bodies(spark, tmp, seed, whole):
     write_random_files(tmp, seed=seed)
     lines, recs = {}, {}
-    for r in read_logs(spark, tmp, with_order=True).orderBy("file_path", "line_order").collect():
+    for r in read_logs(spark, tmp, with_order=True, whole_bytes=whole).orderBy("file_path", "line_order").collect():
         lines.setdefault(os.path.basename(r.file_path), []).append(r.value)
-    for r in RC.read_records(spark, tmp).orderBy("file_path", "record_no", "part").collect():
+    for r in RC.read_records(spark, tmp, whole_bytes=whole).orderBy("file_path", "record_no", "part").collect():
         recs.setdefault(os.path.basename(r.file_path), []).append((r.record_no, r.text))
     for name in os.listdir(tmp):
         with open(os.path.join(tmp, name), encoding="utf-8", newline="") as f:

@@ -1,5 +1,6 @@
 """Sources and sinks on real files in temp folders."""
 
+import gzip
 import os
 from datetime import datetime
 
@@ -11,7 +12,7 @@ from logtide.operators import levels as L
 from logtide.operators import records as RC
 from logtide.operators import usage as U
 from logtide.sources import tables as TB
-from logtide.sources.logs import list_log_files, read_logs
+from logtide.sources.logs import LogFiles, list_log_files, read_logs
 from logtree import all_lines, write_tree
 
 
@@ -56,7 +57,37 @@ def test_results_do_not_depend_on_file_size(spark, tmp):
     assert first == {n: (2, datetime(2021, 5, 2, 7, 0)) for n in ("small.log", "large.log")}
 
 
-def test_line_breaks(spark, tmp):
+def test_whole_files_give_the_same_rows(spark, tmp):
+    """Byte for byte what the text source gives, whatever is read whole."""
+    d = os.path.join(tmp, "application_1609459200000_0001 x")
+    os.makedirs(d)
+    bodies = [
+        b"", b"\n", b"\r", b"\r\n", b"a", b"a\r\rb\n\nc\r\n\r\n", b"\xef\xbb\xbfafter a mark\nb", b"\xef\xbb\xbf", b"\xef\xbb\xbf\xef\xbb\xbfx\n",
+        b"not \xff UTF-8 \x80\nnext \xc3\r\n\xa9 cut\n", "ü 漢 😀\n\u0085\u2028x\n".encode(), b"nul \0 \x1c \x0b \x0c\nx\n", b"x" * 5000 + b"\n" + b"y" * 10,
+    ]
+    for i, body in enumerate(bodies):
+        with open(os.path.join(d, f"f{i:02d}.log"), "wb") as f:
+            f.write(body)
+    with gzip.open(os.path.join(d, "packed.log.gz"), "wb") as f:
+        f.write(b"in a\narchive\n")
+    cols = [F.hex(F.encode("value", "UTF-8")).alias("shown"), F.hex(F.col("value").cast("binary")).alias("bytes"), "file_path", "file_size", "line_split"]
+    for glob in ("*.log", None):
+        read = lambda whole: read_logs(spark, tmp, glob, with_size=True, with_order=True, whole_bytes=whole)
+        plain = read(None)
+        want = sorted(map(tuple, plain.select(*cols).collect()))
+        lines = [r.value for r in plain.filter(F.col("file_path").endswith("f05.log")).orderBy("line_order").collect()]
+        assert len(want) > 20 and lines == ["a", "", "b", "", "c", ""]
+        for whole in (1 << 20, 30, 0):
+            assert read(whole).dtypes == plain.dtypes
+            assert sorted(map(tuple, read(whole).select(*cols).collect())) == want
+        assert [r.value for r in read(1 << 20).filter(F.col("file_path").endswith("f05.log")).orderBy("line_order").collect()] == lines
+    small = LogFiles(spark, tmp, whole_bytes=1 << 20)
+    assert small._text is None and LogFiles(spark, tmp, whole_bytes=30)._text is not None
+    assert LogFiles(spark, tmp, None, whole_bytes=1 << 20)._text is not None
+
+
+@pytest.mark.parametrize("whole", [None, 1 << 20])
+def test_line_breaks(spark, tmp, whole):
     files = {
         "a.log": "l1\nl2\n", "b.log": "no newline at end", "c.log": "", "d.log": "x\r\ny\rz\n\n", "e.log": "\n",
         "f.log": "tab\there\nü unicode\n",
@@ -65,7 +96,7 @@ def test_line_breaks(spark, tmp):
         with open(os.path.join(tmp, name), "w", newline="") as f:
             f.write(body)
     got = {}
-    for r in read_logs(spark, tmp, with_order=True).orderBy("file_path", "line_order").collect():
+    for r in read_logs(spark, tmp, with_order=True, whole_bytes=whole).orderBy("file_path", "line_order").collect():
         got.setdefault(os.path.basename(r.file_path), []).append(r.value)
     assert got == {"a.log": ["l1", "l2"], "b.log": ["no newline at end"], "d.log": ["x", "y", "z", ""], "e.log": [""],
                    "f.log": ["tab\there", "ü unicode"]}
