@@ -1,8 +1,8 @@
-"""Places in an order by (count descending, id ascending) without one task holding all rows."""
+"""Ranges of rows of like size along an order, and places in an order, without one task holding all rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logtide.operators.quantiles import coarse_cuts, place_in
@@ -11,21 +11,28 @@ SIDE = 16
 SAMPLE = 16  # rows drawn for each range
 
 
-def place_by_count(df: DataFrame, count: str, key: str, name: str) -> DataFrame:
-    """``df`` plus ``name``: 1, 2, ... by ``count`` descending, then the text ``key`` ascending (unique, not null).
+def with_range(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` plus ``name``: the number (from 0, ascending) of the row's range along ``order``, whose values tell all rows apart.
 
-    A sample of a fixed size, the rows of smallest key hash, is the same however often and
+    A sample of a fixed size, the rows of smallest hash, is the same however often and
     wherever it is drawn. Every ``SAMPLE``-th of it in order cuts the rows into
-    up to ``SIDE`` * ``SIDE`` ranges of like size, whatever counts or beginnings the keys
-    share. Rows are ranked inside their range, after the numbers of rows in the ranges before.
+    up to ``SIDE`` * ``SIDE`` ranges of like size, however many rows share a
+    first value, a beginning of a text or an hour.
     """
-    order = F.struct((-F.col(count)).alias("c"), F.col(key).alias("k"))
-    drawn = df.select(order.alias("_o")).orderBy(F.xxhash64("_o.k"), "_o.k").limit(SAMPLE * SIDE**2)
+    at = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    drawn = df.select(at.alias("_o")).orderBy(F.xxhash64("_o"), "_o").limit(SAMPLE * SIDE**2)
     cuts = drawn.agg(F.filter(F.sort_array(F.collect_list("_o")), lambda _, i: (i + 1) % SAMPLE == 0).alias("cuts"))
     cuts = cuts.select(F.struct(coarse_cuts(F.col("cuts"), SIDE).alias("coarse"), "cuts"))
-    # The cuts are named once, so that they stay one value of the plan and become no column of the rows.
-    place = F.transform(F.array("_cuts"), lambda c: place_in(c["coarse"], c["cuts"], order, SIDE))[0]
-    ranged = df.withColumn("_cuts", cuts.scalar()).withColumn("_range", F.coalesce(place, F.lit(0))).drop("_cuts")
+    place = F.transform(F.array("_cuts"), lambda c: place_in(c["coarse"], c["cuts"], at, SIDE))[0]
+    return df.withColumn("_cuts", cuts.scalar()).withColumn(name, F.coalesce(place, F.lit(0))).drop("_cuts")
+
+
+def place_by_count(df: DataFrame, count: str, key: str, name: str) -> DataFrame:
+    """``df`` plus ``name``: 1, 2, ... by ``count`` descending, then the text ``key`` ascending (unique, not null).
+
+    Rows are ranked inside their range, after the numbers of rows in the ranges before.
+    """
+    ranged = with_range(df, [-F.col(count), F.col(key)], "_range")
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select(F.col("_range").alias("_r"), F.coalesce(before, F.lit(0)).alias("_start"))

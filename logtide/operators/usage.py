@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from logtide.functions import parse as P
 from logtide.operators.quantiles import quantiles_of_counts, value_counts
+from logtide.operators.ranking import with_range
 
 
 TIMELINE_COLUMNS = ["cluster_id", "application_id", "app_number", "start_time", "end_time", "duration_seconds"]
@@ -192,10 +193,11 @@ def cluster_distribution(timeline: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Window operators. A cluster may hold most applications (181 of 194 in the
 # reference data), so no window is partitioned by cluster alone: each works
-# per (cluster, time bucket) and carries the state of earlier buckets from a
-# small per-bucket table (one row per cluster and bucket). Results are exact
-# for any bucket width; a narrower bucket spreads a busier cluster over more
-# tasks.
+# per (cluster, bucket) and carries the state of earlier buckets from a
+# small per-bucket table (one row per cluster and bucket). Buckets are ranges
+# of like numbers of rows along (cluster, time), so a burst of one hour is
+# spread like a quiet year; with ``bucket_seconds`` they are fixed times. Results
+# are exact for any buckets.
 # ---------------------------------------------------------------------------
 EPOCH = "1970-01-01 00:00:00"
 
@@ -208,12 +210,18 @@ def time_bucket(t, bucket_seconds: int):
     return F.floor(since / bucket_seconds).cast("bigint")
 
 
-def concurrency(timeline: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
+def _bucketed(df: DataFrame, order: list[str], time: str, bucket_seconds: int | None) -> DataFrame:
+    if bucket_seconds is None:
+        return with_range(df, [F.col(c) for c in order], "bucket")
+    return df.withColumn("bucket", time_bucket(F.col(time), bucket_seconds))
+
+
+def concurrency(timeline: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
     """``cluster_id, peak_concurrent, peak_time``: most applications running at once.
 
     Running means ``start <= t < end``. ``peak_time`` is the first instant
     that reaches the peak. ``bucket_seconds`` is the width of the time
-    buckets that split a cluster's events over tasks.
+    buckets that split a cluster's events over tasks; None: ranges of like size.
     """
     # Each application is one +1 event at its start and one -1 at its end (one pass).
     ev = timeline.select(
@@ -226,7 +234,7 @@ def concurrency(timeline: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
         ),
     )
     net = ev.groupBy("cluster_id", "t").agg(F.sum("d").alias("net"))
-    net = net.withColumn("bucket", time_bucket(F.col("t"), bucket_seconds))
+    net = _bucketed(net, ["cluster_id", "t"], "t", bucket_seconds)
     per_bucket = net.groupBy("cluster_id", "bucket").agg(F.sum("net").alias("bucket_net"))
     before = Window.partitionBy("cluster_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
@@ -241,7 +249,7 @@ def concurrency(timeline: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
     )
 
 
-def start_gaps(timeline: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
+def start_gaps(timeline: DataFrame, bucket_seconds: int | None = None) -> DataFrame:
     """Per application: previous application of its cluster and seconds since its start.
 
     ``cluster_id, application_id, start_time, prev_application_id, gap_seconds``;
@@ -249,9 +257,8 @@ def start_gaps(timeline: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
     application of a cluster has nulls. ``bucket_seconds`` as in
     ``concurrency``.
     """
-    apps = timeline.select("cluster_id", "application_id", "start_time").withColumn(
-        "bucket", time_bucket(F.col("start_time"), bucket_seconds)
-    )
+    apps = timeline.select("cluster_id", "application_id", "start_time")
+    apps = _bucketed(apps, ["cluster_id", "start_time", "application_id"], "start_time", bucket_seconds)
     order = F.struct("start_time", "application_id")
     w = Window.partitionBy("cluster_id", "bucket").orderBy("start_time", "application_id")
     local = apps.select(

@@ -132,6 +132,7 @@ def message_queries() -> dict[str, Query]:
         "cache_lookups": lambda s, d: M.parse_cache_lookups(_logs(s, d)),
         "broadcast_reads": lambda s, d: M.parse_broadcast_reads(_logs(s, d)),
         "executor_starts": lambda s, d: M.parse_executor_starts(_logs(s, d)),
+        "message_counts": lambda s, d: M.message_counts(_logs(s, d)),
     }
 
 

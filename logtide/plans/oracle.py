@@ -434,7 +434,7 @@ def message_queries() -> dict[str, str]:
     def q(body: str) -> str:
         return with_feed(body)
 
-    return {
+    tables = {
         "executor_requests": q(f"""
 SELECT {BASE}, t0 AS ts, 1 + e % 16 AS executors, 1 + e % 5 AS cores, mem AS memory_mb,
        CAST(384 AS BIGINT) AS overhead_mb
@@ -476,6 +476,8 @@ SELECT {BASE}, t0 AS ts, rdd AS block, e % 3 <> 0 AS hit FROM evp WHERE kind = '
 SELECT {BASE}, t0 AS ts, k AS executor, printf('host-%d', (u + k) % 9) AS host FROM evp WHERE kind = 'signup'"""),
         "broadcast_reads": q(f"SELECT {BASE}, t0 AS ts, e % 50 AS broadcast_id FROM evp WHERE kind = 'view'"),
     }
+    counts = "SELECT '{0}' AS message, count(*) AS lines, count(ts) AS stamped, min(ts) AS first_ts, max(ts) AS last_ts FROM ({1}) HAVING count(*) > 0"
+    return tables | {"message_counts": " UNION ALL ".join(counts.format(name, sql) for name, sql in tables.items())}
 
 
 def task_queries() -> dict[str, str]:

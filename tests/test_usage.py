@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from datetime import datetime, timedelta
 
 from logtide.operators import chartdata as C
@@ -74,7 +75,7 @@ def random_timeline(spark, n=300, seed=7):
     return rows, spark.createDataFrame(rows, TIMELINE_SCHEMA)
 
 
-@pytest.mark.parametrize("bucket", [86400, 3600, 600])
+@pytest.mark.parametrize("bucket", [None, 86400, 600])
 def test_concurrency_matches_brute_force(spark, bucket):
     rows, tl = random_timeline(spark)
     got = {r.cluster_id: (r.peak_concurrent, r.peak_time) for r in U.concurrency(tl, bucket_seconds=bucket).collect()}
@@ -89,7 +90,7 @@ def test_concurrency_matches_brute_force(spark, bucket):
         assert got[c] == (best, best_t), c
 
 
-@pytest.mark.parametrize("bucket", [86400, 3600, 60])
+@pytest.mark.parametrize("bucket", [None, 86400, 60])
 def test_start_gaps_matches_brute_force(spark, bucket):
     rows, tl = random_timeline(spark)
     got = {r.application_id: (r.prev_application_id, r.gap_seconds)
@@ -103,6 +104,25 @@ def test_start_gaps_matches_brute_force(spark, bucket):
             prev = r
 
 
+def test_burst_of_one_hour_is_spread(spark):
+    """All starts in one hour of one cluster: each window task has a like share, and results are those of fixed buckets."""
+    df = spark.range(40_000).select(
+        F.lit("1").alias("cluster_id"), F.format_string("application_1_%05d", "id").alias("application_id"), F.format_string("%05d", "id").alias("app_number"),
+        F.expr("timestamp_ntz'2017-01-01 10:00:00' + make_dt_interval(0, 0, 0, cast((id * 7919) % 3600 AS int))").alias("start_time"),
+    )
+    tl = df.withColumn("end_time", F.expr("start_time + INTERVAL 90 SECOND")).withColumn("duration_seconds", F.lit(90.0))
+    ranged = U._bucketed(tl.select("cluster_id", "start_time", "application_id"), ["cluster_id", "start_time", "application_id"], "start_time", None)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = sorted(r["count"] for r in ranged.repartition(8, "cluster_id", "bucket").groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) == 8 and tasks[-1] <= 2 * tasks[4]
+    assert U.concurrency(tl).collect() == U.concurrency(tl, bucket_seconds=60).collect()
+    gaps = lambda b: U.start_gaps(tl, bucket_seconds=b).agg(F.count("gap_seconds"), F.sum("gap_seconds"), F.sum(F.xxhash64("application_id", "prev_application_id") % 1000)).first()
+    assert gaps(None) == gaps(60)
+
+
 def test_histogram_and_density_vs_brute_force(spark):
     rows, tl = random_timeline(spark)
     top = "1"
