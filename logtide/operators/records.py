@@ -113,9 +113,33 @@ def multiline_records(
     return recs.filter((F.col("record_no") > 0) & ((F.col("lines") > 1) | (F.col("part") > 0)))
 
 
+def records_of_texts(texts: DataFrame) -> DataFrame:
+    """Records of whole files (``file_path, text, raw``), as ``assemble_records`` gives them: no line is shuffled."""
+    chunks = F.split("text", "\n(?=" + P.TS_PATTERN.removeprefix("^") + ")", -1)
+    t = texts.filter("text IS NOT NULL").select("file_path", "raw", chunks.alias("_chunks"))
+    stamped = P.ts_text(F.col("_chunks")[0]) != ""
+    above = F.when(~stamped, F.split(F.col("_chunks")[0], "\n", -1)).otherwise(F.array().cast("array<string>"))
+    heads = F.when(stamped, F.col("_chunks")).otherwise(F.slice("_chunks", 2, F.size("_chunks")))
+
+    def row(text, number, part, lines):
+        return F.struct(number.cast("bigint").alias("record_no"), part.cast("bigint").alias("part"), lines.cast("bigint").alias("lines"), text.alias("text"))
+
+    rows = F.concat(
+        F.transform(above, lambda x, i: row(x, F.lit(0), i, F.lit(1))),
+        F.transform(heads, lambda x, i: row(x, i + 1, F.lit(0), F.size(F.split(x, "\n", -1)))),
+    )
+    t = t.select("file_path", "raw", F.inline(rows))
+    first = F.substring_index("text", "\n", 1)
+    return t.select("file_path", "record_no", "part", P.line_ts(first).alias("ts"), P.log_level(first).alias("log_level"), "lines", S.unraw(F.col("text"), F.col("raw")).alias("text"))
+
+
 def records_of(files: S.LogFiles, max_lines: int | None = None) -> DataFrame:
-    """Records of a listed log tree."""
-    return assemble_records(files.lines(with_order=True), max_lines=max_lines)
+    """Records of a listed log tree; files read whole are cut into records where they are read, without a shuffle."""
+    texts, lines = files.whole_texts(), files.split_lines()
+    if max_lines is not None or texts is None:
+        return assemble_records(files.lines(with_order=True), max_lines=max_lines)
+    whole = records_of_texts(texts)
+    return whole if lines is None else whole.unionByName(assemble_records(lines))
 
 
 def read_records(

@@ -30,23 +30,28 @@ COMPRESSED = r"(?i)\.(gz|bz2|deflate|zst|lz4|snappy|br)$"
 BYTE_ORDER_MARK = "X'EFBBBF'"
 
 
-def _cut(text: Column) -> Column:
-    """The lines of a text: they end at ``\\r\\n``, ``\\r`` or ``\\n``, and after the last one there is none."""
-    plain = F.split(F.regexp_replace(text, r"\n\z", ""), "\n", -1)
-    mixed = F.split(F.regexp_replace(text, r"(\r\n|\r|\n)\z", ""), r"\r\n|\r|\n", -1)
-    cut = F.when(F.contains(text, F.lit("\r")), mixed).otherwise(plain)
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(cut)
+def _text_of(content: Column) -> Column:
+    """``text`` and ``raw`` of a file's bytes: lines as the text source cuts them, joined by ``\\n``; null without a line.
 
-
-def _lines_of(content: Column) -> Column:
-    """The lines of a file's bytes, as the text source gives them.
-
-    Bytes that are no UTF-8 go through a one-byte character set and back, so
-    that they stay as they are.
+    A line ends at ``\\r\\n``, ``\\r`` or ``\\n``, and after the last one there is
+    none. Bytes that are no UTF-8 (``raw``) go through a one-byte character
+    set; ``unraw`` turns parts of them back, so that they stay as they are.
     """
     body = F.when(F.substring(content, 1, 3) == F.expr(BYTE_ORDER_MARK), F.expr("substring(content, 4)")).otherwise(content)
-    raw = F.transform(_cut(F.decode(body, "ISO-8859-1")), lambda x: F.encode(x, "ISO-8859-1").cast("string"))
-    return F.when(F.is_valid_utf8(body.cast("string")), _cut(body.cast("string"))).otherwise(raw)
+    raw = ~F.is_valid_utf8(body.cast("string"))
+    text = F.when(raw, F.decode(body, "ISO-8859-1")).otherwise(body.cast("string"))
+    text = F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, r"\r\n|\r", "\n")).otherwise(text)
+    text = F.when(F.length(body) > 0, F.regexp_replace(text, r"\n\z", ""))
+    return F.struct(text.alias("text"), raw.alias("raw"))
+
+
+def unraw(text: Column, raw: Column) -> Column:
+    return F.when(raw, F.encode(text, "ISO-8859-1").cast("string")).otherwise(text)
+
+
+def _columns(with_path: bool, with_size: bool) -> list[Column]:
+    path, size = F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("file_size")
+    return [path] * with_path + [size] * with_size
 
 
 class LogFiles:
@@ -79,29 +84,41 @@ class LogFiles:
         if every.filter(~small).rdd.getNumPartitions():  # planned from the listing; no job
             self._text = listed("text").filter(~small)
 
+    def whole_texts(self) -> DataFrame | None:
+        """``file_path, text, raw`` of the files read whole (see ``_text_of``); None if there are none to be."""
+        if self._whole is None:
+            return None
+        texts = self._whole.select(F.col("_metadata.file_path").alias("file_path"), _text_of(F.col("content")).alias("_t"))
+        return texts.select("file_path", "_t.text", "_t.raw")
+
+    def split_lines(self) -> DataFrame | None:
+        """Lines in order of the files that the text source reads; None if there are none."""
+        return None if self._text is None else self._text_lines(True, False, True)
+
     def lines(self, with_path: bool = True, with_size: bool = False, with_order: bool = False) -> DataFrame:
         """``value`` plus, as asked, ``file_path``, ``file_size``, ``line_order`` and ``line_split``."""
-        cols = [F.col("value")]
-        if with_path:
-            cols.append(F.col("_metadata.file_path").alias("file_path"))
-        if with_size:
-            cols.append(F.col("_metadata.file_size").alias("file_size"))
         files = None
         if self._whole is not None:
-            cut = F.posexplode(_lines_of(F.col("content"))).alias("pos", "value")
-            files = self._whole.select(*cols[1:], cut)
+            cut = F.posexplode(F.split("_t.text", "\n", -1)).alias("pos", "value")
+            cols = _columns(with_path, with_size)
+            files = self._whole.select(*cols, _text_of(F.col("content")).alias("_t")).select("*", cut)
+            files = files.withColumn("value", unraw(F.col("value"), F.col("_t.raw"))).drop("_t")
             order = [F.struct(F.lit(0).cast("bigint").alias("block"), F.col("pos").cast("bigint").alias("pos")).alias("line_order"), F.lit(0).cast("bigint").alias("line_split")]
-            files = files.select("value", *files.columns[: len(cols) - 1], *(order if with_order else []))
+            files = files.select("value", *files.columns[: len(cols)], *(order if with_order else []))
         if self._text is None:
             return files
+        text = self._text_lines(with_path, with_size, with_order)
+        return text if files is None else files.unionByName(text)
+
+    def _text_lines(self, with_path: bool, with_size: bool, with_order: bool) -> DataFrame:
+        cols = _columns(with_path, with_size)
         if with_order:
             # Inside one split the id grows in read order; splits of one file
             # are ordered by their start offset.
             start = F.col("_metadata.file_block_start")
             cols.append(F.struct(start.alias("block"), F.monotonically_increasing_id().alias("pos")).alias("line_order"))
             cols.append(start.alias("line_split"))
-        text = self._text.select(*cols)
-        return text if files is None else files.unionByName(text)
+        return self._text.select("value", *cols)
 
 
 def read_logs(

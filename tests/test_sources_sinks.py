@@ -63,7 +63,8 @@ def test_whole_files_give_the_same_rows(spark, tmp):
     os.makedirs(d)
     bodies = [
         b"", b"\n", b"\r", b"\r\n", b"a", b"a\r\rb\n\nc\r\n\r\n", b"\xef\xbb\xbfafter a mark\nb", b"\xef\xbb\xbf", b"\xef\xbb\xbf\xef\xbb\xbfx\n",
-        b"not \xff UTF-8 \x80\nnext \xc3\r\n\xa9 cut\n", "ü 漢 😀\n\u0085\u2028x\n".encode(), b"nul \0 \x1c \x0b \x0c\nx\n", b"x" * 5000 + b"\n" + b"y" * 10,
+        b"not \xff UTF-8 \x80\nnext \xc3\r\n\xa9 cut\n", "ü 漢 😀\n\u0085\u2028x\n".encode(), b"nul \0 \x1c \x0b \x0c\nx\n",
+        b"above \xff\n\n21/05/02 07:00:00 ERROR a: \xfe\n\tat \xfd\r21/05/02 07:00:01 INFO b\n", b"21/05/02 07:00:00 WARN a\n\n21/05/02 7:00:01\n\n", b"x" * 5000 + b"\n" + b"y" * 10,
     ]
     for i, body in enumerate(bodies):
         with open(os.path.join(d, f"f{i:02d}.log"), "wb") as f:
@@ -81,7 +82,11 @@ def test_whole_files_give_the_same_rows(spark, tmp):
             assert read(whole).dtypes == plain.dtypes
             assert sorted(map(tuple, read(whole).select(*cols).collect())) == want
         assert [r.value for r in read(1 << 20).filter(F.col("file_path").endswith("f05.log")).orderBy("line_order").collect()] == lines
+        records = lambda whole: sorted(map(str, RC.read_records(spark, tmp, glob, whole_bytes=whole).withColumn("text", F.hex(F.col("text").cast("binary"))).collect()))
+        assert RC.read_records(spark, tmp, glob, whole_bytes=1 << 20).dtypes == RC.read_records(spark, tmp, glob).dtypes
+        assert records(1 << 20) == records(30) == records(None)
     small = LogFiles(spark, tmp, whole_bytes=1 << 20)
+    assert "Exchange" not in RC.records_of(small)._jdf.queryExecution().executedPlan().toString()
     assert small._text is None and LogFiles(spark, tmp, whole_bytes=30)._text is not None
     assert LogFiles(spark, tmp, None, whole_bytes=1 << 20)._text is not None
 
