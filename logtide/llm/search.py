@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,8 +73,8 @@ def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     return np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
 
-def _block_lists(candidates: DataFrame, block: list, k: int) -> DataFrame:
-    """query_id, vec_id, score: the k best of each query of the block in each partition."""
+def _block_lists(candidates: DataFrame, block: list, k: int) -> tuple[DataFrame, Broadcast]:
+    """query_id, vec_id, score: the k best of each query of the block in each partition; and what was sent for it."""
     by_length: dict[int, list] = {}
     for r in block:
         by_length.setdefault(len(r[1]), []).append(r)
@@ -95,7 +96,16 @@ def _block_lists(candidates: DataFrame, block: list, k: int) -> DataFrame:
             own = np.repeat(sent.value[d][0][:, None], s.shape[1], 1)
             yield pa.RecordBatch.from_arrays([pa.array(own[there]), pa.array(i[there]), pa.array(s[there])], names=["query_id", "vec_id", "score"])
 
-    return candidates.mapInArrow(run, "query_id long, vec_id long, score long")
+    return candidates.mapInArrow(run, "query_id long, vec_id long, score long"), sent
+
+
+def _best_lists(lists: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the lists of the partitions merged, in two levels."""
+    order = [F.col("score").desc(), F.col("vec_id")]
+    some = lists.withColumn("_part", F.spark_partition_id() % 64)
+    some = some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*order))).filter(F.col("rank") <= k)
+    last = Window.partitionBy("query_id").orderBy(*order)
+    return some.select("query_id", "vec_id", "score", F.row_number().over(last).alias("rank")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, block_rows: int = 4096) -> DataFrame:
@@ -106,7 +116,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bl
     those with the query's own vec_id are candidates; of repeated ids each row
     counts as a candidate, and the smallest vector is the query. Vectors of
     another length than the query's are no candidates for it. Rows with a null
-    vec_id take no part. Without candidates a query has no rows.
+    vec_id take no part. Without candidates a query has no rows. Beyond what a
+    64-bit integer holds (components from about 3.6e16 on, larger products), values stay at its ends.
+
+    Blocks of ``block_rows`` queries are worked on one after the other: a
+    block's lists are written before the next is collected and sent, so driver
+    and executors hold one block.
     """
     whole = whole_vectors(vectors, scale)
     queries = whole.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -115,10 +130,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, bl
     lists = None
     for at in range(0, max(n, 1), block_rows):
         block = queries.filter((F.col("_no") >= at) & (F.col("_no") < at + block_rows)).select("vec_id", "v").collect()
-        found = _block_lists(whole, block, k)
+        found, sent = _block_lists(whole, block, k)
+        found = _best_lists(found, k)
+        if n > block_rows:
+            found = cut(found, "block_lists")
+            sent.destroy()
         lists = found if lists is None else lists.unionAll(found)
-    order = [F.col("score").desc(), F.col("vec_id")]
-    some = lists.withColumn("_part", F.spark_partition_id() % 64)
-    some = some.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "_part").orderBy(*order))).filter(F.col("rank") <= k)
-    last = Window.partitionBy("query_id").orderBy(*order)
-    return some.select("query_id", "vec_id", "score", F.row_number().over(last).alias("rank")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return lists
