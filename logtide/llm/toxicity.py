@@ -41,12 +41,12 @@ from logtide.llm.store import cut
 ORDER = 4
 DISCOUNT = 0.75
 MODEL_ENTRIES = 2_000_000  # broadcast up to here: 50 MB
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 BIN = 0.001
 BINS = 2000  # of the mean log-likelihood ratio, from -1 to 1
-_FLUSH = 400_000
+_FLUSH = 100_000
 _PART = 1 << 20
-_GROUP = 1 << 17  # words looked up at once
+_GROUP = 1 << 15  # words looked up at once
 _START, _END = "\x02", "\x03"
 _WORD = re.compile(r"[^\W_]+")
 _BREAK = re.compile(r"[\W_]")
