@@ -1,11 +1,11 @@
 """Exact discrete percentiles without holding a group's values anywhere.
 
 Values are counted first, one row per (group, value). A group is cut at
-approximate percentiles of its different values into ``SIDE`` * ``SIDE`` buckets, so each
+approximate percentiles of its different values into ``BUCKETS`` buckets, so each
 bucket holds a like share of them however far apart they lie. Running counts over
 the buckets find the one that holds the wanted rank; its smallest and largest
 value select the rows inside, which are cut again, ``levels`` times in all. Only
-what is left then, a share of about 1 in 65,536 of a group's values, is ranked by a running sum.
+what is left then, a share of some 1 in 65,536 of a group's values, is ranked by a running sum.
 
 Cuts only decide where to look: ranks come from exact counts, and a bucket is
 named by its values, so nothing hangs on how the cuts came out.
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SIDE = 16
+BUCKETS = 256
 LEVELS = 2
 
 
@@ -25,15 +25,16 @@ def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def coarse_cuts(cuts: Column, side: int = SIDE) -> Column:
-    """Every ``side``-th of the ``cuts``."""
-    return F.filter(cuts, lambda _, i: (i + 1) % side == 0)
+def with_place(df: DataFrame, cuts: Column, value: Column, buckets: int, name: str) -> DataFrame:
+    """``df`` plus ``name``: how many of the ascending ``cuts`` (at most ``buckets`` - 1, a power of 2 less 1) are at or below ``value``.
 
-
-def place_in(coarse: Column, cuts: Column, value: Column, side: int = SIDE) -> Column:
-    """How many of the ascending ``cuts`` are at or below ``value``: of every ``side``-th first, then of those between."""
-    start = F.size(F.filter(coarse, lambda c: c <= value)) * side
-    return start + F.size(F.filter(F.slice(cuts, start + 1, side - 1), lambda c: c <= value))
+    A binary search, a projection for each step, so that it is compiled with the plan around it.
+    """
+    df, step = df.withColumn(name, F.lit(0)), buckets // 2
+    while step:
+        up = F.when(F.get(cuts, F.col(name) + (step - 1)) <= value, step).otherwise(0)
+        df, step = df.withColumn(name, F.col(name) + up), step // 2
+    return df
 
 
 def _same(keys: list[str]) -> Column:
@@ -53,10 +54,9 @@ def _inside(rows: DataFrame, keys: list[str], value: str, wanted: Column | None)
     ``wanted`` turns ``_all`` into an array of (name, rank) at the first level;
     later ``name`` is one of the keys and ``rank`` a column.
     """
-    shares = F.array(*[F.lit(i / SIDE**2) for i in range(1, SIDE**2)])
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, shares, F.lit(16 * SIDE**2)).alias("_cuts"))
-    cuts = cuts.select(*_others(keys), "_cuts", coarse_cuts(F.col("_cuts")).alias("_coarse"))
-    placed = rows.join(cuts, _same(keys)).withColumn("_bucket", place_in(F.col("_coarse"), F.col("_cuts"), F.col(value)))
+    shares = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, shares, F.lit(4 * BUCKETS)).alias("_cuts"))
+    placed = with_place(rows.join(cuts.select(*_others(keys), "_cuts"), _same(keys)), F.col("_cuts"), F.col(value), BUCKETS, "_bucket")
     ranked = [F.first("rank").alias("rank")] if wanted is None else []
     sums = placed.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), *ranked)
     group = Window.partitionBy(*keys)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logtide.operators.quantiles import coarse_cuts, place_in
+from logtide.operators.quantiles import with_place
 
-SIDE = 16
+RANGES = 1024
 SAMPLE = 16  # rows drawn for each range
 
 
@@ -16,15 +16,13 @@ def with_range(df: DataFrame, order: list[Column], name: str) -> DataFrame:
 
     A sample of a fixed size, the rows of smallest hash, is the same however often and
     wherever it is drawn. Every ``SAMPLE``-th of it in order cuts the rows into
-    up to ``SIDE`` * ``SIDE`` ranges of like size, however many rows share a
+    up to ``RANGES`` ranges of like size, however many rows share a
     first value, a beginning of a text or an hour.
     """
     at = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    drawn = df.select(at.alias("_o")).orderBy(F.xxhash64("_o"), "_o").limit(SAMPLE * SIDE**2)
+    drawn = df.select(at.alias("_o")).orderBy(F.xxhash64("_o"), "_o").limit(SAMPLE * RANGES - 1)
     cuts = drawn.agg(F.filter(F.sort_array(F.collect_list("_o")), lambda _, i: (i + 1) % SAMPLE == 0).alias("cuts"))
-    cuts = cuts.select(F.struct(coarse_cuts(F.col("cuts"), SIDE).alias("coarse"), "cuts"))
-    place = F.transform(F.array("_cuts"), lambda c: place_in(c["coarse"], c["cuts"], at, SIDE))[0]
-    return df.withColumn("_cuts", cuts.scalar()).withColumn(name, F.coalesce(place, F.lit(0))).drop("_cuts")
+    return with_place(df.withColumn("_cuts", cuts.scalar()), F.col("_cuts"), at, RANGES, name).drop("_cuts")
 
 
 def place_by_count(df: DataFrame, count: str, key: str, name: str) -> DataFrame:

@@ -106,7 +106,7 @@ def test_exact_quantile_with_a_far_value(spark):
     rows1 = Q._inside(counts.withColumnsRenamed({"name": "k"}), ["k"], "v", wanted)
     rows2 = Q._inside(rows1, ["k", "name"], "v", None)
     first, second = rows1.filter("k = 'hot'").count(), rows2.filter("k = 'hot'").count()
-    assert 0 < first < 60_000 * 2 / Q.SIDE**2 and 0 < second < 60_000 * 2 / 1024 / 10
+    assert 0 < first < 60_000 * 2 / Q.BUCKETS and 0 < second < 60_000 * 2 / 1024 / 10
 
 
 def scans(df):
