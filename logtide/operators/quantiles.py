@@ -5,7 +5,7 @@ approximate percentiles of its different values into ``BUCKETS`` buckets, so eac
 bucket holds a like share of them however far apart they lie. Running counts over
 the buckets find the one that holds the wanted rank; its smallest and largest
 value select the rows inside, which are cut again, ``levels`` times in all. Only
-what is left then, a share of some 1 in 65,536 of a group's values, is ranked by a running sum.
+what is left then, a share of some 1 in 1,024 of a group's values a level, is ranked by a running sum.
 
 Cuts only decide where to look: ranks come from exact counts, and a bucket is
 named by its values, so nothing hangs on how the cuts came out.
@@ -16,8 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
-LEVELS = 2
+BUCKETS = 1024
+LEVELS = 1
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -55,14 +55,14 @@ def _inside(rows: DataFrame, keys: list[str], value: str, wanted: Column | None)
     later ``name`` is one of the keys and ``rank`` a column.
     """
     shares = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, shares, F.lit(4 * BUCKETS)).alias("_cuts"))
-    placed = with_place(rows.join(cuts.select(*_others(keys), "_cuts"), _same(keys)), F.col("_cuts"), F.col(value), BUCKETS, "_bucket")
-    ranked = [F.first("rank").alias("rank")] if wanted is None else []
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, shares, F.lit(4 * BUCKETS)).alias("_cuts"), F.sum("n").alias("_all"))
+    placed = with_place(rows.join(cuts.select(*_others(keys), "_cuts", "_all"), _same(keys)), F.col("_cuts"), F.col(value), BUCKETS, "_bucket")
+    ranked = [F.first("rank").alias("rank")] if wanted is None else [F.first("_all").alias("_all")]
     sums = placed.groupBy(*keys, "_bucket").agg(F.sum("n").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), *ranked)
     group = Window.partitionBy(*keys)
     sums = sums.withColumn("_upto", F.sum("_n").over(group.orderBy("_bucket")))
     if wanted is not None:
-        sums = sums.withColumn("_all", F.sum("_n").over(group)).withColumn("_w", F.explode(wanted)).select("*", "_w.*")
+        sums = sums.withColumn("_w", F.explode(wanted)).select("*", "_w.*")
     hits = sums.filter((F.col("rank") <= F.col("_upto")) & (F.col("rank") > F.col("_upto") - F.col("_n")))
     hits = hits.withColumn("rank", F.col("rank") - (F.col("_upto") - F.col("_n")))
     hits = hits.select(*_others(keys), *([F.col("name")] if wanted is not None else []), "rank", "_lo", "_hi")
@@ -73,7 +73,8 @@ def _inside(rows: DataFrame, keys: list[str], value: str, wanted: Column | None)
 def quantiles_of_counts(counts: DataFrame, keys: list[str], value: str, shares: dict[str, float], levels: int = LEVELS) -> DataFrame:
     """keys and, for each (name, p) of ``shares``, the smallest value with at least a share p of the group at or below it.
 
-    Same as SQL ``percentile_disc``. Null keys are a group of their own.
+    Same as SQL ``percentile_disc``. Null keys are a group of their own. Each
+    further level cuts what is left of a group by ``BUCKETS`` once more, for groups of more than some 10^9 different values.
     """
     rank = lambda p: F.greatest(F.ceil(F.lit(p) * F.col("_all")), F.lit(1))
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank(p).alias("rank")) for name, p in shares.items()])

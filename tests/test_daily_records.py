@@ -97,6 +97,8 @@ def test_exact_quantile_with_a_far_value(spark):
     rows = [("hot", rnd.random()) for _ in range(60_000)] + [("hot", 1e12), ("hot", -1e12)] + [("b", 1.0), ("b", 5.0), ("b", float("nan"))]
     df = spark.createDataFrame(rows, "name string, v double")
     counts = value_counts(df, ["name"], "v")
+    plain = lambda levels: sorted(map(str, quantiles_of_counts(counts, ["name"], "v", {"a": 0.3, "b": 0.95}, levels).collect()))
+    assert plain(1) == plain(3)
     shares = {"least": 0.0, "rank": 0.5, "most": 1.0}
     got = {r.name: r for r in quantiles_of_counts(counts, ["name"], "v", shares).collect()}
     hot = sorted(v for k, v in rows if k == "hot")
