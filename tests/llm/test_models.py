@@ -92,3 +92,78 @@ def test_quality_odd_rows(spark, odd_docs, no_docs):
     assert len({r.score for r in rows if r.doc_id == 2}) == 1
     assert {r.score for r in quality.classify(odd_docs, labels.limit(0)).collect()} == {0.5}
     assert quality.classify(no_docs, labels).collect() == []
+
+
+def plain_buckets(text):
+    """Buckets of the 1- to 3-grams of a text with a letter in them, one after the other."""
+    low = text.lower()
+    codes = [ord(c) if c.isalpha() else 32 for c in low] + [32, 32]
+    first, second, third = langid._FACTORS
+    for i in range(len(low)):
+        h, letter = 0, False
+        for j in range(3):
+            h = (h * third + codes[i + j] * first + j + 1) % 2**32
+            letter |= codes[i + j] != 32
+            if letter:
+                yield (h * second % 2**32) >> (32 - langid.BUCKET_BITS)
+
+
+def test_language_against_a_plain_version(spark):
+    need_data()
+    import math
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").filter("length(text) < 1500").limit(150)
+    rows = [tuple(r) for r in docs.collect()] + [(9_000_001, "Ünïcode 漢字 and 12", None), (9_000_002, "12 !", "en"), (9_000_003, None, "de")]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    counts, n = {}, Counter()
+    for i, text, lang in rows:
+        if text is not None and lang is not None and not fold(i):
+            counts.setdefault(lang, Counter()).update(plain_buckets(text))
+            n[lang] += 1
+    total = {x: sum(c.values()) for x, c in counts.items()}
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    assert len(got) == len(rows) and len(counts) > 2
+    for i, text, _ in rows:
+        found = list(plain_buckets(text or ""))
+        if not found:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        logs = {x: math.log(n[x] / sum(n.values())) + sum(math.log((counts[x][b] + 0.5) / (total[x] + 0.5 * 2**langid.BUCKET_BITS)) for b in found) for x in counts}
+        best = max(sorted(logs), key=logs.get)
+        assert got[i].lang_pred == best and got[i].held_out == fold(i)
+        assert abs(got[i].score - 1 / sum(math.exp(min(700, v - logs[best])) for v in logs.values())) < 0.01
+
+
+def test_quality_against_a_plain_version(spark):
+    need_data()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").filter("length(text) < 4000")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    texts, y = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.quality for r in labels.collect()}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    taught = [i for i in sorted(texts) if i in y and not fold(i)]
+    x = np.array([quality.describe(texts[i]) for i in taught])
+    mean, scale = x.mean(0), x.std(0)
+    scale = np.where(scale > 1e-9, scale, 1.0)
+    draw = np.random.default_rng(7)
+    directions, phases = draw.normal(0, 0.6, (x.shape[1], quality.FEATURES)), draw.uniform(0, 2 * np.pi, quality.FEATURES)
+
+    def features(rows):
+        z = np.clip((rows - mean) / scale, -8, 8) @ directions + phases
+        return np.hstack([np.cos(z) * np.sqrt(2 / quality.FEATURES), np.ones((len(rows), 1))])
+
+    z, target = features(x), np.array([y[i] for i in taught], float)
+    small = 1e-3 * len(taught) / quality.FEATURES
+    weights = np.linalg.lstsq(np.vstack([z, np.sqrt(small) * np.eye(z.shape[1])]), np.append(target, np.zeros(z.shape[1])), rcond=None)[0]
+    place = lambda raw: np.clip(((raw + 0.5) / 2 * quality.BINS).astype(int), 0, quality.BINS - 1)
+    bins = place(z @ weights)
+    curve = quality.isotonic(np.bincount(bins, target, quality.BINS), np.bincount(bins, minlength=quality.BINS).astype(float))
+    every = sorted(texts)
+    raw = features(np.array([quality.describe(texts[i]) for i in every])) @ weights
+    middles = -0.5 + (np.arange(quality.BINS) + 0.5) * 2 / quality.BINS
+    want = dict(zip(every, np.clip(np.interp(raw, middles, curve), 0, 1)))
+    got = {r.doc_id: r for r in quality.classify(docs.repartition(4), labels).collect()}
+    assert sorted(got) == every
+    differ = [abs(got[i].score - want[i]) for i in every]
+    assert np.median(differ) < 1e-4 and np.quantile(differ, 0.99) < 0.02
+    assert np.mean([got[i].predicted == (want[i] >= 0.3) for i in every]) > 0.995
