@@ -31,8 +31,8 @@ NOTES = {
     "tasks": "Running/Finished lines of a task share the key; one hash aggregate pairs them, partially in the map "
     "task when both lines are in the same file or split.",
     "memory_profile": "Two message kinds in one pass with conditional columns; one aggregate.",
-    "concurrency": "Windows are partitioned by (cluster, day), never by cluster alone; earlier days enter through "
-    "a per-day table (one row per cluster and day).",
+    "concurrency": "Windows are partitioned by (cluster, range of like size along cluster and time), never by cluster alone; "
+    "earlier ranges enter through a table of one row per cluster and range.",
     "records (files)": "Split-local windows plus a table with one row per split. Both branches read the same columns, "
     "so at run time the second scan and exchange are the first one's (a test counts one FileScan).",
     "daily_summary": "Both year bounds are in PushedFilters of the Parquet scan; partial aggregates (the "
