@@ -33,15 +33,18 @@ def number_records(logs: DataFrame, order: str = "line_order", split: str | None
     in the file (from 0).
     """
     names = logs.columns
-    df = logs.withColumn("_split", F.col(split) if split else F.lit(0))
-    df = df.withColumn("_head", (P.ts_text("value") != "").cast("bigint"))
-    local = Window.partitionBy("file_path", "_split").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    # In a struct, a null split is a key like any other: the join below needs no other partitions than the windows.
+    df = logs.withColumn("_split", F.struct(F.col(split) if split else F.lit(0)))
+    keys = ["file_path", "_split"]
+    # One exchange for both uses of the lines; the second may then count them without a sort.
+    df = df.withColumn("_head", (P.ts_text("value") != "").cast("bigint")).repartition(*keys)
+    local = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_line", F.count(F.lit(1)).over(local)).withColumn("_heads", F.sum("_head").over(local))
     df = df.withColumn("_last", F.max(F.when(F.col("_head") == 1, F.col("_line"))).over(local))
     # ``_any`` makes this branch read all columns, so that it shares the exchange of the lines.
-    splits = df.groupBy("file_path", "_split").agg(
-        F.max("_line").alias("_lines"),
-        F.max("_heads").alias("_all_heads"),
+    splits = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_lines"),
+        F.sum("_head").alias("_all_heads"),
         F.max("_last").alias("_last_head"),
         F.max(F.hash(*[F.col(c) for c in names if c != split])).alias("_any"),
     )
@@ -55,7 +58,7 @@ def number_records(logs: DataFrame, order: str = "line_order", split: str | None
         F.max(F.col("_before") + F.col("_last_head")).over(earlier).alias("_head_before"),
         "_any",
     )
-    same = (F.col("file_path") == F.col("_file")) & F.col("_split").eqNullSafe(F.col("_part")) & F.col("_any").isNotNull()
+    same = (F.col("file_path") == F.col("_file")) & (F.col("_split") == F.col("_part")) & F.col("_any").isNotNull()
     df = df.join(splits, same)
     line = F.col("_before") + F.col("_line")
     head = F.coalesce(F.col("_before") + F.col("_last"), F.col("_head_before"))
@@ -83,8 +86,9 @@ def assemble_records(
     if max_lines is not None and max_lines < 1:
         raise ValueError("max_lines must be at least 1")
     n = number_records(logs.select("file_path", "value", order, *[split] * bool(split)), order, split)
+    # Without ``max_lines`` no place in a record is read, so that only lines and heads are counted in the plan.
     inside = F.floor(F.col("line_in_record") / max_lines) if max_lines else F.lit(0)
-    part = F.when(F.col("record_no") > 0, inside).otherwise(F.col("line_in_record"))
+    part = F.when(F.col("record_no") > 0, inside).otherwise(F.col("line_no") - 1)
     recs = (
         n.withColumn("part", part.cast("bigint"))
         .groupBy("file_path", "record_no", "part")
