@@ -63,7 +63,7 @@ def event_log_lines(events: DataFrame) -> DataFrame:
     Columns: ``file_path STRING, value STRING`` (the shape of ``read_logs``)
     plus ``line_order STRUCT<t, event_id, seq>`` that sorts the lines of one
     file in writing order and ``line_split DATE``, a coarse part of that order
-    (all lines of a day come before those of the next day).
+    (the month: all lines of one come before those of the next; most files have a line or two a day).
     """
     e = F.col("event_id")
     u = F.col("user_id")
@@ -211,7 +211,7 @@ def event_log_lines(events: DataFrame) -> DataFrame:
             "file_path",
             F.col("l.value").alias("value"),
             F.struct(F.col("l.t").alias("t"), "event_id", F.col("l.seq").alias("seq")).alias("line_order"),
-            F.to_date(F.col("l.t")).alias("line_split"),
+            F.to_date(F.trunc("l.t", "MM")).alias("line_split"),
         )
     )
 

@@ -20,6 +20,14 @@ def event_rows(n, seed=1):
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
 
 
+def test_splits_of_the_feed_are_few_and_in_order(spark):
+    logs = feeds.event_log_lines(spark.createDataFrame(event_rows(3000), SCHEMA))
+    rows = logs.groupBy("file_path", "line_split").agg(F.min("line_order").alias("lo"), F.max("line_order").alias("hi"), F.count("*").alias("n")).collect()
+    assert sum(r.n for r in rows) / len(rows) > 40
+    rows.sort(key=lambda r: (r.file_path, r.line_split))
+    assert all(a.file_path != b.file_path or a.hi < b.lo for a, b in zip(rows, rows[1:]))
+
+
 def test_records_move_each_line_twice(spark):
     """Lines are dealt out by (file, split) and by record, and not again for the join; a null split is a split of its own."""
     lines = []
