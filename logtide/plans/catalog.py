@@ -50,7 +50,8 @@ def level_queries() -> dict[str, Query]:
         "sql_view_count": _sql_view_count,
         "level_report": lambda s, d: R.level_report(_logs(s, d)),
         "level_sample": lambda s, d: L.level_sample(_logs(s, d), n=10, seed=42, method="hash"),
-        "level_sample_random": lambda s, d: L.level_sample(_logs(s, d), n=10, seed=42, method="rand"),
+        # rand() depends on the partitions: those of the table.
+        "level_sample_random": lambda s, d: L.level_sample(load_event_logs(s, d, spread=False), n=10, seed=42, method="rand"),
         "level_occurrences": lambda s, d: L.level_occurrences(_logs(s, d)),
         "component_counts": lambda s, d: L.component_counts(_logs(s, d), top=20),
         "component_counts_all": lambda s, d: L.component_counts(_logs(s, d), top=None),

@@ -20,6 +20,31 @@ def event_rows(n, seed=1):
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
 
 
+def test_texts_as_format_string_makes_them(spark):
+    """Nulls, signs and numbers wider than the width as the formatter writes them; a pattern without widths does without it."""
+    rows = [(n, s) for n in (None, 0, 7, 39, 9999, 10_000, 123_456_789_012, -1, -12_345) for s in (None, "", "a%d")]
+    df = spark.createDataFrame(rows, "n long, s string")
+    for pattern in ("%d", "%s|%d", "/x_%s_%04d_%02d.log", "%06d", "at %s: %04d%s"):
+        cols = [F.col("s") if k == "s" else F.col("n") for k in (x[-1] for x in feeds.re.findall(r"%0?\d*[ds]", pattern))]
+        got = df.select(feeds._fmt(pattern, *cols).alias("got"), F.format_string(pattern, *cols).alias("exp")).collect()
+        assert all(r.got == r.exp for r in got), pattern
+    plan = feeds.event_log_lines(spark.createDataFrame(event_rows(5), SCHEMA)).select("value")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("format_string") == 1  # module%02d, for what does not fit the width
+
+
+def test_lines_of_one_row_group_are_made_by_many_tasks(spark, tmp):
+    spark.createDataFrame(event_rows(4000), SCHEMA).coalesce(1).write.parquet(os.path.join(tmp, "events.parquet"))
+    plain = feeds.load_event_logs(spark, tmp, spread=False)
+    logs = feeds.load_event_logs(spark, tmp)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = [r["count"] for r in logs.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(tasks) == 8 and max(tasks) < 2 * sum(tasks) / len(tasks)
+    assert sorted(map(str, logs.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_splits_of_the_feed_are_few_and_in_order(spark):
     logs = feeds.event_log_lines(spark.createDataFrame(event_rows(3000), SCHEMA))
     rows = logs.groupBy("file_path", "line_split").agg(F.min("line_order").alias("lo"), F.max("line_order").alias("hi"), F.count("*").alias("n")).collect()
